@@ -18,8 +18,11 @@ more tokens of their own than the similarity allows. What is left keeps its shar
 tokens only, by which intersections are still exact. Equal sets become one class.
 
 Pairs within a signature are not listed. A first round verifies each class
-against one leader; classes that are already connected are not compared again,
-and a second round verifies only pairs between different components.
+against one leader, the smallest of a signature. Where a signature still holds
+different components, all classes that share one of the leader's signatures are a
+family: each is described by the few tokens that set it apart from the leader, and a
+family is compared from these in blocks, which return only links that connect
+something new.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ from .shared import bucket_count, by_bucket, gram_hashes, gram_rows, lowered, pl
 
 #: Classes that hold a rare token, at most.
 RARE = 8
+#: Classes of a family that are compared at once with as many others.
+FAMILY = 4096
 _BLOBS = "bucket int, kind int, data binary"
 _ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 _SINGLE, _KNOWN, _MEMBER, _SIZE = 0, 1, 2, 3
@@ -239,6 +244,46 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(left, "a").join(right, "b").withColumn("both", both).where(F.col("both") * den >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def _family_links(num: int, den: int):
+    """Of one or two blocks of a family: links that connect what isn't connected yet, at most as many as members.
+
+    Sets come as what sets them apart from the family's leader. What sets two apart
+    is then the symmetric difference of these short lists, so an index of them
+    gives every intersection in the cell.
+    """
+
+    def of(t: pa.Table) -> pa.Table:
+        ids, n, m, part, own = (t[c].to_numpy() for c in ("id", "n", "m", "part", "own"))
+        lists = t["apart"].combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        _, token = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        member = np.repeat(np.arange(len(ids)), size)
+        o = np.argsort(token, kind="stable")
+        holders, many = member[o], np.bincount(token)
+        first = np.cumsum(many) - many
+        end = np.cumsum(size)
+        _, root = np.unique(part, return_inverse=True)
+        across = len(np.unique(own)) > 1
+        a, b = [], []
+        for x in range(len(ids)):
+            mine = token[end[x] - size[x] : end[x]]
+            k = many[mine]
+            at = np.repeat(first[mine] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            shared = np.bincount(holders[at], minlength=len(ids))
+            both = (m + m[x] - (size + size[x] - 2 * shared)) // 2
+            linked = (both * den >= num * (n + n[x] - both)) & (root != root[x])
+            if across:
+                linked &= own != own[x]
+            for r in np.unique(root[linked]):
+                a.append(ids[x])
+                b.append(ids[np.flatnonzero(linked & (root == r))[0]])
+            if linked.any():
+                root[np.isin(root, root[linked])] = root[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return of
+
+
 def jaccard_groups(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text", rare: int = RARE) -> DataFrame:
     """One row per id: id, n (size of its set) and component (smallest id reachable by links).
 
@@ -280,11 +325,15 @@ def jaccard_groups(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (4
     named = signed.join(parts, "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("part"))
     named = stored(named.join(led.select("sig"), "sig", "left_semi"), "named")
     mixed = stored(named.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("sig"), "mixed")
-    x = named.join(mixed, "sig", "left_semi")
-    y = x.select("sig", F.col("id").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"))
-    near = (F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)
-    second = x.withColumnRenamed("id", "a").join(y, "sig").where((F.col("part") != F.col("other")) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = stored(_verified(stored(second, "second"), classes, num, den), "links")
+    family = named.join(mixed, "sig", "left_semi").join(led, "sig").select(F.col("a").alias("lead"), "id", "n", "part").distinct()
+    family = stored(family, "families")
+    sizes = stored(family.groupBy("lead").agg(F.count("*").alias("m"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("lead", F.ceil(F.col("m") / FAMILY).cast("int").alias("blocks")), "family_sizes")
+    lead_set, own_set = classes.select(F.col("id").alias("lead"), F.col("tokens").alias("tl")), classes.select("id", F.col("tokens").alias("tx"))
+    apart = family.join(sizes, "lead").join(own_set, "id").join(lead_set, "lead").select("lead", "id", "n", "part", "blocks", F.size("tx").alias("m"), F.concat(F.array_except("tl", "tx"), F.array_except("tx", "tl")).alias("apart"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = apart.withColumn("own", block).select("*", other.alias("other")).select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "part", "m", "apart")
+    more = stored(cells.groupBy("lead", "i", "j").applyInArrow(_family_links(num, den), "a long, b long"), "links")
     whole = stored(connected_components(links.unionByName(more)), "components")
 
     # classes to their members; members whose class has links to the component
