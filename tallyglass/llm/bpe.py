@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import prepare
+from .shared import prepare, trimmed
 
 #: The pieces' pattern of byte-level tokenizers (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a worker keeps in each of its two generations, and the longest that it keeps.
-KEPT_WORDS, KEPT_LENGTH = 1 << 18, 64
+KEPT_WORDS, KEPT_LENGTH = 1 << 17, 64
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a vocabulary: printable Latin-1 as it is, the rest from U+0100 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -190,7 +190,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", outputs:
     names = [c for c in docs.columns if c not in outputs]
     docs = docs.select(*names)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, _TYPES[c]) for c in outputs)])
-    return docs.mapInArrow(_encoded(tokenizer, text_col, names, tuple(outputs), to_arrow_schema(schema)), schema)
+    return docs.mapInArrow(trimmed(_encoded(tokenizer, text_col, names, tuple(outputs), to_arrow_schema(schema))), schema)
 
 
 def bpe_decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

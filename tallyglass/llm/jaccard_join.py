@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import bucket_count, by_bucket, gram_hashes, gram_rows, lowered, planes, prepare, runs, stored, texts_of, unplaned, word_hashes, word_spans
+from .shared import bucket_count, by_bucket, gram_hashes, gram_rows, lowered, planes, prepare, runs, stored, texts_of, trimmed, unplaned, word_hashes, word_spans
 
 #: Classes that hold a rare token, at most.
 RARE = 8
@@ -304,8 +304,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (4
     n = bucket_count(docs)
     block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null").select("id", block.alias("block"), "text")
-    blobs = by_bucket(rows.mapInArrow(_index_tokens(k, n), _BLOBS), n, "bucket").mapInArrow(_shared_tokens, _BLOBS)
-    sets = stored(by_bucket(blobs, n, "bucket").mapInArrow(_gather(num, den), _SETS), "sets")
+    blobs = by_bucket(rows.mapInArrow(trimmed(_index_tokens(k, n)), _BLOBS), n, "bucket").mapInArrow(trimmed(_shared_tokens), _BLOBS)
+    sets = stored(by_bucket(blobs, n, "bucket").mapInArrow(trimmed(_gather(num, den)), _SETS), "sets")
 
     left = sets.where("tokens is not null")
     one = left.where("same is not null").groupBy("same").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
@@ -316,7 +316,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (4
     tokens = classes.select("id", "n", F.explode("tokens").alias("h"))
     often = stored(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "often")
     shared = tokens.join(often, "h").groupBy("id").agg(F.first("n").alias("n"), F.collect_list(F.struct("df", "h")).alias("shared"))
-    signed = stored(shared.mapInArrow(_sign(num, den, rare), "sig long, id long, n long"), "signatures")
+    signed = stored(shared.mapInArrow(trimmed(_sign(num, den, rare)), "sig long, id long, n long"), "signatures")
 
     led = stored(signed.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("sig", "a"), "leaders")
     first = stored(signed.join(led, "sig").where("a < id").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")), "first")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised step works on; a longer document is a step of its own.
 CHUNK_BYTES = 6 << 20
 #: Bytes of input for each bucket of an exchange.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -88,6 +88,25 @@ def by_bucket(df: DataFrame, n: int, column: str) -> DataFrame:
     return df.repartitionById(n, F.col(column))
 
 
+def trimmed(of):
+    """The same function of batches, which gives its memory back at the end of a task: workers live on from task to task."""
+
+    def task(batches):
+        try:
+            yield from of(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return task
+
+
 def crc_mod(column: Column, k: int) -> Column:
     """crc32 of the column as text, modulo k."""
     return F.crc32(column.cast("string").cast("binary")) % k

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bucket_count, by_bucket, gram_hashes, gram_rows, planes, prepare, runs, stored, texts_of, unplaned, word_hashes, word_spans
+from .shared import bucket_count, by_bucket, gram_hashes, gram_rows, planes, prepare, runs, stored, texts_of, trimmed, unplaned, word_hashes, word_spans
 
 NO_ID = np.iinfo(np.int64).max
 FACTOR = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ref_id", T.LongType()), T.StructField("ref_start", T.LongType())]))
@@ -202,11 +202,11 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     docs = docs.select(*names)
     n = bucket_count(docs)
     block = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).cast("int")
-    seeds = docs.select(F.col(id_col).cast("long").alias("id"), block.alias("block"), F.col(text_col).alias("text")).mapInArrow(_index_windows(window, n), _BLOBS)
-    answers = stored(by_bucket(seeds, n, "__tg_bucket").mapInArrow(_answer_from_blocks, _BLOBS), "factors")
+    seeds = docs.select(F.col(id_col).cast("long").alias("id"), block.alias("block"), F.col(text_col).alias("text")).mapInArrow(trimmed(_index_windows(window, n)), _BLOBS)
+    answers = stored(by_bucket(seeds, n, "__tg_bucket").mapInArrow(trimmed(_answer_from_blocks), _BLOBS), "factors")
     texts = docs.withColumns({"__tg_bucket": block, "__tg_kind": F.lit(_TEXT)})
     both = by_bucket(answers.unionByName(texts, allowMissingColumns=True), n, "__tg_bucket").sortWithinPartitions("__tg_kind")
     schema = T.StructType([*docs.schema.fields, *outputs])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return both.mapInArrow(_rewrite(window, names, id_col, text_col, to_arrow_schema(schema)), schema)
+    return both.mapInArrow(trimmed(_rewrite(window, names, id_col, text_col, to_arrow_schema(schema))), schema)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import load
-from .shared import prepare
+from .shared import prepare, trimmed
 
 #: Lengths of one block of the suffix sums.
 BLOCK = 1024
@@ -31,7 +31,7 @@ def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") ->
     table gives an empty histogram. Counts are summed before the exchange.
     """
     prepare(docs.sparkSession)
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_lengths(tokenizer), "length long").groupBy("length").agg(F.count("*").alias("n_docs"))
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(_lengths(tokenizer)), "length long").groupBy("length").agg(F.count("*").alias("n_docs"))
 
 
 def context_limits(histogram: DataFrame) -> DataFrame:
