@@ -55,7 +55,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("repeated_passages", drop_repeated_passages), ("mix", mix), ("encode", encode)]
-#: No SQL can say what the network rejects; tests/llm/test_pipeline.py has the brute-force version.
+#: No SQL can say what the network rejects.
 ORACLE_SQL = None
 
 
