@@ -82,17 +82,20 @@ for _name, _table, _policy in (("fingerprint_orders", "orders", ORDERS), ("finge
 
 # --- faults and reconciliation ------------------------------------------------------------------
 
-K = F.col("o_orderkey")
+def K() -> Column:  # noqa: N802
+    return F.col("o_orderkey")
+
+
 _ALL_ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 FAULTS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
     "clean": (lambda d: d, f"(SELECT {_ALL_ORDERS} FROM orders)"),
-    "drop": (lambda d: faults.drop(d, K % 97 == 0), f"(SELECT {_ALL_ORDERS} FROM orders WHERE o_orderkey % 97 <> 0)"),
-    "dup": (lambda d: faults.duplicate(d, K % 89 == 0), f"(SELECT {_ALL_ORDERS} FROM orders UNION ALL SELECT {_ALL_ORDERS} FROM orders WHERE o_orderkey % 89 = 0)"),
-    "mutate": (lambda d: faults.mutate(d, K % 83 == 0, "o_totalprice", F.col("o_totalprice") + 1), "(SELECT * REPLACE (CASE WHEN o_orderkey % 83 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice) FROM orders)"),
-    "phantom": (lambda d: faults.phantom(d, K % 101 == 0, "o_orderkey", -1 - K), f"(SELECT {_ALL_ORDERS} FROM orders UNION ALL SELECT * REPLACE (-1 - o_orderkey AS o_orderkey) FROM orders WHERE o_orderkey % 101 = 0)"),
+    "drop": (lambda d: faults.drop(d, K() % 97 == 0), f"(SELECT {_ALL_ORDERS} FROM orders WHERE o_orderkey % 97 <> 0)"),
+    "dup": (lambda d: faults.duplicate(d, K() % 89 == 0), f"(SELECT {_ALL_ORDERS} FROM orders UNION ALL SELECT {_ALL_ORDERS} FROM orders WHERE o_orderkey % 89 = 0)"),
+    "mutate": (lambda d: faults.mutate(d, K() % 83 == 0, "o_totalprice", F.col("o_totalprice") + 1), "(SELECT * REPLACE (CASE WHEN o_orderkey % 83 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice) FROM orders)"),
+    "phantom": (lambda d: faults.phantom(d, K() % 101 == 0, "o_orderkey", -1 - K()), f"(SELECT {_ALL_ORDERS} FROM orders UNION ALL SELECT * REPLACE (-1 - o_orderkey AS o_orderkey) FROM orders WHERE o_orderkey % 101 = 0)"),
 }
 FAULTS["mixed"] = (
-    lambda d: faults.phantom(faults.duplicate(faults.mutate(faults.drop(d, K % 97 == 0), K % 83 == 0, "o_totalprice", F.col("o_totalprice") + 1), K % 89 == 0), K % 101 == 0, "o_orderkey", -1 - K),
+    lambda d: faults.phantom(faults.duplicate(faults.mutate(faults.drop(d, K() % 97 == 0), K() % 83 == 0, "o_totalprice", F.col("o_totalprice") + 1), K() % 89 == 0), K() % 101 == 0, "o_orderkey", -1 - K()),
     """(WITH m AS (SELECT * REPLACE (CASE WHEN o_orderkey % 83 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice) FROM orders WHERE o_orderkey % 97 <> 0),
   d AS (SELECT * FROM m UNION ALL SELECT * FROM m WHERE o_orderkey % 89 = 0)
   SELECT * FROM d UNION ALL SELECT * REPLACE (-1 - o_orderkey AS o_orderkey) FROM d WHERE o_orderkey % 101 = 0)""",
@@ -100,7 +103,7 @@ FAULTS["mixed"] = (
 
 
 def orders_pair(spark: SparkSession, sf_dir: str, fault: str) -> Reconciliation:
-    d = table(spark, sf_dir, "orders").withColumn("pos", K)
+    d = table(spark, sf_dir, "orders").withColumn("pos", K())
     return reconcile(fingerprints(d, ORDERS, SALT), fingerprints(FAULTS[fault][0](d), ORDERS, SALT))
 
 
@@ -279,7 +282,7 @@ def commutative_root_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def canon_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.canon import encode_value
 
-    x = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey") % 7).alias("i"), "o_orderstatus", (-F.col("o_totalprice")).alias("d"), "o_orderdate", (K % 2 == 0).alias("b"))
+    x = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey") % 7).alias("i"), "o_orderstatus", (-F.col("o_totalprice")).alias("d"), "o_orderdate", (K() % 2 == 0).alias("b"))
     kinds = {f.name: f.dataType for f in x.schema.fields}
     return x.select("o_orderkey", F.lower(F.hex(F.concat(*(encode_value(F.col(c), kinds[c], CanonSpec()) for c in ("i", "o_orderstatus", "d", "o_orderdate", "b"))))).alias("canon"))
 
