@@ -51,10 +51,10 @@ def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     grams = F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)))).otherwise(F.array().cast("array<bigint>"))
     x = x.select(*carried, "word_chars", "n_symbols", n.cast("long").alias("n_words"), F.size("__l").cast("long").alias("n_lines"), (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"), grams.alias("__g"))
     # places of windows with an equal one: neighbours in the order of hash and place; then the union of their words
-    order = F.array_sort(F.transform("__g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    order = F.sort_array(F.transform("__g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     x = x.withColumn("__s", F.when(F.size(F.array_distinct("__g")) < F.size("__g"), order))
     twice = F.filter(F.transform("__s", lambda e, k: F.when((F.get("__s", k - 1).h == e.h) | (F.get("__s", k + 1).h == e.h), e.i)), lambda i: i.isNotNull())
-    x = x.withColumn("__p", F.array_sort(twice))
+    x = x.withColumn("__p", F.sort_array(twice))
     covered = F.aggregate("__p", F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")), lambda acc, i: F.struct(i.alias("last"), (acc.n + F.least(F.lit(3), i - acc["last"]).cast("long")).alias("n")), lambda acc: acc.n)
     return x.select(*carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
