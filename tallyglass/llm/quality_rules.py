@@ -41,15 +41,14 @@ def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     A null or empty text has 0 of each.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    solid = F.translate(text, BLANKS, "")
     trimmed = F.btrim(text, F.lit(BLANKS))
     words = F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
     carried = [F.col(f"`{c}`") for c in docs.columns if c not in MEASURES]
-    x = docs.select(*carried, words.alias("__w"), lines.alias("__l"), _len(solid).alias("word_chars"), (_len(text) - _len(F.translate(text, SYMBOLS, ""))).alias("n_symbols"))
+    x = docs.select(*carried, words.alias("__w"), lines.alias("__l"), F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"))
     n = F.size("__w")
     grams = F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    x = x.select(*carried, "word_chars", "n_symbols", n.cast("long").alias("n_words"), F.size("__l").cast("long").alias("n_lines"), (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"), grams.alias("__g"))
+    x = x.select(*carried, _len(F.array_join("__w", "")).alias("word_chars"), "n_symbols", n.cast("long").alias("n_words"), F.size("__l").cast("long").alias("n_lines"), (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"), grams.alias("__g"))
     # places of windows with an equal one: neighbours in the order of hash and place; then the union of their words
     order = F.sort_array(F.transform("__g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     x = x.withColumn("__s", F.when(F.size(F.array_distinct("__g")) < F.size("__g"), order))
