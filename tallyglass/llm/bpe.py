@@ -109,7 +109,11 @@ class ByteBPE:
         return [s for s in sym if s >= 0]
 
     def _pieces(self, text: str) -> bytes:
-        return b"".join(self.packed(self.merge(p.encode())) for p in self.pieces.findall(text))
+        """A word of several pieces joins what is kept for them; a piece cut again stays whole."""
+        found = self.pieces.findall(text)
+        if len(found) == 1:
+            return self.packed(self.merge(text.encode()))
+        return b"".join([self.tails[p[1:]] if p[0] == " " else self.heads[p] for p in found])
 
     @staticmethod
     def packed(ids: list[int]) -> bytes:
