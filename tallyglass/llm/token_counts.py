@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import load
-from .shared import prepare, trimmed
+from .shared import prepare, stored, trimmed
 
 #: Lengths of one block of the suffix sums.
 BLOCK = 1024
@@ -42,8 +42,9 @@ def context_limits(histogram: DataFrame) -> DataFrame:
     A limit between two lengths keeps the lower one's docs_over and tokens_within;
     its truncated total is tokens_within + limit * docs_over. Suffix sums run in
     blocks of lengths, then over the blocks' sums, so no task gets all lengths.
+    The histogram is written first: two plans read it, and each would encode all texts.
     """
-    h = histogram.withColumn("block", F.floor(F.col("length") / BLOCK))
+    h = stored(histogram, "lengths").withColumn("block", F.floor(F.col("length") / BLOCK))
     sums = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("length")).alias("t"))
     above = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
