@@ -1,13 +1,16 @@
 """URL filters: rules by host and path, else a classifier over segmented words.
 
-Host labels that concatenate words are split by a unigram model and Viterbi; the
+Labels that concatenate words are split by a unigram model and Viterbi; the
 words of host and path are scored by multinomial naive Bayes. Both models are
-trained here: the unigram counts from the host names of all rows and a word list,
-naive Bayes from the listed examples (fixed values below).
-
-Scale: hosts are counted by their labels before the exchange; the unigram model
-that is sent to the workers holds the MAX_WORDS most frequent labels. Scoring is a
-pass over the URLs without an exchange; other columns aren't read for it.
+trained here: the unigram counts from the host names and paths of all rows and a
+word list, naive Bayes from the listed examples (fixed values below). A label that
+contains a listed word of MIN_WORD letters among others doesn't count as a word
+itself: its split decides.
+
+Scale: words are counted once for each host, in two exchanges of hosts' words. Only
+words that a split can use in a label with a listed word are sent to the workers, all
+of them: no other word can change a score. Scoring is a pass over the URLs without
+an exchange; other columns aren't read for it.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepare
+from .shared import prepare, stored
 
-#: Labels in the unigram model, the longest word of a split, the longest label that is split.
-MAX_WORDS, MAX_WORD, MAX_LABEL = 50_000, 24, 256
+#: Splits that a worker keeps; letters of a counted word at least and at most.
+MAX_KEPT, MIN_WORD, MAX_WORD = 50_000, 3, 24
+#: Costs in a split: of a listed word at most, of an unknown letter, of an unknown part of a label. They don't depend on the table's size.
+LISTED, LETTER, PART = 6.0, 2.5, 4.0
 
 # Examples of host and path words for each class, and rules.
 BLOCKED_EXAMPLES = """
@@ -65,36 +70,35 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 class Unigrams:
-    """Word probabilities; unknown strings cost more than known words of their length."""
+    """Costs of words by their share of the counts; half of the weight is the listed words'. A label without a cheaper split stays whole."""
 
-    def __init__(self, counts: dict[str, float]):
-        self.total = sum(counts.values()) + 1
-        self.cost = {w: -math.log(n / self.total) for w, n in counts.items()}
+    def __init__(self, counts: dict[str, float], total: float, listed: set[str]):
+        self.cost = {w: math.log(2 * total / n) for w, n in counts.items()}
+        self.cost |= {w: min(LISTED, self.cost.get(w, LISTED)) for w in listed}
+        self.longest = max(map(len, self.cost), default=0)
         self.kept: dict[str, list[str]] = {}
 
-    def unknown(self, n: int) -> float:
-        return math.log(self.total) + 2.5 * n
-
     def split(self, label: str) -> list[str]:
-        """The cheapest split into words, by Viterbi over its places; a label beyond MAX_LABEL stays whole."""
+        """The cheapest split into words and unknown parts, by Viterbi over its places, in time linear in its length."""
         if label in self.kept:
             return self.kept[label]
-        if len(label) > MAX_LABEL:
-            return [label]
-        best, back = [0.0], [0]
+        # cost and start of the last word, or of the last unknown part, that ends at a place
+        words, parts = [(0.0, 0)], [(math.inf, 0)]
         for end in range(1, len(label) + 1):
-            options = [(best[s] + self.cost.get(label[s:end], self.unknown(end - s)), s) for s in range(max(0, end - MAX_WORD), end)]
-            cost, start = min(options)
-            best.append(cost)
-            back.append(start)
-        words, end = [], len(label)
+            known = [(min(words[s][0], parts[s][0]) + self.cost[label[s:end]], s) for s in range(max(0, end - self.longest), end) if label[s:end] in self.cost]
+            words.append(min(known, default=(math.inf, 0)))
+            parts.append(min((parts[-1][0] + LETTER, parts[-1][1]), (words[end - 1][0] + PART + LETTER, end - 1)))
+        out, end, unknown = [], len(label), parts[-1][0] < words[-1][0]
+        if min(words[-1][0], parts[-1][0]) >= LETTER * len(label) and label not in self.cost:
+            out, end = [label], 0
         while end:
-            words.append(label[back[end] : end])
-            end = back[end]
-        words.reverse()
-        if len(self.kept) < MAX_WORDS:
-            self.kept[label] = words
-        return words
+            start = (parts if unknown else words)[end][1]
+            out.append(label[start:end])
+            end, unknown = start, not unknown and parts[start][0] < words[start][0]
+        out.reverse()
+        if len(self.kept) < MAX_KEPT:
+            self.kept[label] = out
+        return out
 
 
 class NaiveBayes:
@@ -120,17 +124,18 @@ def tokens(host: str, path: str, model: Unigrams) -> list[str]:
     return [w for label in re.findall(r"[a-z]+", f"{host} {path.lower()}") for w in model.split(label)]
 
 
-def train_unigrams(hosts: DataFrame, host_col: str = "host") -> Unigrams:
-    """Counts of the labels (runs of a-z) of all hosts, each label once for each host, and of the examples' words."""
-    label = F.explode(F.array_distinct(F.regexp_extract_all(F.col(host_col), F.lit("([a-z]+)"), F.lit(1))))
-    counted = hosts.select(host_col).groupBy(host_col).agg(F.count("*").alias("n")).select(label.alias("w"), F.lit(1).alias("n")).where(F.length("w") <= MAX_WORD).groupBy("w").agg(F.sum("n").alias("n"))
-    found = {w: 20.0 for x in examples(BLOCKED_EXAMPLES) + examples(ALLOWED_EXAMPLES) for w in x}
-    listed = Unigrams(found)
-    for r in counted.orderBy(F.desc("n"), "w").limit(MAX_WORDS).collect():
-        parts = listed.split(r.w)
-        for w in parts if all(p in listed.cost for p in parts) else [r.w]:  # a label of listed words counts for these
-            found[w] = found.get(w, 0) + r.n
-    return Unigrams(found)
+def train_unigrams(hosts: DataFrame, host_col: str = "host", path_col: str = "path") -> Unigrams:
+    """Counts of the words (runs of a-z) of all hosts and paths, each once for each host, as far as a split of a label with a listed word can use them."""
+    listed = {w for x in examples(BLOCKED_EXAMPLES) + examples(ALLOWED_EXAMPLES) for w in x}
+    within = {n: "|".join(sorted(w for w in listed if len(w) >= n)) for n in (1, MIN_WORD)}
+    runs = F.explode(F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", host_col, F.lower(path_col)), F.lit("([a-z]+)"), F.lit(1))))
+    labels = hosts.select(host_col, runs.alias("w")).distinct().groupBy("w").agg(F.count("*").alias("n"))
+    labels = stored(labels, "labels")
+    words = labels.where((~F.col("w").rlike(within[MIN_WORD]) | F.col("w").isin(*listed)) & F.length("w").between(MIN_WORD, MAX_WORD))
+    starts = labels.where(F.col("w").rlike(within[1]) & (F.length("w") >= MIN_WORD)).select("w", F.explode(F.expr(f"sequence(1, length(w) - {MIN_WORD} + 1)")).alias("s"))
+    inner = starts.select(F.explode(F.expr(f"transform(sequence({MIN_WORD}, least({MAX_WORD}, length(w) - s + 1)), k -> substring(w, s, k))")).alias("w")).distinct()
+    total = words.agg(F.sum("n")).first()[0] or 1
+    return Unigrams({r.w: r.n for r in words.join(inner, "w", "left_semi").collect()}, total, listed)
 
 
 def filter_urls(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:

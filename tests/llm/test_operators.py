@@ -139,6 +139,18 @@ def test_urls(spark):
     assert url_filter.filter_urls(d.limit(0)).count() == 0
 
 
+def test_urls_split_labels_of_the_table(spark):
+    # casinohub and bestcasinohub are labels of the table themselves; more rows of other hosts change nothing
+    hosts = ["casinohub.example.com", "bestcasinohub.example.com", "hub.example.com", "essex.example.com", "windows.example.com", "harbour.example.com"]
+    rows = [(i, f"http://{h}/") for i, h in enumerate(hosts)] + [(6, "http://harbour.com/best-hub/")]
+    want = ["block", "block", "allow", "allow", "allow", "allow", "allow"]
+    many = [(100 + i, f"http://{''.join(chr(97 + i // 17**k % 17) for k in range(5))}.example.com/hub/") for i in range(3000)]
+    for r in (rows, rows[:-1], rows + many):
+        d = spark.createDataFrame(r, "page_id long, url string")
+        got = {x.page_id: x.verdict for x in url_filter.filter_urls(d).where("page_id < 100").collect()}
+        assert got == {i: want[i] for i in got}
+
+
 def test_topk(spark):
     g = np.random.default_rng(0)
     v = [[float(x) for x in row] for row in g.normal(0, 0.2, (300, 8))] + [[0.1] * 8] * 4
