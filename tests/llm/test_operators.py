@@ -151,6 +151,11 @@ def test_urls_split_labels_of_the_table(spark):
         assert got == {i: want[i] for i in got}
 
 
+def test_urls_split_long_runs():
+    model = url_filter.Unigrams({}, 1, {"casino", "viagra"})
+    assert model.split("zq" * 200 + "casinoviagra" + "zq" * 200) == ["zq" * 200, "casino", "viagra", "zq" * 200]
+
+
 def test_topk(spark):
     g = np.random.default_rng(0)
     v = [[float(x) for x in row] for row in g.normal(0, 0.2, (300, 8))] + [[0.1] * 8] * 4
