@@ -1,6 +1,7 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling.
 
-Inputs of a place are a word vector (of words known from training) and the mean of
+Words longer than PIECE letters are cut into pieces, each a place; texts without
+spaces have windows like others. Inputs of a place are a word vector (of words known from training) and the mean of
 the vectors of the word's character trigrams; a window's states are pooled by
 attention and give a probability. A text is scored in overlapping windows, all of
 them, and has the largest probability. The network is trained here in numpy, on
@@ -30,6 +31,8 @@ SAMPLE = {0: 3000, 1: 1500}
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 48, 36
 MAX_WORDS, MIN_DOCS = 20_000, 4
+#: Letters of a place; a longer word takes several, with two letters shared so that no trigram is lost.
+PIECE = 24
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND, GRAMS = 8, 8, 8, 8, 4096
 #: Windows of a training step, and steps of an epoch at least: few texts are passed over more often.
 BATCH, LEAST_STEPS = 128, 60
@@ -39,8 +42,11 @@ EDGES = "\"'.,;:!?()[]{}<>*#$%&|+=-_/\\~`^@…“”„«»‘’"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased words without punctuation at their edges."""
-    return [x.strip(EDGES) or x for x in (text or "").lower().split()]
+    """Lower-cased words without punctuation at their edges, long ones in consecutive pieces."""
+    words = [x.strip(EDGES) or x for x in (text or "").lower().split()]
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[i : i + PIECE] for w in words for i in range(0, max(1, len(w) - 2), PIECE - 2)]
 
 
 def window_starts(n: int) -> range:
@@ -49,7 +55,7 @@ def window_starts(n: int) -> range:
 
 def gram_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Trigram codes of all words with their edges, and each word's number of them."""
-    raw = [b"\x02" + w.encode()[:200] + b"\x03" for w in words]
+    raw = [b"\x02" + w.encode() + b"\x03" for w in words]
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
     size = np.array([len(x) for x in raw])
     n = np.maximum(size - 2, 1)
@@ -223,7 +229,8 @@ class Scorer:
         return doc, start, logits
 
     def _project(self, words: list[str]) -> np.ndarray:
-        return self.net.inputs(words)[3] @ self.net.p["W"] + self.net.p["b"]
+        p, step = self.net.p, 1 << 14
+        return np.concatenate([self.net.inputs(words[i : i + step])[3] @ p["W"] + p["b"] for i in range(0, len(words), step)], axis=1)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.net.constant is not None:

@@ -89,6 +89,27 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score_toxicity(d, one).collect()} == {0.0}
 
 
+def test_toxicity_without_spaces():
+    g = random.Random(4)
+    plain = [f"{a}{b}" for a in "bdfgk" for b in ("ar", "el", "on", "ut")] + ["漢字", "日本"]
+    texts, labels = [], []
+    for i in range(400):
+        w = [g.choice(plain) for _ in range(g.randrange(80, 400))]
+        if i % 2:
+            w[-12:] = ["vile悪"] * 12
+        texts.append("".join(w))
+        labels.append(i % 2)
+    net = toxicity.train(texts[:300], labels[:300])
+    scores = toxicity.Scorer(net).scores(texts[300:])
+    assert sum((s >= 0.5) == y for s, y in zip(scores, labels[300:], strict=True)) >= 95
+    long = "_".join(g.choice(plain) for _ in range(20_000))
+    a, b = toxicity.Scorer(net).scores([long, long + "vile悪" * 12])
+    assert a < 0.5 <= b
+    for t in (long, "x", "ab" * 12, "ab" * 12 + "c", "悪" * 47):
+        p = toxicity.words_of(t)
+        assert p[0] + "".join(w[2:] for w in p[1:]) == t and max(map(len, p)) <= toxicity.PIECE
+
+
 def test_gradients():
     net = toxicity.Network.new({"a": 1, "b": 2}, np.array([0.5, -0.5], np.float32))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
