@@ -40,21 +40,22 @@ def _rows(parts: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(x, pa.binary())], schema=_ARROW)
 
 
-def _pack(ids: np.ndarray, blocks: np.ndarray, pos: np.ndarray, *more: tuple[np.ndarray, str]) -> bytes:
-    """Entries in the order of their documents; ids and blocks are of each entry."""
-    s, n = runs(ids)
+def _pack(ids: np.ndarray, keys: np.ndarray, pos: np.ndarray, *more: tuple[np.ndarray, str]) -> bytes:
+    """Entries in the order of their documents; ids and keys are of each entry."""
+    s = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]))
+    n = np.diff(np.append(s, len(ids)))
     step = np.diff(pos, prepend=0).astype(np.int32)
-    return b"".join([np.array([len(s), len(ids)], np.int64).tobytes(), ids[s].astype("<i8").tobytes(), blocks[s].astype("<i4").tobytes(), planes(n, "<i4"), planes(step, "<i4"), *(planes(x, kind) for x, kind in more)])
+    return b"".join([np.array([len(s), len(ids)], np.int64).tobytes(), ids[s].astype("<i8").tobytes(), keys[s].astype("<i8").tobytes(), planes(n, "<i4"), planes(step, "<i4"), *(planes(x, kind) for x, kind in more)])
 
 
 def _unpack(b: bytes, *kinds: str) -> list[np.ndarray]:
     docs, n = (int(x) for x in np.frombuffer(b, np.int64, 2))
     at = 16
     ids = np.frombuffer(b, "<i8", docs, at)
-    blocks = np.frombuffer(b, "<i4", docs, at := at + 8 * docs)
-    counts = unplaned(b[(at := at + 4 * docs) : at + 4 * docs], docs, "<i4")
+    keys = np.frombuffer(b, "<i8", docs, at := at + 8 * docs)
+    counts = unplaned(b[(at := at + 8 * docs) : at + 4 * docs], docs, "<i4")
     at += 4 * docs
-    out = [np.repeat(ids, counts), np.repeat(blocks, counts), np.cumsum(unplaned(b[at : at + 4 * n], n, "<i4"), dtype=np.int64)]
+    out = [np.repeat(ids, counts), np.repeat(keys, counts), np.cumsum(unplaned(b[at : at + 4 * n], n, "<i4"), dtype=np.int64)]
     at += 4 * n
     for kind in kinds:
         size = np.dtype(kind).itemsize * n
@@ -63,33 +64,34 @@ def _unpack(b: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _later(h: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries whose hash has an earlier (id, pos); for those the entry of the earliest; entries that stand for each hash."""
+def _later(h: np.ndarray, ids: np.ndarray, keys: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries whose hash has an earlier (id, key, pos); for those the entry of the earliest; entries that stand for each hash."""
     o = np.argsort(h)
     hs = h[o]
     again = np.concatenate([[False], hs[1:] == hs[:-1]]) if len(h) else np.zeros(0, bool)
     group = again.copy()
     group[:-1] |= again[1:]
     single, some = o[~group], o[group]
-    some = some[np.lexsort((pos[some], ids[some], h[some]))]
+    some = some[np.lexsort((pos[some], keys[some], ids[some], h[some]))]
     s, n = runs(h[some])
     first = np.repeat(some[s], n)
-    later = (ids[some] != ids[first]) | (pos[some] != pos[first])
+    later = (ids[some] != ids[first]) | (keys[some] != keys[first]) | (pos[some] != pos[first])
     return some[later], first[later], np.sort(np.concatenate([single, some[s]]))
 
 
-def _answers(ids: np.ndarray, blocks: np.ndarray, pos: np.ndarray, ref: np.ndarray, ref_pos: np.ndarray) -> list[tuple[int, int, bytes]]:
-    o = np.lexsort((pos, ids, blocks))
-    ids, blocks, pos, ref, ref_pos = (x[o] for x in (ids, blocks, pos, ref, ref_pos))
+def _answers(buckets: int, ids: np.ndarray, keys: np.ndarray, pos: np.ndarray, ref: np.ndarray, ref_pos: np.ndarray) -> list[tuple[int, int, bytes]]:
+    blocks = keys % buckets
+    o = np.lexsort((pos, ids, keys, blocks))
+    ids, keys, blocks, pos, ref, ref_pos = (x[o] for x in (ids, keys, blocks, pos, ref, ref_pos))
     s, n = runs(blocks)
-    return [(int(blocks[a]), _ANSWER, _pack(ids[a : a + m], blocks[a : a + m], pos[a : a + m], (ref[a : a + m], "<i8"), ((ref_pos - pos)[a : a + m], "<i4"))) for a, m in zip(s, n, strict=True)]
+    return [(int(blocks[a]), _ANSWER, _pack(ids[a : a + m], keys[a : a + m], pos[a : a + m], (ref[a : a + m], "<i8"), ((ref_pos - pos)[a : a + m], "<i4"))) for a, m in zip(s, n, strict=True)]
 
 
 def _index_windows(window: int, buckets: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
-            blocks = batch.column(1).to_numpy(zero_copy_only=False)
+            keys = batch.column(1).to_numpy(zero_copy_only=False)
             for lo, data, off in texts_of(batch.column(2)):
                 starts, ends, counts = word_spans(data, off)
                 at, row, start = gram_rows(counts, window)
@@ -97,8 +99,8 @@ def _index_windows(window: int, buckets: int):
                     continue
                 h = gram_hashes(word_hashes(data, starts, ends), window)[at]
                 row += lo
-                later, first, stand = _later(h, ids[row], start)
-                out = _answers(ids[row[later]], blocks[row[later]], start[later], ids[row[first]], start[first])
+                later, first, stand = _later(h, ids[row], keys[row], start)
+                out = _answers(buckets, ids[row[later]], keys[row[later]], start[later], ids[row[first]], start[first])
                 h, row, start = h[stand], row[stand], start[stand]
                 bucket = ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
                 o = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
@@ -106,26 +108,30 @@ def _index_windows(window: int, buckets: int):
                 s, n = runs(bucket[o])
                 for b, a, m in zip(bucket[o][s], s, n, strict=True):
                     r = row[a : a + m]
-                    out.append((int(b), _INDEX, _pack(ids[r], blocks[r], start[a : a + m], (h[a : a + m], "<u8"))))
+                    out.append((int(b), _INDEX, _pack(ids[r], keys[r], start[a : a + m], (h[a : a + m], "<u8"))))
                 yield _rows(out)
 
     return of
 
 
-def _answer_from_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer_from_blocks(buckets: int):
     """One block of the reference: every index entry of some hashes. Answers from the chunks pass through."""
-    parts: list[list[np.ndarray]] = []
-    for batch in batches:
-        passed = []
-        for b, kind, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            passed.append((b, kind, x)) if kind == _ANSWER else parts.append(_unpack(x, "<u8"))
-        if passed:
-            yield _rows(passed)
-    if parts:
-        ids, blocks, pos, h = (np.concatenate(x) for x in zip(*parts, strict=True))
-        later, first, _ = _later(h, ids, pos)
-        if len(later):
-            yield _rows(_answers(ids[later], blocks[later], pos[later], ids[first], pos[first]))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []
+        for batch in batches:
+            passed = []
+            for b, kind, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                passed.append((b, kind, x)) if kind == _ANSWER else parts.append(_unpack(x, "<u8"))
+            if passed:
+                yield _rows(passed)
+        if parts:
+            ids, keys, pos, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+            later, first, _ = _later(h, ids, keys, pos)
+            if len(later):
+                yield _rows(_answers(buckets, ids[later], keys[later], pos[later], ids[first], pos[first]))
+
+    return of
 
 
 def _parse(pos: np.ndarray, ref: np.ndarray, shift: np.ndarray, window: int) -> list[dict]:
@@ -140,31 +146,40 @@ def _rewrite(window: int, names: list[str], id_col: str, text_col: str, out: pa.
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
         ready = None
+        met: set[int] = set()
         for batch in batches:
             kinds = batch.column("__tg_kind").to_numpy()
             if (n := int((kinds == _ANSWER).sum())) and (kinds[:n] == _ANSWER).all():
                 for x in batch.column("__tg_blob").slice(0, n).to_pylist():
-                    ids, _, *more = _unpack(x, "<i8", "<i4")
-                    parts.append([ids, *more])
+                    ids, keys, *more = _unpack(x, "<i8", "<i4")
+                    parts.append([ids, keys, *more])
                 batch = batch.slice(n)
             if not len(batch):
                 continue
             if ready is None:
-                ids, pos, ref, shift = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
-                o = np.lexsort((ref, pos, ids))
-                ids, pos, ref, shift = ids[o], pos[o], ref[o], shift[o]
-                one = np.concatenate([[True], (ids[1:] != ids[:-1]) | (pos[1:] != pos[:-1])]) if len(ids) else np.zeros(0, bool)
-                ready = [x[one] for x in (ids, pos, ref, shift)]
+                ids, keys, pos, ref, shift = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 5
+                o = np.lexsort((ref, pos, ids, keys))
+                ids, keys, pos, ref, shift = ids[o], keys[o], pos[o], ref[o], shift[o]
+                one = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]) | (pos[1:] != pos[:-1])]) if len(ids) else np.zeros(0, bool)
+                ready = [x[one] for x in (ids, keys, pos, ref, shift)]
                 parts.clear()
-            ids, pos, ref, shift = ready
+            ids, keys, pos, ref, shift = ready
             n_words, n_removed, kept, factors = [], [], [], []
             texts = batch.column(text_col).cast(pa.large_binary())
-            for i, t in zip(batch.column(id_col).to_pylist(), texts, strict=True):
+            for i, key, t in zip(batch.column(id_col).to_pylist(), batch.column("__tg_key").to_pylist(), texts, strict=True):
                 words = (t.as_py() or b"").split()
                 n_words.append(len(words))
-                key = NO_ID if i is None else i
-                a, b = np.searchsorted(ids, [key, key], "left")[0], np.searchsorted(ids, key, "right")
-                if a == b:
+                a, b = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+                doc = NO_ID if i is None else int(i)
+                a, b = a + np.searchsorted(ids[a:b], doc, "left"), a + np.searchsorted(ids[a:b], doc, "right")
+                copy = i is None and key in met
+                if i is None:
+                    met.add(key)
+                if copy and len(words) >= window:  # all of it starts in an earlier row
+                    n_removed.append(len(words))
+                    factors.append([{"start": 0, "length": len(words), "ref_id": int(NO_ID), "ref_start": 0}])
+                    words = []
+                elif a == b:
                     n_removed.append(0)
                     factors.append([])
                 else:
@@ -191,8 +206,10 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     kept ones are joined by one space. kept_text keeps one copy of everything.
 
     Null and empty texts have no words: 0, 0, "" and no factors. Rows without
-    an id come after all others and count as one document. Rows that repeat an id
-    and its text get equal results: neither is earlier than the other. Input
+    an id come after all others, each as a document of its own; they, and rows that
+    repeat an id with another text, are ordered by a hash of the text. Of equal texts
+    without an id one row is the first. Rows that repeat an id and its text get
+    equal results: neither is earlier than the other. Input
     columns named like an output are replaced. An empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -201,11 +218,14 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     names = [c for c in docs.columns if c not in {f.name for f in outputs}]
     docs = docs.select(*names)
     n = bucket_count(docs)
-    block = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).cast("int")
-    seeds = docs.select(F.col(id_col).cast("long").alias("id"), block.alias("block"), F.col(text_col).alias("text")).mapInArrow(trimmed(_index_windows(window, n)), _BLOBS)
-    answers = stored(by_bucket(seeds, n, "__tg_bucket").mapInArrow(trimmed(_answer_from_blocks), _BLOBS), "factors")
-    texts = docs.withColumns({"__tg_bucket": block, "__tg_kind": F.lit(_TEXT)})
-    both = by_bucket(answers.unionByName(texts, allowMissingColumns=True), n, "__tg_bucket").sortWithinPartitions("__tg_kind")
+    # equal texts without an id share a key, and so a bucket, where the first in the order of the other columns stays
+    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    block = F.pmod(key, F.lit(n)).cast("int")
+    seeds = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(text_col).alias("text")).mapInArrow(trimmed(_index_windows(window, n)), _BLOBS)
+    answers = stored(by_bucket(seeds, n, "__tg_bucket").mapInArrow(trimmed(_answer_from_blocks(n)), _BLOBS), "factors")
+    order = F.when(F.col(id_col).isNull(), F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]))
+    texts = docs.withColumns({"__tg_bucket": block, "__tg_kind": F.lit(_TEXT), "__tg_key": key, "__tg_order": order})
+    both = by_bucket(answers.unionByName(texts, allowMissingColumns=True), n, "__tg_bucket").sortWithinPartitions("__tg_kind", "__tg_order")
     schema = T.StructType([*docs.schema.fields, *outputs])
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -247,6 +247,21 @@ def test_substrings(docs):
     assert substring_dedup.dedup_substrings(docs.limit(0)).count() == 0
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    w = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    same = w("s", 8)
+    rows = [(None, f"{w('a', 30)} {same} {w('a', 3)} {same}"), (None, f"{w('b', 4)}"), (None, w("c", 60)), (None, same), (None, same), (None, same)]
+    rows += [(7, f"{w('d', 5)} {same}"), (7, f"{w('d', 5)} {w('e', 40)} {w('f', 9)}"), (7, w("f", 9)), (7, w("f", 9))]
+    d = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int")
+    got = {r.k: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.dedup_substrings(d, window=5).collect()}
+    assert got[0] == (49, 16, f"{w('a', 30)} {w('a', 3)}") and got[1] == (4, 0, rows[1][1]) and got[2] == (60, 0, rows[2][1])
+    assert [got[k][1] for k in (3, 4, 5)] == [8, 8, 8] and got[8] == got[9]
+    # one of the two texts with the same first five words, and one with the same last nine, keeps them
+    assert got[6][1] + got[7][1] + got[8][1] == 14
+    alone = substring_dedup.dedup_substrings(d.where("k in (3, 4, 5)"), window=5).collect()
+    assert sorted(r.n_removed for r in alone) == [0, 8, 8]
+
+
 def test_quality(spark, docs):
     got = quality_rules.apply_quality_rules(docs).collect()
     assert len(got) == docs.count()
