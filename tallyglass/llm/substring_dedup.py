@@ -1,14 +1,12 @@
-"""Removal of passages that repeat earlier text, by relative Lempel-Ziv parsing.
+"""Removal of passages that repeat earlier text, by windows of words.
 
 The reference is the whole corpus, cut into blocks by the hash of its windows of
-`window` words. Each block indexes its windows by their earliest place. Every
-document is factored against every block that can hold one of its windows: the
-blocks answer with the reference place of each window that they know from
-earlier text, and the document's parse greedily extends a factor for as long as
-consecutive windows continue in the same reference document at the next place.
-Windows that start in one factor and end behind it have had their own answer,
-so factors are checked at their boundaries too. Factors are at least `window`
-words long; the words they cover are removed.
+`window` words. Each block indexes its windows by their earliest place and answers
+with it for each window that it knows from earlier text. The words that such
+windows cover are removed: the windows decide. The factors are made afterwards, as a
+report: runs of windows whose earliest places follow each other. They aren't a
+greedy parse, as a factor also ends where the earliest place moves to another
+document.
 
 Scale: one exchange of 8 to 10 bytes for each window that is new within its
 chunk (a passage that many documents share costs one entry a chunk, so no block
