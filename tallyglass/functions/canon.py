@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,24 +34,42 @@ def framed(tag: str, data: Column) -> Column:
     return F.concat(binary(tag), u32(F.octet_length(data)), data)
 
 
-def nfc(c: Column, ascii_only: bool = False) -> Column:
-    """Normal form C. Only strings with a byte beyond ASCII can change; with ascii_only none is expected and no Python runs."""
-    if ascii_only:
-        return c
+def _normal(a: pa.Array) -> pa.Array:
+    """Normal form C of all strings in an Arrow array, also within lists and structs."""
+    if pa.types.is_string(a.type) or pa.types.is_large_string(a.type):
+        other = pc.fill_null(pc.invert(pc.string_is_ascii(a)), False)
+        if not pc.any(other).as_py():
+            return a
+        fixed = [unicodedata.normalize("NFC", x) for x in a.filter(other).to_pylist()]
+        return pc.replace_with_mask(a, other, pa.array(fixed, a.type))
+    if pa.types.is_list(a.type):
+        items = _normal(a.flatten())
+        sizes = pc.fill_null(pc.list_value_length(a), 0)
+        ends = pc.cumulative_sum(sizes.cast(pa.int32()))
+        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+        return pa.ListArray.from_arrays(offsets, items, type=a.type, mask=a.is_null())
+    if pa.types.is_struct(a.type):
+        return pa.StructArray.from_arrays([_normal(x) for x in a.flatten()], fields=list(a.type), mask=a.is_null())
+    return a
 
-    @F.pandas_udf(T.StringType())
-    def normal(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
-    return normal(c)
+def has_text(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return has_text(kind.elementType)
+    return any(has_text(f.dataType) for f in kind.fields) if isinstance(kind, T.StructType) else isinstance(kind, T.StringType)
+
+
+def nfc(c: Column, kind: T.DataType, ascii_only: bool = False) -> Column:
+    """Normal form C, by Arrow batches; with ascii_only no other form is expected and no Python runs."""
+    return c if ascii_only or not has_text(kind) else F.arrow_udf(_normal, kind)(c)
 
 
 def canonical_decimal(text: Column, scale: int = 6) -> Column:
     """Trimmed text cut (not rounded) to scale fraction digits; an error where it is no plain decimal."""
-    s = F.trim(text)
-    whole, frac = F.substring_index(s, ".", 1), F.when(F.instr(s, ".") > 0, F.substring(s, F.instr(s, ".") + 1, F.length(s))).otherwise(F.lit(""))
-    out = whole if scale == 0 else F.concat(whole, F.lit("."), F.rpad(F.substring(frac, 1, scale), scale, "0"))
-    return F.when(s.rlike(r"^[0-9-]+(\.[0-9]*)?$"), out).otherwise(F.when(s.isNull(), None).otherwise(F.raise_error(F.concat(F.lit("invalid decimal: "), s)).cast("string")))
+    s, form = F.trim(text), r"^([0-9-]+)(?:\.([0-9]*))?$"
+    whole = F.regexp_extract(s, form, 1)
+    out = whole if scale == 0 else F.concat(whole, F.lit("."), F.rpad(F.substring(F.regexp_extract(s, form, 2), 1, scale), scale, "0"))
+    return F.when(whole != "", out).otherwise(F.when(text.isNull(), None).otherwise(F.raise_error(F.concat(F.lit("invalid decimal: "), text)).cast("string")))
 
 
 def double_text(c: Column) -> Column:
@@ -70,55 +89,74 @@ def double_text(c: Column) -> Column:
 def double_decimal(c: Column, scale: int) -> Column:
     """canonical_decimal of double_text, by way of DECIMAL(38, 18), which keeps a double's shortest digits and is small code. An error from 1e38 on."""
     fine, coarse = c.try_cast("decimal(38,18)").cast("string"), c.try_cast("decimal(38,0)").cast("string")
-    point = F.instr(fine, ".")
-    cut = F.substring(fine, F.lit(1), point + scale) if scale else F.substring(fine, F.lit(1), point - 1)
+    cut = F.regexp_extract(fine, rf"^-?[0-9]+\.[0-9]{{{min(scale, 18)}}}" if scale else "^-?[0-9]+", 0)
     whole = F.concat(coarse, F.lit("." + "0" * scale if scale else ""))
-    given = F.rpad(cut, F.length(cut) if scale <= 18 else point + scale, "0")
-    return F.coalesce(given, whole, F.when(c.isNotNull(), F.raise_error(F.lit("a double beyond 38 digits")).cast("string")))
+    return F.coalesce(F.concat(cut, F.lit("0" * (scale - 18))), whole, F.when(c.isNotNull(), F.raise_error(F.lit("a double beyond 38 digits")).cast("string")))
 
 
-def timestamp_text(c: Column) -> Column:
-    """UTC with microseconds; the session's time zone has to be UTC for columns with a zone."""
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+def timestamp_text(c: Column, zoned: bool = False) -> Column:
+    """UTC with microseconds. A zoned column is an instant, whatever the session's time zone; one without a zone is taken as UTC."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC"):
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    if zoned:  # date_format would take the session's zone
+        epoch = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
+        c = epoch + F.make_dt_interval(secs=(F.unix_micros(c).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+    s = c.cast("timestamp_ntz").cast("string")
+    fraction = F.rpad(F.when(F.instr(s, ".") > 0, F.substring_index(s, ".", -1)).otherwise(F.lit("")), 6, "0")
+    return F.concat(F.replace(F.substring_index(s, ".", 1), F.lit(" "), F.lit("T")), F.lit("."), fraction, F.lit("Z"))
 
 
 def normalized_timestamp(text: Column, precision: str = "micros") -> Column:
     """RFC 3339 text as UTC text with microseconds."""
     if precision != "micros":
         raise ReconError(f"unsupported timestamp precision: {precision}")
-    return timestamp_text(F.to_utc_timestamp(F.to_timestamp(text), F.current_timezone()))
+    return timestamp_text(F.to_timestamp(text), zoned=True)
+
 
+def _text(c: Column, kind: T.DataType, spec: CanonSpec) -> tuple[Column, Column] | None:
+    """Tag and text of a value that has such; None for other types. Strings that start with dec: or ts: are decimals and raw timestamps."""
+    if isinstance(kind, T.StringType):
+        dec, ts = c.startswith("dec:"), c.startswith("ts:")
+        number = canonical_decimal(F.when(dec, F.substring(c, 5, 1 << 30)), spec.decimal_scale)
+        return F.when(dec, binary(DECIMAL)).when(ts, binary(TIMESTAMP)).otherwise(binary(STRING)), F.when(dec, number).when(ts, F.substring(c, 4, 1 << 30)).otherwise(c)
+    if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        text = c.cast("string")
+        return (binary(STRING), text) if spec.integers == "string" else (binary(DECIMAL), canonical_decimal(text, spec.decimal_scale))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return binary(DECIMAL), double_decimal(c, spec.decimal_scale)
+    if isinstance(kind, T.DecimalType):
+        return binary(DECIMAL), canonical_decimal(c.cast("string"), spec.decimal_scale)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return binary(TIMESTAMP), timestamp_text(c, isinstance(kind, T.TimestampType))
+    return None
 
-def _string(c: Column, spec: CanonSpec) -> Column:
-    prefixed = F.when(c.startswith("dec:"), framed(DECIMAL, F.encode(canonical_decimal(F.when(c.startswith("dec:"), F.substring(c, 5, 1 << 30)), spec.decimal_scale), "UTF-8"))).when(c.startswith("ts:"), framed(TIMESTAMP, F.encode(F.substring(c, 4, 1 << 30), "UTF-8")))
-    return prefixed.otherwise(framed(STRING, F.encode(nfc(c, spec.ascii_only), "UTF-8")))
+
+def _framed_text(tag: Column, text: Column) -> Column:
+    return F.coalesce(F.concat(tag, u32(F.octet_length(text)), F.encode(text, "UTF-8")), binary(NULL))
 
 
 def encode_value(c: Column, kind: T.DataType, spec: CanonSpec) -> Column:
     """The canonical bytes of a value of that type."""
+    return _encoded(nfc(c, kind, spec.ascii_only), kind, spec)
+
+
+def _encoded(c: Column, kind: T.DataType, spec: CanonSpec) -> Column:
+    """The same of a value in normal form."""
+    if (text := _text(c, kind, spec)) is not None:
+        return _framed_text(*text)
     if isinstance(kind, T.NullType):
         return binary(NULL)
     if isinstance(kind, T.BooleanType):
         out = F.when(c, binary(BOOL + "01")).otherwise(F.when(~c, binary(BOOL + "00")))
-    elif isinstance(kind, T.StringType):
-        out = _string(c, spec)
-    elif isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-        text = F.encode(c.cast("string"), "UTF-8")
-        out = framed(STRING, text) if spec.integers == "string" else framed(DECIMAL, F.encode(canonical_decimal(c.cast("string"), spec.decimal_scale), "UTF-8"))
-    elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        out = framed(DECIMAL, F.encode(double_decimal(c, spec.decimal_scale), "UTF-8"))
-    elif isinstance(kind, T.DecimalType):
-        out = framed(DECIMAL, F.encode(canonical_decimal(c.cast("string"), spec.decimal_scale), "UTF-8"))
-    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        out = framed(TIMESTAMP, F.encode(timestamp_text(c), "UTF-8"))
     elif isinstance(kind, T.ArrayType):
-        items = F.transform(c, lambda x: encode_value(x, kind.elementType, spec if spec.ascii_only else spec.replaced(ascii_only=True)))
+        items = F.transform(c, lambda x: _encoded(x, kind.elementType, spec))
         if spec.array_as_set:
             items = F.array_sort(items)
         out = F.concat(binary(ARRAY), u32(F.size(c)), F.aggregate(items, F.lit(b""), lambda a, x: F.concat(a, x)))
     elif isinstance(kind, T.StructType) and spec.nested:
         names = sorted(kind.names, key=str.encode)
-        out = F.concat(binary(MAP), u32(F.lit(len(names))), *(x for n in names for x in (_name(n), encode_value(c.getField(n), kind[n].dataType, spec))))
+        out = F.concat(binary(MAP), u32(F.lit(len(names))), *(x for n in names for x in (_name(n), _encoded(c.getField(n), kind[n].dataType, spec))))
     else:
         raise ReconError(f"unsupported type of a content field: {kind.simpleString()}")
     return F.coalesce(out, binary(NULL))
@@ -138,6 +176,19 @@ def encode_fields(df: DataFrame, names: list[str], spec: CanonSpec) -> Column:
     return F.concat(*(x for n in names for x in (_name(n), encode_value(F.col(f"`{n}`"), types[n], spec)))) if names else F.lit(b"")
 
 
+def encoded_fields(df: DataFrame, names: list[str], spec: CanonSpec, carried: list[str]) -> DataFrame:
+    """The carried columns, and for each name a column with its framed value, in steps of one projection each, so that no value is made twice."""
+    encode_fields(df.limit(0), names, spec)  # the errors of a plan
+    types = {f.name: f.dataType for f in df.schema.fields}
+    kept = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carried)]
+    x = df.select(*kept, *(nfc(F.col(f"`{n}`"), types[n], spec.ascii_only).alias(f"__v{i}") for i, n in enumerate(names)))
+    kept = [F.col(f"__c{i}") for i in range(len(carried))]
+    texts = {i: _text(F.col(f"__v{i}"), types[n], spec) for i, n in enumerate(names)}
+    x = x.select(*kept, *(F.col(f"__v{i}") for i in texts), *(t[1].alias(f"__t{i}") for i, t in texts.items() if t is not None))
+    ends = [_framed_text(t[0], F.col(f"__t{i}")) if t is not None else _encoded(F.col(f"__v{i}"), types[names[i]], spec) for i, t in texts.items()]
+    return x.select(*(c.alias(o) for c, o in zip(kept, carried, strict=True)), *(F.concat(_name(n), e).alias(f"__e{i}") for i, (n, e) in enumerate(zip(names, ends, strict=True))))
+
+
 def canon_identity(df: DataFrame, identity: list[str], spec: CanonSpec) -> Column:
     """Identity fields in the order of the rule."""
     return encode_fields(df, identity, spec)

@@ -1,10 +1,13 @@
 """Merkle commitments of any number of rows.
 
-Leaves are sorted bytewise and folded in pairs, an odd last one with itself. The order
-is global, so rows get their place by a range exchange and the sizes of its parts;
-blocks of 2^BITS places are folded each in one expression, and their roots again,
-until one is left. Only counts of parts (one row a partition) and the root reach
-the driver.
+Leaves are sorted bytewise and folded in pairs, an odd last one with itself. Equal
+leaves are counted before the exchange and stay one row with a count, so a
+fingerprint that holds a large part of all rows is no hot task. The order is
+global: leaves are dealt by their first bytes, and the sizes of these parts (at
+most 65,536 rows) give each leaf its place. Blocks of 2^BITS places are then folded
+each in one expression, and their roots again until one is left. How many times
+follows from the number of rows, which is counted first (from the files' metadata,
+without hashing); only that number and the root reach the driver.
 """
 
 from __future__ import annotations
@@ -13,9 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canon import binary
-from ..functions.hashing import COMMUTATIVE, hash_of, merkle_leaf, merkle_node
-from ..functions.model import LeafNotFound
+from ..functions.hashing import COMMUTATIVE, hash_of, merkle_climb, merkle_fold, merkle_leaf, merkle_levels, merkle_node
 
+#: Levels of one block.
 BITS = 12
 
 
@@ -23,93 +26,96 @@ def empty_root(algorithm: str = "sha256") -> Column:
     return hash_of(binary("00" + "00" * 32), algorithm)
 
 
-def indexed_leaves(fps: DataFrame, fp: str = "fp", algorithm: str = "sha256") -> DataFrame:
-    """(idx, leaf): every leaf with its place in the bytewise order, from 0."""
-    leaf = merkle_leaf(F.col(fp), algorithm)
-    # parts by the leaf's first bytes: hashes are even, so no part is hot, and the order of parts is the order of leaves
-    x = fps.select(leaf.alias("leaf")).withColumn("part", F.conv(F.hex(F.substring("leaf", 1, 2)), 16, 10).cast("int"))
-    n = x.groupBy("part").agg(F.count("*").alias("n"))
-    before = n.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # at most 65,536 rows
-    at = F.row_number().over(Window.partitionBy("part").orderBy("leaf")) - 1
-    return x.join(F.broadcast(before), "part").withColumn("at", at).select((F.col("before") + F.col("at")).cast("long").alias("idx"), "leaf")
+def indexed_leaves(fps: DataFrame, fp: str = "fp", algorithm: str = "sha256", weight: str | None = None) -> DataFrame:
+    """(leaf, idx, copies): each distinct leaf with its first place in the bytewise order, from 0, and its number of copies.
 
+    weight names a column with the number of copies that a row stands for.
+    """
+    copies = F.count("*") if weight is None else F.sum(weight)
+    x = fps.select(F.col(fp).alias("__fp"), *([weight] if weight else [])).groupBy("__fp").agg(copies.cast("long").alias("copies"))
+    x = x.select(merkle_leaf(F.col("__fp"), algorithm).alias("leaf"), "copies")
+    # hashes are even, so no part is hot, and the order of parts is the order of leaves
+    x = x.withColumn("part", F.conv(F.hex(F.substring("leaf", 1, 2)), 16, 10).cast("int"))
+    parts = x.groupBy("part").agg(F.sum("copies").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", before.alias("before"))  # at most 65,536 rows
+    within = F.coalesce(F.sum("copies").over(Window.partitionBy("part").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return x.join(F.broadcast(parts), "part").withColumn("at", within).select("leaf", (F.col("before") + F.col("at")).cast("long").alias("idx"), "copies")
 
-def _level(nodes: Column, algorithm: str) -> Column:
-    pairs = F.sequence(F.lit(0), ((F.size(nodes) - 1) / 2).cast("int"))
-    return F.transform(pairs, lambda i: merkle_node(F.get(nodes, 2 * i), F.coalesce(F.get(nodes, 2 * i + 1), F.get(nodes, 2 * i)), algorithm))
 
+def _first_blocks(leaves: DataFrame, bits: int) -> DataFrame:
+    """(block, nodes): the leaves of each block in order; a run of equal leaves comes as one row a block."""
+    last = F.col("idx") + F.col("copies") - 1
+    x = leaves.select("leaf", "idx", last.alias("last"), F.explode(F.sequence(F.shiftright("idx", bits), F.shiftright(last, bits))).alias("block"))
+    lo, hi = F.greatest("idx", F.shiftleft("block", bits)), F.least("last", F.shiftleft(F.col("block") + 1, bits) - 1)
+    x = x.select("block", lo.alias("at"), (hi - lo + 1).cast("int").alias("times"), "leaf")
+    x = x.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "times", "leaf"))).alias("x"))
+    return x.select("block", F.flatten(F.transform("x", lambda s: F.array_repeat(s.leaf, s.times))).alias("nodes"))
 
-def fold(nodes: Column, levels: Column, algorithm: str = "sha256") -> Column:
-    """nodes after so many levels (a Column of at least 1)."""
-    return F.aggregate(F.sequence(F.lit(1), levels), nodes, lambda a, _: _level(a, algorithm))
 
+def _next_blocks(roots: DataFrame, bits: int) -> DataFrame:
+    x = roots.groupBy(F.shiftright("block", bits).alias("block")).agg(F.array_sort(F.collect_list(F.struct(F.col("block").alias("at"), "root"))).alias("x"))
+    return x.select("block", F.transform("x", lambda s: s.root).alias("nodes"))
 
-def _blocks(indexed: DataFrame, bits: int, algorithm: str) -> DataFrame:
-    rows = indexed.groupBy(F.shiftright("idx", bits).alias("block")).agg(F.array_sort(F.collect_list(F.struct("idx", "leaf"))).alias("x"))
-    return rows.select(F.col("block").alias("idx"), F.get(fold(F.transform("x", lambda s: s.leaf), F.lit(bits), algorithm), F.lit(0)).alias("leaf"))
 
+def _number(fps: DataFrame, weight: str | None) -> int:
+    return fps.count() if weight is None else fps.agg(F.sum(weight)).first()[0] or 0
 
-def merkle_root(fps: DataFrame, fp: str = "fp", algorithm: str = "sha256", bits: int = BITS) -> DataFrame:
-    """One row: count, merkle_root (binary). No rows give the empty set's root."""
-    leaves = indexed_leaves(fps, fp, algorithm)
-    n = fps.count()
-    level, left = leaves, n
-    while left > 1 << bits:
-        level, left = _blocks(level, bits, algorithm), (left + (1 << bits) - 1) >> bits
-    if n == 0:
-        return fps.sparkSession.range(1).select(F.lit(0).cast("long").alias("count"), empty_root(algorithm).alias("merkle_root"))
-    nodes = level.agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "leaf"))), lambda s: s.leaf).alias("x"))
-    depth = max(0, (left - 1).bit_length())
-    top = F.get(fold(F.col("x"), F.lit(depth), algorithm), F.lit(0)) if depth else F.get("x", F.lit(0))
-    return nodes.select(F.lit(n).cast("long").alias("count"), top.alias("merkle_root"))
 
+def _stages(leaves: DataFrame, n: int, bits: int, algorithm: str):
+    """Of each stage: its first level, how many it folds, its blocks and their roots."""
+    blocks, level, depth = _first_blocks(leaves, bits), 0, max(0, n - 1).bit_length()
+    while True:
+        levels = min(bits, depth - level)
+        roots = blocks.select("block", F.get(merkle_fold(F.col("nodes"), F.lit(levels), algorithm), F.lit(0)).alias("root"))
+        yield level, levels, blocks, roots
+        level += levels
+        if level == depth:
+            return
+        blocks = _next_blocks(roots, bits)
 
-def merkle_levels(fps: DataFrame, fp: str = "fp", algorithm: str = "sha256", bits: int = BITS) -> DataFrame:
-    """(level, idx, hash) of the whole tree below the root, for proofs."""
-    return _levels(indexed_leaves(fps, fp, algorithm), fps.count(), algorithm)
 
+def merkle_root(fps: DataFrame, fp: str = "fp", algorithm: str = "sha256", bits: int = BITS, weight: str | None = None) -> DataFrame:
+    """One row: count, merkle_root (binary). No rows give the empty set's root. weight names a column with the number of copies that a row stands for."""
+    roots, n = None, _number(fps, weight)
+    for *_, roots in _stages(indexed_leaves(fps, fp, algorithm, weight), n, bits, algorithm):
+        pass
+    return roots.agg(F.max("root").alias("root")).select(F.lit(n).cast("long").alias("count"), F.coalesce("root", empty_root(algorithm)).alias("merkle_root"))
 
-def _levels(leaves: DataFrame, n: int, algorithm: str) -> DataFrame:
-    """Every level is kept until the proofs are made; together they have twice as many rows as leaves."""
-    at, level, out = leaves.select("idx", F.col("leaf").alias("hash")), 0, None
-    while n > 1:
-        here = at.select(F.lit(level).alias("level"), "idx", "hash")
-        out = here if out is None else out.unionByName(here)
-        pair = at.groupBy(F.shiftright("idx", 1).alias("idx")).agg(F.min_by("hash", "idx").alias("l"), F.max_by("hash", "idx").alias("r"))
-        at, n, level = pair.select("idx", merkle_node(F.col("l"), F.col("r"), algorithm).alias("hash")).persist(), (n + 1) >> 1, level + 1
-    return out if out is not None else at.select(F.lit(0).alias("level"), "idx", "hash").limit(0)
 
+def inclusion_proofs(fps: DataFrame, wanted: DataFrame, fp: str = "fp", algorithm: str = "sha256", bits: int = BITS, weight: str | None = None) -> DataFrame:
+    """(leaf, idx, proof) for each distinct leaf of wanted.fp: siblings from the bottom; the smallest place of equal leaves. A leaf that isn't there is an error.
 
-def inclusion_proofs(fps: DataFrame, wanted: DataFrame, fp: str = "fp", algorithm: str = "sha256") -> DataFrame:
-    """(leaf, idx, proof) for each distinct leaf of wanted.fp: siblings from the bottom; the smallest place of equal leaves. A leaf that isn't there is an error."""
-    leaves = indexed_leaves(fps, fp, algorithm).persist()
-    n = leaves.count()
-    depth = max(0, (n - 1).bit_length())
-    place = leaves.groupBy("leaf").agg(F.min("idx").alias("idx"))
-    found = wanted.select(merkle_leaf(F.col(fp), algorithm).alias("leaf")).distinct().join(place, "leaf", "left")
+    A block is folded once for all places that are wanted of it.
+    """
+    leaves = indexed_leaves(fps, fp, algorithm, weight)
+    ask = wanted.select(F.col(fp).alias("__fp")).distinct().select(merkle_leaf(F.col("__fp"), algorithm).alias("leaf"))
+    found = ask.join(leaves.select("leaf", "idx"), "leaf", "left")
     found = found.withColumn("idx", F.coalesce("idx", F.raise_error(F.lit("merkle leaf not found")).cast("long")))
-    if not depth:
-        return found.withColumn("proof", F.array().cast("array<binary>"))
-    levels = _levels(leaves, n, algorithm)
-    k = F.explode(F.sequence(F.lit(0), F.lit(depth - 1)))
-    step = found.withColumn("level", k).withColumn("own", F.expr("shiftright(idx, level)"))
-    last = F.expr(f"shiftright({n - 1}L, level)")
-    step = step.withColumn("sibling", F.least(F.col("own").bitwiseXOR(F.lit(1).cast("long")), last))
-    j = step.join(levels.select("level", F.col("idx").alias("sibling"), "hash"), ["level", "sibling"])
-    return j.groupBy("leaf", "idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "hash"))), lambda s: s.hash).alias("proof"))
+    steps = found.select("leaf", "idx", F.lit(None).cast("int").alias("level"), F.lit(None).cast("binary").alias("hash"))  # a tree of one leaf has empty proofs
+    for level, levels, blocks, _ in _stages(leaves, _number(fps, weight), bits, algorithm):
+        if not levels:
+            break
+        own = found.select("leaf", "idx", F.shiftright("idx", level).alias("at"))
+        places = own.select("at").distinct().groupBy(F.shiftright("at", bits).alias("block")).agg(F.collect_list("at").alias("places"))
+        x = blocks.join(places, "block").select("places", F.posexplode(merkle_levels(F.col("nodes"), F.lit(levels), algorithm)).alias("level", "nodes"))
+        x = x.select("level", "nodes", F.explode("places").alias("at"))
+        local = F.expr(f"shiftright(at & {(1 << bits) - 1}L, level)").cast("int")
+        x = x.select("at", (F.col("level") + level).alias("level"), F.get("nodes", F.least(local.bitwiseXOR(F.lit(1)), F.size("nodes") - 1)).alias("hash"))
+        steps = steps.unionByName(own.join(x, "at").select("leaf", "idx", "level", "hash"))
+    x = steps.groupBy("leaf", "idx").agg(F.array_sort(F.collect_list(F.when(F.col("level").isNotNull(), F.struct("level", "hash")))).alias("x"))
+    return x.select("leaf", "idx", F.transform("x", lambda s: s.hash).alias("proof"))
 
 
 def verified_inclusion(leaf: Column, idx: Column, proof: Column, root: Column, algorithm: str = "sha256") -> Column:
     """Whether the proof leads from the leaf at idx to the root."""
-    start = F.struct(leaf.alias("h"), idx.cast("long").alias("i"))
-    end = F.aggregate(proof, start, lambda a, s: F.struct(F.when(a.i % 2 == 0, merkle_node(a.h, s, algorithm)).otherwise(merkle_node(s, a.h, algorithm)).alias("h"), F.floor(a.i / 2).cast("long").alias("i")))
-    return end.h == root
+    return merkle_climb(leaf, idx.cast("long"), proof, algorithm) == root
 
 
-def verified_anywhere(leaf: Column, proof: Column, root: Column, count: Column, algorithm: str = "sha256") -> Column:
-    """Whether it leads there from any place; only the 2^depth side patterns differ."""
-    places = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.least(count.cast("long") - 1, F.shiftleft(F.lit(1).cast("long"), 20) - 1)))
-    return F.exists(places, lambda i: verified_inclusion(leaf, i, proof, root, algorithm))
+def verified_anywhere(leaf: Column, proof: Column, root: Column) -> Column:
+    """Whether it leads there from any place (SHA-256). Tries every side of every step, so its work doubles with each: with a known place take verified_inclusion."""
+    both = lambda a, s: F.array_distinct(F.concat(F.transform(a, lambda h: merkle_node(h, s)), F.transform(a, lambda h: merkle_node(s, h))))
+    return F.array_contains(F.aggregate(proof, F.array(leaf), both), root)
 
 
 def commutative_root(fps: DataFrame, fp: str = "fp", algorithm: str = "sha256") -> DataFrame:
@@ -117,29 +123,3 @@ def commutative_root(fps: DataFrame, fp: str = "fp", algorithm: str = "sha256")
     word = [F.conv(F.hex(F.substring(fp, 4 * i + 1, 4)), 16, 10).cast("long") for i in range(8)]
     x = fps.agg(*(F.coalesce(F.bit_xor(w), F.lit(0)).alias(f"w{i}") for i, w in enumerate(word)))
     return x.select(hash_of(F.concat(binary(COMMUTATIVE), *(F.unhex(F.lpad(F.hex(f"w{i}"), 8, "0")) for i in range(8))), algorithm).alias("commutative_root"))
-
-
-def python_fold(leaves: list[bytes]) -> bytes:
-    """The root of sorted leaves on the driver, for documents with few of them."""
-    import hashlib
-
-    if not leaves:
-        return hashlib.sha256(b"\0" + bytes(32)).digest()
-    level = sorted(leaves)
-    while len(level) > 1:
-        level = [hashlib.sha256(b"\x10" + level[i] + level[min(i + 1, len(level) - 1)]).digest() for i in range(0, len(level), 2)]
-    return level[0]
-
-
-def python_proof(leaves: list[bytes], leaf: bytes) -> list[bytes]:
-    import hashlib
-
-    level = sorted(leaves)
-    if leaf not in level:
-        raise LeafNotFound("merkle leaf not found")
-    at, out = level.index(leaf), []
-    while len(level) > 1:
-        out.append(level[min(at ^ 1, len(level) - 1)])
-        level = [hashlib.sha256(b"\x10" + level[i] + level[min(i + 1, len(level) - 1)]).digest() for i in range(0, len(level), 2)]
-        at >>= 1
-    return out

@@ -1,87 +1,200 @@
 """Multiset comparison of a source and a sink by identity and content.
 
-Both sides are put together and dealt by identity once; all that follows are windows
-and sums on that dealing. Within an identity, equal contents match one to one, what is left
-over is paired in the order of positions (mutated), and unpaired source rows are
-missing. An identity with more sink than source rows is duplicated; one without a
-source row at all is a phantom among them.
-
-An identity that holds a large part of all rows would make one hot task, so rows are
-first counted by (identity, content, side): equal copies of a record, which is what hot
-identities are made of, are one row with a count and their positions from there on.
+Within an identity, equal contents match one to one, what is left over is paired in
+the order of positions (mutated), and unpaired source rows are missing. An identity
+with more sink than source rows is duplicated; one without a source row at all is a
+phantom among them.
+
+Scale: copies are counted by (identity, content) before the exchange, so a hot
+record is a row with two counts, and nearly all of a result follows from counts,
+which are kept (on disk where memory is short) until release(). Rows are read again
+only for what needs positions: groups with other numbers on both sides. Where these
+are at most SMALL groups they are broadcast, else joined by exchange. Their rows are
+ranked; a group of over RANGE rows is ranked by ranges of its positions and the
+sizes of the ranges before, so no group is one task.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.model import DuplicatePolicy, Tolerances
 
 SOURCE, SINK = "source", "sink"
+#: Rows of a group that one task ranks.
+RANGE = 1 << 20
+#: Groups with other numbers on both sides (under 200 bytes each) that are broadcast.
+SMALL = 200_000
+_GROUP = ["id_hash", "content_hash"]
+
+
+def range_of(pos: Column, lo: Column, hi: Column, kind: T.DataType, parts: Column) -> Column:
+    """A number from 0 to parts - 1 that never falls as pos rises, by equal steps from lo to hi; 0 for types that have no steps, nulls of a whole pos last."""
+    if isinstance(kind, T.StructType):
+        out = F.lit(0).cast("long")
+        for f in reversed(kind.fields):
+            a, b = lo.getField(f.name), hi.getField(f.name)
+            out = F.when(a.eqNullSafe(b), out).otherwise(F.coalesce(range_of(pos.getField(f.name), a, b, f.dataType, parts), F.lit(0).cast("long")))
+    elif isinstance(kind, T.NumericType):
+        x, a, b = (c.cast("double") for c in (pos, lo, hi))
+        out = F.least(parts - 1, F.greatest(F.lit(0), F.floor((x - a) / F.nullif(b - a, F.lit(0.0)) * parts))).cast("long")
+    else:
+        out = F.lit(0).cast("long")
+    return out
+
+
+def ranked(rows: DataFrame, keys: list[str], groups: DataFrame | None, rank: str) -> DataFrame:
+    """rows with rank, from 1, within keys by pos (nulls last), then content_hash.
+
+    groups has keys, size, lo and hi (of pos) of each group; those of over RANGE rows
+    are at most one for every RANGE rows, and so are their ranges: they are broadcast.
+    Without groups none is larger.
+    """
+    order = [F.col("pos").asc_nulls_last(), F.col("content_hash")]
+    if groups is None:
+        return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    kind = rows.schema["pos"].dataType
+    big = groups.where(F.col("size") > RANGE).select(*keys, "lo", "hi", F.ceil(F.col("size") / RANGE).cast("long").alias("parts"))
+    at = F.when(F.col("pos").isNull(), F.col("parts") - 1).otherwise(F.coalesce(range_of(F.col("pos"), F.col("lo"), F.col("hi"), kind, F.col("parts")), F.lit(0))).cast("long")
+    sizes = rows.join(F.broadcast(big), keys).withColumn("part", at).groupBy(*keys, "part").agg(F.count("*").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*keys, "part", before.alias("before"))
+    x = rows.join(F.broadcast(big), keys, "left").withColumn("part", F.coalesce(F.when(F.col("parts").isNotNull(), at), F.lit(0))).drop("lo", "hi", "parts")
+    x = x.join(F.broadcast(sizes), [*keys, "part"], "left")
+    return x.withColumn(rank, F.row_number().over(Window.partitionBy(*keys, "part").orderBy(*order)) + F.coalesce("before", F.lit(0))).drop("part", "before")
 
 
 @dataclass(frozen=True)
 class Reconciliation:
-    """Frames: pairs (each row with its class), summary (one row of counts)."""
-
-    rows: DataFrame
+    """Frames of a comparison. source and sink have id_hash, content_hash, fp and pos."""
+
+    source: DataFrame
+    sink: DataFrame
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """(id_hash, content_hash, fp, s, k, lo, hi): copies on both sides, and the ends of their positions."""
+        both = self.source.withColumn("side", F.lit(0)).unionByName(self.sink.withColumn("side", F.lit(1)))
+        n = both.groupBy(*_GROUP).agg(F.min("fp").alias("fp"), F.count_if(F.col("side") == 0).alias("s"), F.count_if(F.col("side") == 1).alias("k"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+        return n.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def release(self) -> None:
+        """Drops the kept counts; later uses count again."""
+        self.counts.unpersist()
+
+    @cached_property
+    def _uneven(self) -> tuple[int, int]:
+        """Groups with other numbers on both sides, and the most rows that a ranking of theirs can hold; one job, which fills the counts."""
+        r = self.counts.where("s != k").agg(F.count("*").alias("n"), F.max(F.greatest("s", "k")).alias("m"), F.sum(F.abs(F.col("s") - F.col("k"))).alias("rest")).first()
+        return r.n, max(r.m or 0, r.rest or 0)
+
+    def _ranked(self, rows: DataFrame, keys: list[str], groups: DataFrame) -> DataFrame:
+        return ranked(rows, keys, groups if self._uneven[1] > RANGE else None, "rank")
+
+    @cached_property
+    def identities(self) -> DataFrame:
+        """(id_hash, s, k, left_s, left_k, lo, hi): copies, and copies without an equal one, of each identity."""
+        over = lambda a, b: F.sum(F.greatest(F.col(a) - F.col(b), F.lit(0)))
+        return self.counts.groupBy("id_hash").agg(F.sum("s").alias("s"), F.sum("k").alias("k"), over("s", "k").alias("left_s"), over("k", "s").alias("left_k"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+    def _rows(self, side: str, groups: DataFrame) -> DataFrame:
+        """The side's rows of some groups, with what the groups have."""
+        rows = (self.source if side == SOURCE else self.sink).select("id_hash", "content_hash", "pos")
+        if not self._uneven[0]:
+            return rows.limit(0).join(groups.limit(0), _GROUP)
+        return rows.join(F.broadcast(groups) if self._uneven[0] <= SMALL else groups, _GROUP)
+
+    def _left_over(self, side: str, ids: DataFrame) -> DataFrame:
+        """(id_hash, content_hash, fp, pos): the side's copies without an equal one, of some identities."""
+        own, other = ("s", "k") if side == SOURCE else ("k", "s")
+        groups = self.counts.where(F.col(own) > F.col(other)).join(ids.select("id_hash"), "id_hash", "left_semi").select(*_GROUP, "fp", F.col(own).alias("own"), F.col(other).alias("other"), "lo", "hi")
+        alone = self._rows(side, groups.where("other = 0").select(*_GROUP, "fp"))
+        some = groups.where("other > 0")
+        partly = self._ranked(self._rows(side, some.select(*_GROUP, "fp", "other")), _GROUP, some.select(*_GROUP, F.col("own").alias("size"), "lo", "hi")).where("rank > other")
+        columns = [*_GROUP, "fp", "pos"]
+        return alone.select(*columns).unionByName(partly.select(*columns))
 
     @property
     def matched(self) -> DataFrame:
         """Source rows that have an equal sink row."""
-        return self.rows.where("side = 'source' and class = 'matched'").select("id_hash", "content_hash", "fp", "pos")
+        columns = [*_GROUP, "fp", "pos"]
+        all_of = self.counts.where("k > 0 and s > 0 and s <= k").select(*_GROUP, "fp")
+        sure = self.source.select(*_GROUP, "pos").join(all_of, _GROUP)
+        some = self.counts.where("k > 0 and s > k")
+        partly = self._ranked(self._rows(SOURCE, some.select(*_GROUP, "fp", "k")), _GROUP, some.select(*_GROUP, F.col("s").alias("size"), "lo", "hi")).where("rank <= k")
+        return sure.select(*columns).unionByName(partly.select(*columns))
+
+    @property
+    def matched_fingerprints(self) -> DataFrame:
+        """(fp, copies) of what matched, from the counts alone."""
+        return self.counts.select("fp", F.least("s", "k").alias("copies")).where("copies > 0")
+
+    @cached_property
+    def _contested(self) -> DataFrame:
+        return self.identities.where("left_s > 0 and left_k > 0")
+
+    def _paired(self, side: str) -> DataFrame:
+        """The side's left-over copies of identities with such on both sides, with rank in the identity."""
+        ids = self._contested
+        rows = self._left_over(side, ids)
+        return self._ranked(rows, ["id_hash"], ids.select("id_hash", F.col("left_s" if side == SOURCE else "left_k").alias("size"), "lo", "hi"))
 
     @property
     def missing(self) -> DataFrame:
-        return self.rows.where("side = 'source' and class = 'missing'").select("id_hash", "content_hash", "fp", "pos")
+        columns = [*_GROUP, "fp", "pos"]
+        sure = self._left_over(SOURCE, self.identities.where("left_s > 0 and left_k = 0"))
+        ids = self._contested.where("left_s > left_k")
+        late = self._paired(SOURCE).join(ids.select("id_hash", "left_k"), "id_hash").where("rank > left_k")
+        return sure.select(*columns).unionByName(late.select(*columns))
 
     @property
     def mutated_copies(self) -> DataFrame:
-        return self.rows.where("side = 'source' and class = 'mutated'").select("id_hash", F.col("content_hash").alias("source_content_hash"), F.col("other").alias("sink_content_hash"))
+        """(id_hash, source_content_hash, sink_content_hash, copies): how often each pair of contents was paired."""
+        both = self._paired(SOURCE).select("id_hash", "rank", "content_hash", F.lit(0).alias("side")).unionByName(self._paired(SINK).select("id_hash", "rank", "content_hash", F.lit(1).alias("side")))
+        pairs = both.groupBy("id_hash", "rank").agg(F.max(F.when(F.col("side") == 0, F.col("content_hash"))).alias("source_content_hash"), F.max(F.when(F.col("side") == 1, F.col("content_hash"))).alias("sink_content_hash"))
+        pairs = pairs.where("source_content_hash is not null and sink_content_hash is not null")
+        return pairs.groupBy("id_hash", "source_content_hash", "sink_content_hash").agg(F.count("*").alias("copies"))
 
     @property
     def mutated(self) -> DataFrame:
         """Each pair of contents once."""
-        return self.mutated_copies.distinct()
+        return self.mutated_copies.drop("copies")
 
     @property
     def duplicated(self) -> DataFrame:
-        n = self.rows.groupBy("id_hash").agg(F.count_if(F.col("side") == SOURCE).alias("source_multiplicity"), F.count_if(F.col("side") == SINK).alias("sink_multiplicity"))
-        return n.where("sink_multiplicity > source_multiplicity").withColumn("is_phantom", F.col("source_multiplicity") == 0)
+        n = self.identities.where("k > s")
+        return n.select("id_hash", F.col("s").alias("source_multiplicity"), F.col("k").alias("sink_multiplicity"), (F.col("s") == 0).alias("is_phantom"))
 
     def summary(self) -> DataFrame:
         """One row: counts of both sides and classes, excess of duplicates."""
-        per = self.rows.groupBy("id_hash").agg(*(F.count_if((F.col("side") == side) if kind is None else (F.col("side") == side) & (F.col("class") == kind)).alias(name) for name, side, kind in (("source_count", SOURCE, None), ("sink_count", SINK, None), ("matched", SOURCE, "matched"), ("missing", SOURCE, "missing"), ("mutated_copies", SOURCE, "mutated"))), F.collect_set(F.when((F.col("side") == SOURCE) & (F.col("class") == "mutated"), F.struct("content_hash", "other"))).alias("m"))
-        excess = F.greatest(F.lit(0), F.col("sink_count") - F.col("source_count"))
+        s, k, a, b = (F.col(c) for c in ("s", "k", "left_s", "left_k"))
         none = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-        return per.agg(*(none(F.sum(c)).alias(c) for c in ("source_count", "sink_count", "matched", "missing", "mutated_copies")), none(F.sum(F.size("m"))).alias("mutated"), none(F.sum((excess > 0).cast("long"))).alias("duplicated"), none(F.sum(excess)).alias("duplicate_excess"), none(F.sum(F.when(F.col("source_count") == 0, 1))).alias("phantoms"))
+        n = self.identities.agg(
+            none(F.sum(s)).alias("source_count"), none(F.sum(k)).alias("sink_count"), none(F.sum(s - a)).alias("matched"),
+            none(F.sum(F.greatest(a - b, F.lit(0)))).alias("missing"), none(F.sum(F.least(a, b))).alias("mutated_copies"),
+            F.count_if(k > s).alias("duplicated"), none(F.sum(F.greatest(k - s, F.lit(0)))).alias("duplicate_excess"), F.count_if(s == 0).alias("phantoms"),
+        )
+        pairs = self.mutated_copies.agg(F.count("*").alias("mutated"))
+        return n.join(F.broadcast(pairs)).select("source_count", "sink_count", "matched", "missing", "mutated_copies", "mutated", "duplicated", "duplicate_excess", "phantoms")  # one row each
 
 
-def reconcile(source: DataFrame, sink: DataFrame, partitions: int | None = None) -> Reconciliation:
-    """source and sink: fingerprints with a pos column (any orderable type, the same on both sides; without one, rows are ordered by content)."""
+def reconcile(source: DataFrame, sink: DataFrame) -> Reconciliation:
+    """source and sink: fingerprints with a pos column (any orderable type, the same on both sides; without one, rows are ordered by content).
 
-    def side(df: DataFrame, name: str) -> DataFrame:
+    Equal positions within a record are interchangeable; null positions come last. Empty sides give counts of 0.
+    """
+
+    def side(df: DataFrame) -> DataFrame:
         pos = F.col("pos") if "pos" in df.columns else F.lit(None).cast("long")
-        return df.select(F.lit(name).alias("side"), "id_hash", "content_hash", "fp", pos.alias("pos"))
+        return df.select("id_hash", "content_hash", "fp", pos.alias("pos"))
 
-    both = side(source, SOURCE).unionByName(side(sink, SINK))
-    x = both.repartition(partitions, "id_hash") if partitions else both.repartition("id_hash")
-    order = [F.col("pos").asc_nulls_last(), F.col("content_hash")]
-    same = Window.partitionBy("id_hash", "content_hash")
-    x = x.withColumns({
-        "rn": F.row_number().over(Window.partitionBy("id_hash", "content_hash", "side").orderBy(F.col("pos").asc_nulls_last())),
-        "pairs": F.least(F.count_if(F.col("side") == SOURCE).over(same), F.count_if(F.col("side") == SINK).over(same)),
-    })
-    x = x.withColumn("rest", F.col("rn") > F.col("pairs"))
-    x = x.withColumn("lrn", F.when(F.col("rest"), F.row_number().over(Window.partitionBy("id_hash", "side", "rest").orderBy(*order))))
-    pair = Window.partitionBy("id_hash", "lrn")
-    there = {s: F.count_if(F.col("rest") & (F.col("side") == s)).over(pair) > 0 for s in (SOURCE, SINK)}
-    x = x.withColumns({"has_source": there[SOURCE], "has_sink": there[SINK], "other": F.max(F.when(F.col("rest") & (F.col("side") == SINK), F.col("content_hash"))).over(pair)})
-    kind = F.when(~F.col("rest"), "matched").when((F.col("side") == SOURCE) & F.col("has_sink"), "mutated").when(F.col("side") == SOURCE, "missing").when(F.col("has_source"), "mutated").otherwise("extra")
-    return Reconciliation(x.select("side", "id_hash", "content_hash", "fp", "pos", kind.alias("class"), F.when(F.col("rest"), F.col("other")).alias("other")))
+    return Reconciliation(side(source), side(sink))
 
 
 def multiset_intersect(a: DataFrame, b: DataFrame) -> DataFrame:

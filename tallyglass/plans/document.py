@@ -2,46 +2,74 @@
 
 from __future__ import annotations
 
+import base64
+import json
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.model import Boundary, Policy, ReconError
-from ..functions.proof import VERSION, sign_document
+from ..functions.hashing import known_algorithm, merkle_leaf
+from ..functions.model import Boundary, Policy, PositionKind, ReconError
+from ..functions.proof import VERSION, policy_form, sign_document
 from ..operators.merkle import inclusion_proofs, merkle_root
 from ..operators.reconcile import reconcile, verdict_of
 
+#: Rows of a source up to which a verifier may look for a missing record's place by itself; beyond, documents name it.
+SEARCHED = 1 << 16
+
 
-def _root(fps: DataFrame) -> dict:
-    r = merkle_root(fps).first()
+def _root(fps: DataFrame, algorithm: str, weight: str | None = None) -> dict:
+    r = merkle_root(fps, algorithm=algorithm, weight=weight).first()
     return {"count": r["count"], "merkle_root": bytes(r.merkle_root).hex()}
 
 
-def build_document(source: DataFrame, sink: DataFrame, policy: Policy, salt: bytes, boundary: Boundary, signer, public: bytes, producer: str = "tallyglass", refs: tuple[str, str] = ("source", "sink"), reason: str | None = None, prev: str | None = None, limit: int = 100_000, created_at: str | None = None) -> dict:
-    """Reconciles, commits to both sides and what matched, and signs. More evidence rows than limit are an error, since a document has to hold all of them."""
+def _position(text: str, kind: PositionKind) -> str:
+    return base64.b64encode(json.dumps({"kind": kind.value, "value": text.encode().hex()}, separators=(",", ":")).encode()).decode()
+
+
+def build_document(source: DataFrame, sink: DataFrame, policy: Policy, salt: bytes, boundary: Boundary, signer, public: bytes, producer: str = "tallyglass", refs: tuple[str, str] = ("source", "sink"), reason: str | None = None, prev: str | None = None, limit: int = 100_000, created_at: str | None = None, kind: PositionKind = PositionKind.KAFKA_OFFSET) -> dict:
+    """Reconciles, commits to both sides and what matched, and signs. More evidence rows than limit are an error, since a document has to hold all of them.
+
+    A pair of contents that was mutated several times is one entry with its number of
+    copies; a missing record of a large source carries its place in the tree. Other
+    documents have no more than the fields of the form.
+    """
     if len(salt) != 32:
         raise ReconError("a salt has 32 bytes")
+    a = known_algorithm(policy.hash_algorithm)
     source, sink = source.persist(), sink.persist()
     r = reconcile(source, sink)
-    r.rows.persist()
-    s = r.summary()
-    row = s.withColumn("verdict", verdict_of(s, policy.tolerances, reason)).first()
-    if max(row.missing, row.mutated, row.duplicated) > limit:
-        raise ReconError(f"more than {limit} evidence rows; read them as frames instead")
-    missing = []
-    if row.missing:
-        proofs = {bytes(p.leaf): [bytes(h).hex() for h in p.proof] for p in inclusion_proofs(source, r.missing).collect()}
-        from ..functions.hashing import merkle_leaf
-
-        for m in r.missing.select("id_hash", merkle_leaf(r.missing["fp"]).alias("leaf"), "pos").orderBy("id_hash", "pos").collect():
-            missing.append({"id_hash": bytes(m.id_hash).hex(), "source_pos": str(m.pos), "merkle_leaf": bytes(m.leaf).hex(), "inclusion_proof": proofs[bytes(m.leaf)]})
-    doc = {
-        "vrp_version": VERSION, "producer": producer, "salt": salt.hex(), "prev_proof_hash": prev, "created_at": created_at,
-        "boundary": {"mode": boundary.mode.value, "value": boundary.value.decode()},
-        "policy": {"identity_rule": policy.identity_rule, "canon_version": policy.canon.version, "hash_algorithm": policy.hash_algorithm, "late_arrival_window": policy.late_arrival_window, "tolerances": {"max_drops": policy.tolerances.max_drops, "duplicates": policy.tolerances.duplicates.value, "max_mutations": policy.tolerances.max_mutations}},
-        "source": {"ref": refs[0], "commitment": _root(source)}, "sink": {"ref": refs[1], "commitment": _root(sink)},
-        "result": {
-            "matched": _root(r.matched), "missing": missing, "verdict": row.verdict, "unverified_reason": reason,
-            "duplicated": [{"id_hash": bytes(d.id_hash).hex(), "source_multiplicity": d.source_multiplicity, "sink_multiplicity": d.sink_multiplicity} for d in r.duplicated.orderBy("id_hash").collect()],
-            "mutated": [{"id_hash": bytes(m.id_hash).hex(), "source_content_hash": bytes(m.source_content_hash).hex(), "sink_content_hash": bytes(m.sink_content_hash).hex()} for m in r.mutated_copies.orderBy("id_hash", "source_content_hash").collect()],
-        },
-    }
-    return sign_document(doc, signer, public)
+    try:
+        s = r.summary()
+        row = s.withColumn("verdict", verdict_of(s, policy.tolerances, reason)).first()
+        if max(row.missing, row.mutated, row.duplicated) > limit:
+            raise ReconError(f"more than {limit} evidence rows; read them as frames instead")
+        missing = []
+        if row.missing:
+            lost = r.missing
+            proofs = {bytes(p.leaf): p for p in inclusion_proofs(source, lost, algorithm=a).collect()}
+            rows = lost.select("id_hash", merkle_leaf(F.col("fp"), a).alias("leaf"), "pos", F.to_json(F.struct("pos")).alias("text")).orderBy("id_hash", "pos").collect()
+            for m in rows:
+                p = proofs[bytes(m.leaf)]
+                at = json.dumps(json.loads(m.text).get("pos"), separators=(",", ":"))
+                missing.append({"id_hash": bytes(m.id_hash).hex(), "source_pos": _position(at, kind), "merkle_leaf": bytes(m.leaf).hex(), "inclusion_proof": [bytes(h).hex() for h in p.proof]} | ({"leaf_index": p.idx} if row.source_count > SEARCHED else {}))
+        pairs = r.mutated_copies.orderBy("id_hash", "source_content_hash", "sink_content_hash").collect() if row.mutated else []
+        double = r.duplicated.orderBy("id_hash").collect() if row.duplicated else []
+        doc = {
+            "vrp_version": VERSION, "producer": producer, "created_at": created_at,
+            "boundary": {"mode": boundary.mode.value, "value": base64.b64encode(boundary.value).decode()},
+            "source_ref": refs[0], "sink_ref": refs[1], "hash_algorithm": a, "canon_version": policy.canon.version, "salt": base64.b64encode(salt).decode(),
+            "source_commitment": _root(source, a), "sink_commitment": _root(sink, a),
+            "reconciliation": {
+                "matched": _root(r.matched_fingerprints, a, "copies"), "missing": missing,
+                "duplicated": [{"id_hash": bytes(d.id_hash).hex(), "source_multiplicity": d.source_multiplicity, "sink_multiplicity": d.sink_multiplicity} for d in double],
+                "mutated": [{"id_hash": bytes(m.id_hash).hex(), "source_content_hash": bytes(m.source_content_hash).hex(), "sink_content_hash": bytes(m.sink_content_hash).hex()} | ({"copies": m.copies} if m.copies > 1 else {}) for m in pairs],
+                "verdict": row.verdict, "unverified_reason": reason,
+            },
+            "policy": policy_form(policy), "chain": {"prev_proof_hash": prev},
+        }
+        return sign_document(doc, signer, public)
+    finally:
+        r.release()
+        source.unpersist()
+        sink.unpersist()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,12 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions.canon import encode_fields
 from ..functions.hashing import fingerprints
+from ..functions.proof import Ed25519, verify_document, verify_documents
 from ..functions.model import Boundary, CanonSpec, DuplicatePolicy, Policy, Tolerances, check_schema_drift
 from ..operators import faults
 from ..operators.merkle import commutative_root, inclusion_proofs, merkle_root, verified_inclusion
 from ..operators.reconcile import Reconciliation, balanced, honest, multiset_except, multiset_intersect, reconcile, verdict_of
+from .document import build_document
 from ..sources.boundary import offset_range, snapshot_range, time_window
-from ..sources.connectors import KafkaLog, row_hash
+from ..sources.connectors import KafkaLog, SnapshotTable, row_hash
+from ..sources.stores import scratch
 
 SALT = bytes([0xAB]) * 32
 ORDERS = Policy("field:o_orderkey", ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
@@ -120,11 +124,12 @@ def classes_sql(source: str, sink: str, policy: Policy, order: str, sink_order:
     """CTEs that end in z: side, id_hash, content_hash, fp, pos, class, other."""
     return f"""WITH b AS (SELECT 'source' AS side, id_hash, content_hash, fp, pos FROM {fp_sql(f'(SELECT *, {order} AS pos FROM {source})', policy, 'pos')}
   UNION ALL SELECT 'sink', id_hash, content_hash, fp, pos FROM {fp_sql(f'(SELECT *, {sink_order or order} AS pos FROM {sink})', policy, 'pos')}),
-r AS (SELECT *, row_number() OVER (PARTITION BY id_hash, content_hash, side ORDER BY pos) AS rn,
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id_hash, content_hash, side ORDER BY pos) AS rn,
   least(count(*) FILTER (WHERE side = 'source') OVER (PARTITION BY id_hash, content_hash), count(*) FILTER (WHERE side = 'sink') OVER (PARTITION BY id_hash, content_hash)) AS m FROM b),
 l AS (SELECT *, rn > m AS rest, row_number() OVER (PARTITION BY id_hash, side, rn > m ORDER BY pos, content_hash) AS lrn FROM r),
-z AS (SELECT s.side, s.id_hash, s.content_hash, s.fp, s.pos, o.content_hash AS other, CASE WHEN NOT s.rest THEN 'matched' WHEN o.id_hash IS NOT NULL THEN 'mutated' WHEN s.side = 'source' THEN 'missing' ELSE 'extra' END AS class
-  FROM l s LEFT JOIN l o ON s.rest AND o.rest AND s.id_hash = o.id_hash AND s.lrn = o.lrn AND s.side <> o.side),
+o AS (SELECT *, max(content_hash) FILTER (WHERE side = 'sink') OVER (PARTITION BY id_hash, rest, lrn) AS kc, max(content_hash) FILTER (WHERE side = 'source') OVER (PARTITION BY id_hash, rest, lrn) AS sc FROM l),
+z AS MATERIALIZED (SELECT side, id_hash, content_hash, fp, pos, CASE WHEN rest THEN CASE side WHEN 'source' THEN kc ELSE sc END END AS other,
+  CASE WHEN NOT rest THEN 'matched' WHEN sc IS NOT NULL AND kc IS NOT NULL THEN 'mutated' WHEN side = 'source' THEN 'missing' ELSE 'extra' END AS class FROM o),
 g AS (SELECT id_hash, count(*) FILTER (WHERE side = 'source') AS s, count(*) FILTER (WHERE side = 'sink') AS k FROM b GROUP BY id_hash)
 """
 
@@ -236,7 +241,7 @@ def merkle_root_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(root_sql(f"SELECT fp FROM ({_MIXED_SQL} SELECT fp FROM z WHERE side = 'source' AND class = 'matched')"))
 def merkle_root_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle_root(orders_pair(spark, sf_dir, "mixed").matched).select("count", *hexa("merkle_root"))
+    return merkle_root(orders_pair(spark, sf_dir, "mixed").matched_fingerprints, weight="copies").select("count", *hexa("merkle_root"))
 
 
 _PROOF_SQL = f"""WITH RECURSIVE f AS ({_SOURCE_FP}), t(level, i, h, n) AS (
@@ -315,6 +320,16 @@ def canon_nfc_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(encode_value(F.col("text"), T.StringType(), CanonSpec()), 256).alias("canon_sha256"))
 
 
+_ACCENT = "chr(101) || chr(769)"
+
+
+@query(f"SELECT doc_id, lower(hex(unhex('F00000000178A500000002') || {text_sql('A2', f'nfc_normalize(source || {_ACCENT})')} || {text_sql('A2', 'nfc_normalize(lang)')})) AS canon FROM documents")
+def canon_nfc_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays whose first string has a letter and an accent of its own."""
+    x = table(spark, sf_dir, "documents").select("doc_id", F.array(F.concat("source", F.lit("e\u0301")), F.col("lang")).alias("x"))
+    return x.select("doc_id", F.lower(F.hex(encode_fields(x, ["x"], CanonSpec()))).alias("canon"))
+
+
 # --- boundaries and scans -----------------------------------------------------------------------
 
 
@@ -368,3 +383,64 @@ def row_hash_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = check_schema_drift(["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_comment"], table(spark, sf_dir, "orders").columns)
     return spark.createDataFrame([("missing", f) for f in d.missing] + [("unexpected", f) for f in d.unexpected], "kind string, field string")
+
+
+@query("SELECT o_orderkey, o_orderstatus, CAST(o_orderkey % 3 + 1 AS BIGINT) AS snapshot_id FROM orders WHERE o_orderkey % 3 IN (1, 2)")
+def snapshot_manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a table of three snapshots, of which the last two are read."""
+    t = SnapshotTable(spark, scratch(spark, "snapshots"), "orders")
+    d = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    for i in (1, 2, 3):
+        t.write_snapshot(d.where(K() % 3 == i - 1), i)
+    return t.rows(Boundary.of("BATCH_ID", {"snapshot_from": 2, "snapshot_to": 3})).select("o_orderkey", "o_orderstatus", F.col("pos.a").alias("snapshot_id"))
+
+
+# --- documents ----------------------------------------------------------------------------------
+
+#: A key for tests only.
+TEST_SEED = bytes(range(32))
+
+
+class SeedSigner:
+    def __init__(self, spark: SparkSession, seed: bytes = TEST_SEED):
+        self.ed, self.seed = Ed25519(spark), seed
+
+    def sign(self, message: bytes) -> bytes:
+        return self.ed.sign(self.seed, message)
+
+
+#: The public key of TEST_SEED.
+TEST_PUBLIC = bytes.fromhex("03a107bff3ce10be1d70dd18e74bc09967e4d6309ba50d5f1ddc8664125531b8")
+
+
+@query(f"{_MIXED_SQL}, y AS ({SUMMARY_SQL}) SELECT source_count, sink_count, matched, missing, mutated, duplicated, {_verdict_sql('y', Tolerances())} AS verdict, 'the document holds' AS verified FROM y")
+def proof_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A signed document about orders with every kind of fault, verified."""
+    d = table(spark, sf_dir, "orders").withColumn("pos", K())
+    sides = fingerprints(d, ORDERS, SALT), fingerprints(FAULTS["mixed"][0](d), ORDERS, SALT)
+    doc = build_document(*sides, ORDERS, SALT, Boundary.of("BATCH_ID", {"batch_id": 1}), SeedSigner(spark), TEST_PUBLIC, created_at="2000-01-01T00:00:00Z")
+    r = doc["reconciliation"]
+    row = (doc["source_commitment"]["count"], doc["sink_commitment"]["count"], r["matched"]["count"], len(r["missing"]), len(r["mutated"]), len(r["duplicated"]), r["verdict"], verify_document(doc, TEST_PUBLIC, spark)[1])
+    return spark.createDataFrame([row], "source_count long, sink_count long, matched long, missing long, mutated long, duplicated long, verdict string, verified string")
+
+
+VECTORS = {"valid": "PASS", "tampered": "FAIL", "drop": "FAIL", "dup": "FAIL", "mutated": "FAIL"}
+
+
+def vector_documents(spark: SparkSession, algorithm: str = "sha256", only: list[str] | None = None) -> dict[str, dict]:
+    """Documents about five order records, one for each fault, and one with a damaged signature."""
+    d = faults.sample_records(spark, 5)
+    policy = Policy("composite:[line_id,order_id]", ("order_id", "line_id", "amount", "status"), ("_meta",), hash_algorithm=algorithm)
+    at = F.col("pos")
+    sinks = {"valid": d, "drop": faults.drop(d, at == 4), "dup": faults.duplicate(d, at == 2), "mutated": faults.mutate(d, at == 2, "amount", "dec:999.99")}
+    boundary = Boundary.of("OFFSET_RANGE", {"partitions": [{"id": 0, "start": 0, "end": 4}]})
+    out = {n: build_document(fingerprints(d, policy, SALT), fingerprints(x, policy, SALT), policy, SALT, boundary, SeedSigner(spark), TEST_PUBLIC, created_at="2000-01-01T00:00:00Z") for n, x in sinks.items() if only is None or n in only}
+    if "valid" in out:
+        out["tampered"] = out["valid"] | {"signature": out["valid"]["signature"] | {"sig": "/" * 85 + "w=="}}
+    return out
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS vector, '{o}' AS outcome, '{'bad signature' if n == 'tampered' else 'the document holds'}' AS reason" for n, o in VECTORS.items()))
+def verify_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.createDataFrame([(n, json.dumps(d)) for n, d in vector_documents(spark).items()], "vector string, document string")
+    return verify_documents(docs, TEST_PUBLIC).drop("document")

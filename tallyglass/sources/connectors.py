@@ -8,17 +8,19 @@ pushed_down() reads from the physical plan whether they were.
 from __future__ import annotations
 
 import json
-import uuid
+import os
+import re
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import fingerprints
 from ..functions.model import Boundary, BoundaryMode, ConnectorError, InvalidBoundary, Policy
-from .boundary import offset_range, snapshot_range
+from .boundary import bounded, offset_range, snapshot_range
+from .stores import Files
 
 
 class Connector(Protocol):
@@ -35,13 +37,25 @@ def fingerprint_boundary(c: Connector, boundary: Boundary, policy: Policy, salt:
     return fingerprints(c.rows(boundary), policy, salt)
 
 
-def pushed_down(df: DataFrame, columns: list[str]) -> bool:
-    """Whether the scan reads no more than these columns."""
-    import re
+@dataclass(frozen=True)
+class SinkBatch:
+    """Fingerprints of a sink, and whether its scan was cut to the columns that are hashed."""
+
+    fingerprints: DataFrame
+    pushdown_used: bool
+
+
+def fingerprint_sink(c: Connector, boundary: Boundary, policy: Policy, salt: bytes) -> SinkBatch:
+    rows = c.rows(boundary)
+    fps = fingerprints(rows, policy, salt)
+    return SinkBatch(fps, pushed_down(fps, [*policy.identity, *policy.effective]))
 
+
+def pushed_down(df: DataFrame, columns: list[str]) -> bool:
+    """Whether the scans read no more than these columns; False where the plan says nothing of what they read."""
     plan = df._jdf.queryExecution().executedPlan().toString()
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
-    return bool(schemas) and all({x.split(":")[0] for x in s.split(",") if x} <= set(columns) for s in schemas)
+    return bool(schemas) and all({x.split(":")[0] for x in s.split(",") if x and not x.startswith("_tmp_metadata_")} <= set(columns) for s in schemas)
 
 
 def parse_payload(log: DataFrame, schema: str | T.StructType, value: str = "value") -> DataFrame:
@@ -125,32 +139,31 @@ class SnapshotTable:
     def snapshots(self) -> DataFrame:
         return self.spark.read.schema("snapshot_id long, files array<string>").option("multiLine", True).json(f"{self.base}/metadata/snapshots.json")
 
+    def snapshot_ids(self) -> list[int]:
+        return [x["snapshot_id"] for x in json.loads(store.read("metadata/snapshots.json"))] if (store := Files(self.spark, self.base)).exists("metadata/snapshots.json") else []
+
     def write_snapshot(self, df: DataFrame, snapshot_id: int) -> None:
         """Writes the rows and adds the snapshot to the list; the list has as many entries as snapshots."""
         path = f"data/snap-{snapshot_id}"
         df.write.parquet(f"{self.base}/{path}")
         files = [f"{path}/{f.rsplit('/', 1)[1]}" for f in self.spark.read.parquet(f"{self.base}/{path}").inputFiles()]
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.base}/metadata/snapshots.json")
-        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        old = [{"snapshot_id": r.snapshot_id, "files": r.files} for r in self.snapshots().collect()] if fs.exists(at) else []
-        part = jvm.org.apache.hadoop.fs.Path(f"{self.base}/metadata/{uuid.uuid4().hex}.tmp")
-        out = fs.create(part, True)
-        out.write(bytearray(json.dumps([*old, {"snapshot_id": snapshot_id, "files": sorted(files)}]).encode()))
-        out.close()
-        fs.delete(at, False)
-        fs.rename(part, at)
+        store = Files(self.spark, self.base)
+        old = json.loads(store.read("metadata/snapshots.json")) if store.exists("metadata/snapshots.json") else []
+        store.write("metadata/snapshots.json", json.dumps([*old, {"snapshot_id": snapshot_id, "files": sorted(files)}]).encode())
 
     def rows(self, boundary: Boundary) -> DataFrame:
-        """Rows of the snapshots in the range; only their files are read. pos is snapshot, file and row in the file."""
+        """Rows of the snapshots in the range; only their files are read. pos is snapshot, file and row in the file. A file of the list that a row can't be told to be of is an error."""
         chosen = self.snapshots().where(snapshot_range(boundary)).select("snapshot_id", F.posexplode("files").alias("file_index", "file"))
         files = chosen.collect()  # one row per file of the chosen snapshots, as a scan lists them anyway
         if not files:
             raise InvalidBoundary("no snapshot in the boundary")
         data = self.spark.read.parquet(*[f"{self.base}/{f.file}" for f in files])
         names = self.spark.createDataFrame([(f.snapshot_id, f.file_index, f.file) for f in files], "snapshot_id long, file_index long, file string")
-        x = data.select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/data/"), -1).alias("__f"), F.col("_metadata.row_index").alias("row_index"))
-        x = x.join(names.withColumn("__f", F.element_at(F.split("file", "data/"), -1)), "__f").drop("__f", "file")
+        # files are told by the end of their paths; paths come URL-encoded
+        path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        x = data.select("*", F.substring_index(path, f"/{self.table}/", -1).alias("__f"), F.col("_metadata.row_index").alias("row_index"))
+        x = x.join(F.broadcast(names.withColumnRenamed("file", "__f")), "__f", "left")  # one row a file, as the scan's own list has
+        x = x.withColumn("snapshot_id", F.coalesce("snapshot_id", F.raise_error(F.concat(F.lit("no snapshot lists the file "), F.col("__f"))).cast("long"))).drop("__f")
         at = F.struct(F.col("snapshot_id").alias("a"), F.col("file_index").alias("b"), F.col("row_index").alias("c"))
         return x.withColumns({"pos": at, "pos_text": F.to_json(F.struct("file_index", "row_index", "snapshot_id"))}).drop("snapshot_id", "file_index", "row_index")
 
@@ -171,8 +184,6 @@ class TableRows:
         return f"table:{self.name}"
 
     def rows(self, boundary: Boundary | None = None) -> DataFrame:
-        from .boundary import bounded
-
         x = self.df if boundary is None else bounded(self.df, boundary)
         return x.withColumns({"pos": F.struct(*self.order), "pos_text": F.to_json(F.struct(*self.order))})
 
@@ -191,11 +202,69 @@ def row_hash_sql(table: str, fields: list[str], condition: str | None = None) ->
     return f"SELECT TO_HEX(SHA256(CONCAT({parts}))) AS row_hash FROM `{table}`" + (f" WHERE {condition}" if condition else "")
 
 
-SOURCES = {"memory_kafka": KafkaLog, "kafka": kafka_source, "msk": kafka_source, "eventhubs": kafka_source, "table": TableRows}
-SINKS = {"iceberg": SnapshotTable, "iceberg_s3": SnapshotTable, "iceberg-s3": SnapshotTable, "delta_adls": SnapshotTable, "databricks": TableRows, "table": TableRows}
+def kafka_position(offset: Column) -> Column:
+    """An offset as 8 bytes, the highest first."""
+    return F.unhex(F.lpad(F.hex(offset.cast("long")), 16, "0"))
+
+
+def bigquery_rows(spark: SparkSession, table: str, condition: str | None = None, **options: str) -> TableRows:
+    """A warehouse table by the BigQuery connector, with the filter pushed down; an error where the connector isn't installed."""
+    try:
+        x = spark.read.format("bigquery").options(**options)
+        df = (x.option("filter", condition) if condition else x).load(table)
+        return TableRows(df, tuple(df.columns), table)
+    except Exception as e:
+        raise ConnectorError(f"the BigQuery connector is not available: {e}") from e
+
+
+def _kafka(spark: SparkSession, c: dict, boundary: Boundary, schema: str) -> KafkaLog:
+    kind = c["type"]
+    security = msk_security(c.get("region") or "") if kind == "msk" else eventhubs_security(c.get("connection_string") or "") if kind == "eventhubs" else None
+    if not c.get("bootstrap_servers"):
+        raise ConnectorError(f"{kind} needs bootstrap_servers")
+    return kafka_source(spark, c["bootstrap_servers"], c["topic"], schema, boundary, security)
+
+
+def _memory(spark: SparkSession, c: dict, boundary: Boundary, schema: str) -> KafkaLog:
+    return KafkaLog(spark.createDataFrame([], "partition int, offset long, value binary"), schema, c["topic"])
+
+
+def _pubsub(spark: SparkSession, c: dict, boundary: Boundary, schema: str) -> KafkaLog:
+    from .pubsub import pull
+
+    return KafkaLog(pull(spark, c["project"], c["subscription"], boundary), schema, c["subscription"])
+
+
+def _snapshots(spark: SparkSession, c: dict) -> SnapshotTable:
+    root = c.get("warehouse_uri") or c.get("warehouse")
+    if not root:
+        raise ConnectorError(f"{c['type']} needs a warehouse")
+    root = root if "://" in root else "file://" + os.path.abspath(root)
+    return SnapshotTable(spark, root.replace("s3://", "s3a://", 1), c["table"])
+
+
+def _catalog(spark: SparkSession, c: dict) -> TableRows:
+    name = ".".join(x for x in (c.get("catalog"), c.get("schema"), c["table"]) if x)
+    df = spark.table(name)
+    return TableRows(df.where(F.expr(f)) if (f := c.get("boundary", {}).get("sql_filter")) else df, tuple(df.columns), name)
+
+
+def _warehouse(spark: SparkSession, c: dict) -> TableRows:
+    return bigquery_rows(spark, ".".join(x for x in (c.get("dataset"), c["table"]) if x), c.get("boundary", {}).get("sql_filter"))
+
+
+#: What a configuration can name: source makers take its section, the boundary and the payload's schema, sink makers its section.
+SOURCES = {"memory_kafka": _memory, "kafka": _kafka, "msk": _kafka, "eventhubs": _kafka, "pubsub": _pubsub}
+SINKS = {"iceberg": _snapshots, "iceberg_s3": _snapshots, "iceberg-s3": _snapshots, "delta_adls": _snapshots, "bigquery": _warehouse, "databricks": _catalog, "databricks_delta": _catalog, "table": _catalog}
+
+
+def build_source(spark: SparkSession, section: dict, boundary: Boundary, schema: str) -> Connector:
+    if section.get("type") not in SOURCES:
+        raise ConnectorError(f"unknown source: {section.get('type')}")
+    return SOURCES[section["type"]](spark, section, boundary, schema)
 
 
-def build(kind: str, registry: dict) -> type:
-    if kind not in registry:
-        raise ConnectorError(f"unknown connector: {kind}")
-    return registry[kind]
+def build_sink(spark: SparkSession, section: dict) -> Connector:
+    if section.get("type") not in SINKS:
+        raise ConnectorError(f"unknown sink: {section.get('type')}")
+    return SINKS[section["type"]](spark, section)
