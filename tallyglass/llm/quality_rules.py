@@ -1,10 +1,12 @@
 """Quality rules whose cutoffs adapt to each language and source.
 
-Every measure's first quartile and median are taken per group from mergeable quantile sketches over
-all documents, and the cutoffs are fences at a distance from them; documents
-are then joined with their group's cutoffs. All of it is DataFrame functions.
+Median and upper quantile of every measure are taken per group from mergeable quantile
+sketches over all documents; a cutoff lies beyond the upper quantile by a multiple of
+its distance from the median. Groups of few rows take the cutoffs of their
+language, and languages of few rows those of all. Documents are then joined
+with their group's cutoffs. All of it is DataFrame functions.
 
-Scale: one pass over the texts, whose measures are a small table; sketches are
+Scale: measures are a small table without the texts. Sketches of each level are
 merged from each task's, so a group with a third of all rows costs one sketch a
 task. Cutoffs are broadcast only if there are at most SMALL of them, else joined with
 the groups' rows split by salt.
@@ -22,9 +24,12 @@ SYMBOLS = "#*$%&|<>"
 ACCURACY = 10_000
 #: Groups up to which the cutoffs are broadcast, and salts beyond.
 SMALL, SALTS = 10_000, 32
-#: Measures in thousandths, and the least distance of a cutoff from the median (fixed values).
-SLACK = {"symbols_pm": 200, "dup_lines_pm": 600, "repeats_pm": 250, "word_length_pm": 3000}
-FENCE = 4
+#: Rows of a group from which it has cutoffs of its own.
+LEAST_ROWS = 200
+#: The sketch's quantiles that a cutoff is made of, and how many of their distances it lies beyond the upper one.
+QUANTILES, FENCE = (0.5, 0.9), 4
+#: Measures in thousandths, and the least distance of the quantiles (fixed values): where nearly all documents have 0, they have no distance.
+LEAST_SPREAD = {"symbols_pm": 40, "dup_lines_pm": 100, "repeats_pm": 50, "word_length_pm": 250}
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
 
 
@@ -65,36 +70,60 @@ def _thousandths() -> dict[str, Column]:
     return {"symbols_pm": per("n_symbols", "word_chars"), "dup_lines_pm": per("n_dup_lines", "n_lines"), "repeats_pm": per("n_repeat_words", "n_words"), "word_length_pm": per("word_chars", "n_words")}
 
 
-def apply_quality_rules(docs: DataFrame, text_col: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """Each row with its measures, base_failed and kept (boolean).
+def _cutoffs(x: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and max_* of each group, from the sketches of the smallest level with LEAST_ROWS rows."""
+    some = x.where("not base_failed").rollup(*keys).agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *(F.percentile_approx(m, list(QUANTILES), ACCURACY).alias(m) for m in LEAST_SPREAD))
+
+    def fence(m: str) -> Column:
+        mid, high = F.get(m, F.lit(0)), F.get(m, F.lit(1))
+        return (high + FENCE * F.greatest(high - mid, F.lit(LEAST_SPREAD[m]))).cast("long")
+
+    some = stored(some.select(*keys, "level", "n", F.struct(*(fence(m).alias(f"max_{m}") for m in LEAST_SPREAD)).alias("cut")), "cutoffs")
+    out = some.where("level = 0").select(*keys, F.when(F.col("n") >= LEAST_ROWS, F.col("cut")).alias("cut"))
+    for i in range(len(keys) - 1, -1, -1):  # from the nearest parent to all rows, which have no row limit
+        level = some.where(F.col("level") == (1 << len(keys) - i) - 1)
+        level = level.select(*keys[:i], (F.when(F.col("n") >= LEAST_ROWS, F.col("cut")) if i else F.col("cut")).alias("parent"))
+        out = (out.join(level, keys[:i], "left") if i else out.join(F.broadcast(level))).select(*keys, F.coalesce("cut", "parent").alias("cut"))  # all rows: one row
+    return stored(out.select(*keys, "cut.*"), "cutoffs")
+
+
+def apply_quality_rules(docs: DataFrame, texts: bool = True, text_col: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """Each row with its measures, base_failed and kept (boolean); without texts, all columns but the text.
 
     base_failed: fewer than 50 words, or more than half of them in repeated
     3-word windows. Others are kept unless a measure (symbols for each character
     of words, repeated lines, words in repeated windows, mean word length; in
-    thousandths) is above its group's cutoff: the median and FENCE times its distance
-    from the first quartile, or SLACK if that is more; what spoils less than half of
-    a group can't move it far. The quartiles come from all rows of the group that
-    passed the base rules; nulls in a group column are a
-    group of their own. Null and empty texts fail the base rules. Repeated rows
-    count each. Input columns named like an output are replaced; an empty table
-    stays empty.
+    thousandths) is above its group's cutoff: the 0.9 quantile and FENCE times its
+    distance from the median, which counts as LEAST_SPREAD at least; what spoils
+    less than a tenth of a group can't move it. The quantiles come from all rows of
+    the group that passed the base rules; a group of under LEAST_ROWS such rows has
+    the cutoffs of the first column's value, and that of all rows if it has too few
+    as well. Nulls in a group column are a group of their own. Null and empty texts
+    fail the base rules. Repeated rows count each. Input columns named like an output
+    are replaced; an empty table stays empty.
     """
     spark = docs.sparkSession
     prepare(spark)
     names = [c for c in docs.columns if c not in (*MEASURES, "base_failed", "kept")]
     keys = [f"__k{i}" for i in range(len(by))]
-    x = with_measures(docs.select(*names, *(F.coalesce(F.col(c).cast("string"), F.lit("\0null")).alias(k) for c, k in zip(by, keys, strict=True))), text_col)
-    x = x.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumns(_thousandths())
-    x = stored(x, "measures")
-    some = x.where("not base_failed").groupBy(*keys).agg(*(F.percentile_approx(m, [0.25, 0.5], ACCURACY).alias(m) for m in SLACK))
-    cutoffs = {m: (F.get(m, F.lit(0)), F.get(m, F.lit(1))) for m in SLACK}
-    cut = stored(some.select(*keys, *((q2 + F.greatest(FENCE * (q2 - q1), F.lit(SLACK[m]))).cast("long").alias(f"max_{m}") for m, (q1, q2) in cutoffs.items())), "cutoffs")
+
+    def measured(carried: list[str]) -> DataFrame:
+        x = with_measures(docs.select(*carried, *([] if text_col in carried else [text_col]), *(F.coalesce(F.col(c).cast("string"), F.lit("\0null")).alias(k) for c, k in zip(by, keys, strict=True))), text_col)
+        x = x.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumns(_thousandths())
+        return x if text_col in carried else x.drop(text_col)
+
+    if texts:  # measured twice, so that no text is stored
+        x, small = measured(names), stored(measured([]), "measures")
+    else:
+        names = [c for c in names if c != text_col]
+        x = small = stored(measured(names), "measures")
+    cut = _cutoffs(small, keys)
     if cut.count() <= SMALL:
         j = x.join(F.broadcast(cut), keys, "left")
     else:
         salted = x.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names[:1]], "n_words", "word_chars"), F.lit(SALTS)))
-        j = salted.join(cut.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), [*keys, "__salt"], "left")
+        j = salted.join(cut.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*keys, "__salt"], "left")
     good = ~F.col("base_failed")
-    for m in SLACK:
+    for m in LEAST_SPREAD:
         good = good & F.coalesce(F.col(m) <= F.col(f"max_{m}"), F.lit(True))
     return j.select(*(F.col(f"`{c}`") for c in names), *MEASURES, "base_failed", good.alias("kept"))

@@ -61,7 +61,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return quality_rules.apply_quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_rules.apply_quality_rules(docs, texts=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,11 +117,13 @@ m AS (SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(len
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   CASE WHEN word_chars > 0 THEN n_symbols * 1000 // word_chars ELSE 0 END AS a1, CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS a2,
   CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS a3, CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words ELSE 0 END AS a4 FROM m),
-q AS (SELECT lang, source, {", ".join(f"quantile_disc(a{i}, 0.5) + greatest({quality_rules.FENCE} * (quantile_disc(a{i}, 0.5) - quantile_disc(a{i}, 0.25)), {slack}) AS c{i}" for i, slack in enumerate(quality_rules.SLACK.values(), 1))}
-  FROM b WHERE NOT base_failed GROUP BY lang, source)
+l AS (SELECT grouping_id(lang0, source0) AS level, lang0, source0, count(*) AS n, {", ".join(f"quantile_disc(a{i}, 0.9) + {quality_rules.FENCE} * greatest(quantile_disc(a{i}, 0.9) - quantile_disc(a{i}, 0.5), {spread}) AS c{i}" for i, spread in enumerate(quality_rules.LEAST_SPREAD.values(), 1))}
+  FROM (SELECT *, coalesce(lang, chr(1)) AS lang0, coalesce(source, chr(1)) AS source0 FROM b) WHERE NOT base_failed GROUP BY ROLLUP (lang0, source0)),
+q AS (SELECT g.lang0, g.source0, {", ".join(f"CASE WHEN g.n >= {quality_rules.LEAST_ROWS} THEN g.c{i} WHEN p.n >= {quality_rules.LEAST_ROWS} THEN p.c{i} ELSE a.c{i} END AS c{i}" for i in (1, 2, 3, 4))}
+  FROM l g JOIN l p ON p.level = 1 AND p.lang0 = g.lang0 JOIN l a ON a.level = 3 WHERE g.level = 0)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND a1 <= c1 AND a2 <= c2 AND a3 <= c3 AND a4 <= c4 AS kept
-FROM b LEFT JOIN q ON b.lang IS NOT DISTINCT FROM q.lang AND b.source IS NOT DISTINCT FROM q.source""",
+FROM b LEFT JOIN q ON coalesce(b.lang, chr(1)) = q.lang0 AND coalesce(b.source, chr(1)) = q.source0""",
     "op10_warc": """
 WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)

@@ -244,6 +244,10 @@ def test_substrings(docs):
     for r in got:
         assert (r.n_words, r.n_removed, r.kept_text) == want[r.doc_id]
         assert len({p for f in r.factors for p in range(f.start, f.start + f.length)}) == r.n_removed
+        w, text = words(r.text), dict(rows)
+        for f in r.factors:  # each factor is in the text that it refers to, earlier, and as long as window
+            assert f.length >= 5 and w[f.start : f.start + f.length] == words(text[f.ref_id])[f.ref_start : f.ref_start + f.length]
+            assert (f.ref_id, f.ref_start) < (r.doc_id, f.start)
     assert substring_dedup.dedup_substrings(docs.limit(0)).count() == 0
 
 
@@ -277,6 +281,26 @@ def test_quality(spark, docs):
     kept = {r.doc_id for r in quality_rules.apply_quality_rules(spark.createDataFrame(clean, "doc_id long, text string, lang string, source string")).where("kept").collect()}
     assert kept == set(range(30))
     assert quality_rules.apply_quality_rules(docs.limit(0)).count() == 0
+    small = quality_rules.apply_quality_rules(docs, texts=False)
+    assert "text" not in small.columns and sorted(map(str, small.drop("n_words").collect())) == sorted(map(str, quality_rules.apply_quality_rules(docs).drop("text", "n_words").collect()))
+
+
+def test_quality_cutoffs_follow_the_groups(spark, monkeypatch):
+    """Two sources with other upper tails have other cutoffs; small groups have their language's."""
+    g = random.Random(8)
+    text = lambda share: " ".join(f"q{g.randrange(10**6)}" + "#" * (g.random() < share) for _ in range(80))
+    rows = [(i, text(0.02), "en", "plain") for i in range(60)] + [(100 + i, text(g.choice([0.1, 0.4, 0.8])), "en", "code") for i in range(60)]
+    rows += [(200, text(1.0), "en", "plain"), (201, text(1.0), "en", "code"), (202, text(1.0), "en", "few"), (203, text(1.0), "xx", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(quality_rules, "LEAST_SPREAD", dict.fromkeys(quality_rules.LEAST_SPREAD, 5))
+    monkeypatch.setattr(quality_rules, "LEAST_ROWS", 50)
+    want = None
+    for small in (10_000, 0):  # broadcast, and by salt
+        monkeypatch.setattr(quality_rules, "SMALL", small)
+        kept = {r.doc_id: r.kept for r in quality_rules.apply_quality_rules(d, texts=False).collect()}
+        assert not kept[200] and kept[201] and kept[202] and kept[203]
+        assert want is None or kept == want
+        want = kept
 
 
 def test_warc(spark):
