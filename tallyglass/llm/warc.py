@@ -18,7 +18,8 @@ import math
 import os
 import struct
 import uuid
-from collections.abc import Iterator
+from base64 import b32encode
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -31,10 +32,10 @@ from .shared import by_bucket, new_path, prepare, stored
 
 #: First magic number of the frame with the dictionary, and of a record's frame (fixed values).
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
-#: Pages of one archive; payloads shorter than this are never revisited.
-ARCHIVE_PAGES, REVISIT_BYTES = 2000, 100
-#: Bounds of a dictionary and of what it is trained on.
-DICTIONARY_BYTES, SAMPLES, SAMPLE_BYTES = 16 << 10, 100, 4 << 10
+#: Payload bytes and pages of one archive, about; payloads shorter than this are never revisited.
+ARCHIVE_BYTES, ARCHIVE_PAGES, REVISIT_BYTES = 64 << 20, 2000, 100
+#: Bounds of a dictionary and of what it is trained on, out of an archive's first records.
+DICTIONARY_BYTES, SAMPLES, SAMPLE_BYTES, FIRST_RECORDS, FIRST_BYTES = 16 << 10, 100, 4 << 10, 1000, 8 << 20
 LEVEL = 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NEEDED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
@@ -61,11 +62,25 @@ def make_dictionary(records: list[bytes]) -> bytes:
         return b"".join(samples)[:DICTIONARY_BYTES]
 
 
-def write_archive(records: list[bytes]) -> bytes:
-    dictionary = make_dictionary(records)
-    out = [struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)), dictionary]
+def archive_parts(records: Iterable[bytes]) -> Iterator[bytes]:
+    """An archive's dictionary frame and then a frame for each record; only the first records, which the dictionary is trained on, are held."""
+    rest = iter(records)
+    first, held = [], 0
+    for r in rest:
+        first.append(r)
+        held += len(r)
+        if len(first) >= FIRST_RECORDS or held >= FIRST_BYTES:
+            break
+    dictionary = make_dictionary(first)
+    yield struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
     packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=True, write_content_size=True)
-    return b"".join([*out, *map(packer.compress, records)])
+    yield from map(packer.compress, first)
+    first.clear()
+    yield from map(packer.compress, rest)
+
+
+def write_archive(records: Iterable[bytes]) -> bytes:
+    return b"".join(archive_parts(records))
 
 
 def archive_records(data: bytes) -> Iterator[bytes]:
@@ -100,8 +115,22 @@ def archive_records(data: bytes) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
+#: The usual spelling of the header names that are read; names count in any case (fixed values).
+_NAMES = {n.lower(): n for n in (*_NEEDED, "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Refers-To", "WARC-Profile", "X-Payload-Length", "Content-Type")}
+
+
+def _digest_holds(digest: str, block: bytes) -> bool:
+    """Whether a digest, algorithm:value in hexadecimal or base32, is the block's; one of an unknown algorithm can't be checked and holds."""
+    algorithm, _, value = digest.partition(":")
+    name = algorithm.lower().replace("-", "")
+    if name not in ("sha1", "sha256", "sha512", "md5"):
+        return True
+    raw = hashlib.new(name, block).digest()
+    return value.lower() == raw.hex() or value.upper().rstrip("=") == b32encode(raw).decode().rstrip("=")
+
+
 def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and block of a record whose headers and length are valid."""
+    """Headers and block of a record whose headers, length and digest are valid."""
     head, mark, rest = record.partition(b"\r\n\r\n")
     first, *lines = head.split(b"\r\n")
     if not mark or first not in (b"WARC/1.0", b"WARC/1.1"):
@@ -111,7 +140,7 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
         name, colon, value = line.decode("utf-8").partition(":")
         if not colon or not name or name != name.strip():
             raise WarcError("a header line without a name")
-        headers[name] = value.strip()
+        headers[_NAMES.get(name.lower(), name)] = value.strip()
     if missing := [n for n in _NEEDED if n not in headers]:
         raise WarcError(f"no {', '.join(missing)}")
     if not headers["Content-Length"].isdigit() or rest[int(headers["Content-Length"]) :] != b"\r\n\r\n":
@@ -120,7 +149,7 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
     kind = headers["WARC-Type"]
     if kind not in ("response", "revisit", "resource", "metadata", "warcinfo", "request"):
         raise WarcError(f"unknown type {kind}")
-    if kind == "response" and "WARC-Payload-Digest" in headers and headers["WARC-Payload-Digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}":
+    if kind == "response" and not _digest_holds(headers.get("WARC-Payload-Digest", ""), block):
         raise WarcError("the payload differs from its digest")
     if kind == "revisit" and (block or "WARC-Refers-To" not in headers or "WARC-Payload-Digest" not in headers):
         raise WarcError("a revisit with a payload, or without what it refers to")
@@ -139,7 +168,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
 
     The payload is the column in UTF-8, empty for null. Of rows with equal payloads
     of at least REVISIT_BYTES, that with the smallest id is the response and the
-    others, repeated rows of that id excepted, revisit it. Null ids come last. The
+    others, repeated rows of that id excepted, revisit it. Null ids come last; an
+    empty table writes no archive; other columns, whatever their names, are not read.
+    An archive is streamed: its task holds no more than the dictionary's first
+    records and one batch. The
     folder must be shared by all workers; by default it is new, in the checkpoint folder.
     """
     spark = pages.sparkSession
@@ -150,31 +182,37 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     keys = stored(pages.select(F.col(id_col).cast("long").alias("id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("bytes")), "digests")
     first = stored(keys.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     again = stored(keys.join(first, "digest").where("id is null or id != first").select("id", "first", "digest").distinct(), "again")
-    n = max(1, math.ceil(keys.count() / per_archive))
-    archive = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    total = keys.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    n = max(1, math.ceil(total.n / per_archive), math.ceil((total.bytes or 0) / ARCHIVE_BYTES))
+    archive = F.pmod(F.xxhash64("id", "digest"), F.lit(n)).cast("int")  # rows that share an id, or have none, are dealt by their payloads
     none = F.lit(None)
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), none.cast("long").alias("first"), none.cast("string").alias("digest"), F.lit(1).alias("kind")).unionByName(again.select("id", none.cast("string").alias("url"), none.cast("binary").alias("payload"), "first", "digest", F.lit(0).alias("kind")))
-    dealt = by_bucket(rows.withColumn("archive", archive), n, "archive").sortWithinPartitions("kind", F.col("id").asc_nulls_last())
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), none.cast("long").alias("first"), F.sha2(payload, 256).alias("digest"), F.lit(1).alias("kind")).unionByName(again.select("id", none.cast("string").alias("url"), none.cast("binary").alias("payload"), "first", "digest", F.lit(0).alias("kind")))
+    dealt = by_bucket(rows.withColumn("archive", archive), n, "archive").sortWithinPartitions("kind", F.col("id").asc_nulls_last(), "digest", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refers: dict[tuple, int] = {}
-        records, number = [], None
-        for b in batches:
-            for i, url, data, ref, digest, kind, a in zip(*(b[c].to_pylist() for c in ("id", "url", "payload", "first", "digest", "kind", "archive")), strict=True):
-                number = a
-                if kind == 0:
-                    refers[i, digest] = ref
-                else:
-                    digest = hashlib.sha256(data).hexdigest()
-                    ref = refers.get((i, digest))
-                    records.append(record_bytes(i, url, data, digest, "response" if ref is None else "revisit", ref))
-        if number is not None and records:
-            os.makedirs(path, exist_ok=True)
-            name = f"{path}/part-{number:08d}.warc.zst"
-            with open(part := f"{name}.{uuid.uuid4().hex}.tmp", "wb") as f:
-                f.write(write_archive(records))
-            os.replace(part, name)
-            yield pa.record_batch([pa.array([len(records)], pa.int64())], names=["n"])
+        numbers: list[int] = []
+
+        def records() -> Iterator[bytes]:
+            for b in batches:
+                for i, url, data, ref, digest, kind, number in zip(*(b[c].to_pylist() for c in ("id", "url", "payload", "first", "digest", "kind", "archive")), strict=True):
+                    if kind == 0:
+                        refers[i, digest] = ref
+                    else:
+                        numbers.append(number)
+                        ref = refers.get((i, digest))
+                        yield record_bytes(i, url, data, digest, "response" if ref is None else "revisit", ref)
+
+        os.makedirs(path, exist_ok=True)
+        part = f"{path}/{uuid.uuid4().hex}.tmp"
+        with open(part, "wb") as f:
+            for piece in archive_parts(records()):
+                f.write(piece)
+        if numbers:
+            os.replace(part, f"{path}/part-{numbers[0]:08d}.warc.zst")
+            yield pa.record_batch([pa.array([len(numbers)], pa.int64())], names=["n"])
+        else:
+            os.remove(part)
 
     written = dealt.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
     return folder, int(written)
