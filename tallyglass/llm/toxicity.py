@@ -9,7 +9,7 @@ the windows that score highest in each training text.
 
 Scale: training takes a bounded sample of labelled rows (SAMPLE for each label) on
 the driver. Scoring is one pass without an exchange; the model that is sent to the
-workers is bounded by MAX_WORDS.
+workers has a vector for each word that MIN_DOCS of these rows have.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ from .shared import crc_mod, prepare, trimmed
 SAMPLE = {0: 3000, 1: 1500}
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 48, 36
-MAX_WORDS, MIN_DOCS = 20_000, 4
+#: Texts of the sample that have a word which is given a vector of its own, at least; others are known by their trigrams.
+MIN_DOCS = 4
 #: Letters of a place; a longer word takes several, with two letters shared so that no trigram is lost.
 PIECE = 24
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND, GRAMS = 8, 8, 8, 8, 4096
@@ -253,7 +254,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 5, seed: int
     seen = [set(x) for x in docs]
     yes, no = Counter(w for x, l in zip(seen, labels, strict=True) if l for w in x), Counter(w for x, l in zip(seen, labels, strict=True) if not l for w in x)
     both = yes + no
-    vocab = {w: i + 1 for i, (w, n) in enumerate(sorted(both.items(), key=lambda x: (-x[1], x[0]))[:MAX_WORDS]) if n >= MIN_DOCS}
+    vocab = {w: i + 1 for i, (w, n) in enumerate(sorted(((w, n) for w, n in both.items() if n >= MIN_DOCS), key=lambda x: (-x[1], x[0])))}
     n1, n0 = float(y.sum()), float((1 - y).sum())
     odds = np.array([np.log((yes[w] + 0.5) / (n1 + 1)) - np.log((no[w] + 0.5) / (n0 + 1)) for w in vocab], np.float32) / 3
     net = Network.new(vocab, odds, seed)
@@ -294,18 +295,19 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 5, seed: int
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: dict[int, int] = SAMPLE) -> DataFrame:
-    """(id, text, label) of at most per_label[label] rows for each label, out of those whose crc32(id as text) mod 5 is not 0."""
+    """(id, text, label) of at most per_label[label] ids for each label, out of those whose crc32(id as text) mod 5 is not 0. Of rows that repeat an id, the least text; that is chosen before anything is collected."""
     l = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label")).where(crc_mod(F.col("id"), 5) != 0)
     some = None
     for value in (0, 1):
         part = l.where(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(per_label[value])
         some = part if some is None else some.unionByName(part)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return d.join(F.broadcast(some), "id").select("id", "text", "label")  # at most the sum of per_label rows are sent
+    found = d.join(F.broadcast(some), "id")  # at most the sum of per_label rows are sent
+    return found.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, **columns) -> Network:
-    rows = sorted({(r.id, r.text, r.label) for r in training_rows(docs, labels, **columns).collect()}, key=lambda r: (r[0], r[1] or "", r[2]))
+    rows = sorted((r.id, r.text, r.label) for r in training_rows(docs, labels, **columns).collect())
     return train([r[1] for r in rows], [r[2] for r in rows])
 
 
