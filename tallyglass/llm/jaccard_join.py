@@ -41,8 +41,10 @@ from .shared import bucket_count, by_bucket, gram_hashes, gram_rows, lowered, pl
 
 #: Classes that hold a rare token, at most.
 RARE = 8
-#: Classes of a family that are compared at once with as many others.
-FAMILY = 4096
+#: Classes of a family that are compared at once with as many others, and tasks that each such block is joined in.
+FAMILY, SALTS = 1024, 8
+#: Families (a leader and a number each, under 20 bytes) whose sizes are broadcast; beyond, they are joined by exchange.
+SMALL = 1_000_000
 _BLOBS = "bucket int, kind int, data binary"
 _ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 _SINGLE, _KNOWN, _MEMBER, _SIZE = 0, 1, 2, 3
@@ -98,6 +100,19 @@ def ngram_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, n
     return np.concatenate(sets) if sets else g[:0], np.repeat(np.arange(len(counts)), sizes), sizes
 
 
+def _sizes(k: int):
+    """Sizes of the sets of rows without an id, one row each."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, off in texts_of(batch.column(0)):
+                sizes = ngram_sets(data, off, k)[2]
+                none = pa.nulls(len(sizes), pa.int64())
+                yield pa.record_batch([none, pa.array(sizes, pa.int64()), none], names=["id", "n", "component"])
+
+    return of
+
+
 def _index_tokens(k: int, buckets: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,8 +307,9 @@ def jaccard_groups(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (4
     with nothing. Two ids link when the sets' intersection is at least num / den of
     their union, similarity being (num, den). The links are found exactly.
 
-    Null and empty texts: n 0, a component of their own. Rows without an id are
-    left out. Repeated rows count once; an id names one document, so texts that
+    Null and empty texts: n 0, a component of their own. Each row without an id is
+    kept, with the size of its set and no component: no id can name its links.
+    Repeated rows count once; an id names one document, so texts that
     repeat an id are taken as one set. An empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -328,11 +344,14 @@ def jaccard_groups(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (4
     family = named.join(mixed, "sig", "left_semi").join(led, "sig").select(F.col("a").alias("lead"), "id", "n", "part").distinct()
     family = stored(family, "families")
     sizes = stored(family.groupBy("lead").agg(F.count("*").alias("m"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("lead", F.ceil(F.col("m") / FAMILY).cast("int").alias("blocks")), "family_sizes")
-    lead_set, own_set = classes.select(F.col("id").alias("lead"), F.col("tokens").alias("tl")), classes.select("id", F.col("tokens").alias("tx"))
-    apart = family.join(sizes, "lead").join(own_set, "id").join(lead_set, "lead").select("lead", "id", "n", "part", "blocks", F.size("tx").alias("m"), F.concat(F.array_except("tl", "tx"), F.array_except("tx", "tl")).alias("apart"))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    # a leader's set goes to each block and salt of its family, so that a large family is joined in many tasks
+    own_set = classes.select("id", F.col("tokens").alias("tx"))
+    each = sizes.select("lead", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") * SALTS - 1)).alias("salt"))
+    lead_set = each.join(classes.select(F.col("id").alias("lead"), F.col("tokens").alias("tl")), "lead").drop("blocks")
+    salted = family.join(F.broadcast(sizes) if sizes.count() <= SMALL else sizes, "lead").join(own_set, "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("blocks") * SALTS).cast("int"))
+    apart = salted.join(lead_set, ["lead", "salt"]).select("lead", "id", "n", "part", "blocks", F.floor(F.col("salt") / SALTS).cast("int").alias("own"), F.size("tx").alias("m"), F.concat(F.array_except("tl", "tx"), F.array_except("tx", "tl")).alias("apart"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = apart.withColumn("own", block).select("*", other.alias("other")).select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "part", "m", "apart")
+    cells = apart.select("*", other.alias("other")).select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "part", "m", "apart")
     more = stored(cells.groupBy("lead", "i", "j").applyInArrow(_family_links(num, den), "a long, b long"), "links")
     whole = stored(connected_components(links.unionByName(more)), "components")
 
@@ -340,4 +359,6 @@ def jaccard_groups(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (4
     rep = member.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("part"))
     alone = whole.withColumnRenamed("component", "part")
     part = stored(rep.unionByName(alone).groupBy("id").agg(F.min("part").alias("part")), "membership")
-    return sets.select("id", "n").join(part, "id", "left").select("id", "n", F.coalesce("part", "id").alias("component"))
+    named_rows = sets.select("id", "n").join(part, "id", "left").select("id", "n", F.coalesce("part", "id").alias("component"))
+    nameless = docs.where(F.col(id_col).cast("long").isNull()).select(F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(_sizes(k)), "id long, n long, component long")
+    return named_rows.unionByName(nameless)
