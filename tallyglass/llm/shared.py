@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 6 << 20
 #: Bytes of input for each bucket of an exchange.
 BUCKET_BYTES = 4 << 20
+#: Bytes from which the planner's size is taken as a guess (the largest number for unknown sizes, products for joins) and the rows are summed.
+UNKNOWN = 1 << 50
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -29,6 +31,9 @@ def scratch_dir(spark: SparkSession) -> str:
     if not found:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+
         found = "file://" + tempfile.mkdtemp(prefix="tallyglass-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -63,23 +68,16 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Buckets for an exchange of what df holds: in proportion to its bytes, at least the session's partitions."""
+    """Buckets for an exchange of what df holds: in proportion to its bytes, at least the session's partitions. A size that the planner doesn't know is summed over the rows."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > 1 << 50:  # unknown to the planner
-        size = 0
+    if size >= UNKNOWN:
+        wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+        size = df.agg(F.sum(sum(wide, F.lit(8 * len(df.columns))).cast("long"))).first()[0] or 0
     return max(partitions(df.sparkSession), math.ceil(size / BUCKET_BYTES))
 
 

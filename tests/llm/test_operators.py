@@ -85,6 +85,9 @@ def test_toxicity(spark):
     assert sum((got[i] >= 0.5) == y for i, y in held) >= 0.95 * len(held)
     assert all(0 <= s <= 1 for s in got.values()) and got[900] == got[901] < 0.5
     assert toxicity.score_toxicity(d.limit(0), net).count() == 0
+    # rows that repeat a sampled id are one text before anything is collected
+    many = d.unionByName(d).unionByName(d.withColumn("text", F.concat(F.lit("~"), "text")))
+    assert toxicity.training_rows(many, l).count() == toxicity.training_rows(d, l).count()
     one = toxicity.fit(d, l.where("toxic = 0"))
     assert {r.score for r in toxicity.score_toxicity(d, one).collect()} == {0.0}
 
@@ -194,6 +197,23 @@ def test_topk(spark):
     assert len(topk_search.top_k(d.where("vec_id < 3"), d.where("vec_id = 0")).collect()) == 2
 
 
+def test_topk_over_blocks(spark, monkeypatch):
+    """Many blocks, few pivots, ties, long vectors, large components and a clashing column: as brute force with integers of any size."""
+    monkeypatch.setattr(topk_search, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(topk_search, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(topk_search, "PIVOTS", 9)
+    g = random.Random(6)
+    for size in (30, 1 << 26):
+        v = {i: [g.randrange(-size, size + 1) for _ in range(12 if i % 7 else 5)] for i in range(200)} | {i: [0] * 12 for i in (300, 301)} | {i: [size] * 12 for i in (400, 401, 402)}
+        d = spark.createDataFrame([(i, x, 1) for i, x in v.items()], "vec_id long, vector array<long>, score int")
+        want = []
+        for q in v:
+            if q % 50 == 0:
+                s = sorted((-sum(a * b for a, b in zip(v[q], x)), i) for i, x in v.items() if i != q)
+                want += [(q, k + 1, i, -n) for k, (n, i) in enumerate(s[:5])]
+        assert sorted(map(tuple, topk_search.top_k(d, d.where("vec_id % 50 = 0")).collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("k,num,den", [(3, 9, 10), (5, 4, 5), (2, 1, 2)])
 def test_jaccard(spark, docs, k, num, den):
     sets = {}
@@ -209,9 +229,21 @@ def test_jaccard(spark, docs, k, num, den):
                 a, b = sorted((root[i], root[j]))
                 root = {x: a if y == b else y for x, y in root.items()}
     got = {r.id: (r.n, r.component) for r in jaccard_join.jaccard_groups(docs, k, (num, den)).collect()}
+    nameless = [r for r in docs.collect() if r.doc_id is None]
+    assert got.pop(None) == (max(1, len(words(nameless[0].text)) - k + 1), None)
     assert got == {i: (len(s), root[i]) for i, s in sets.items()}
 
 
+def test_bucket_count(spark, monkeypatch):
+    """A size that the planner doesn't know is summed."""
+    from tallyglass.llm import shared
+
+    monkeypatch.setattr(shared, "BUCKET_BYTES", 1000)
+    d = spark.createDataFrame([("x" * 5000,), (None,)] * 10, "t string")
+    assert int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= shared.UNKNOWN
+    assert 50 <= shared.bucket_count(d) <= 60
+
+
 def test_jaccard_families_in_blocks(spark, docs, monkeypatch):
     whole = {tuple(r) for r in jaccard_join.jaccard_groups(docs, 3, (9, 10)).collect()}
     monkeypatch.setattr(jaccard_join, "FAMILY", 4)
@@ -319,3 +351,26 @@ def test_warc(spark):
         warc.parse_record(warc.record_bytes(1, "u", b"abc", "0" * 64, "response", None))
     folder, n = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))
     assert n == 0 and warc.read_archives(spark, folder).count() == 0
+
+
+def test_warc_of_large_pages_and_other_digests(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 20)
+    monkeypatch.setattr(warc, "FIRST_BYTES", 1 << 18)
+    g = random.Random(1)
+    rows = [(i if i % 3 else None, "u", f"{i % 20} " + g.choice("xyz") * 200_000, "clash", i) for i in range(40)]
+    folder, n = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string, digest string, kind int"))
+    got = warc.read_archives(spark, folder).collect()
+    from pathlib import Path
+
+    files = list(Path(folder.removeprefix("file://")).iterdir())
+    assert n == len(got) == 40 and len(files) > 4 and all(f.name.endswith(".warc.zst") for f in files)
+    assert sorted(r.payload_digest for r in got) == sorted(hashlib.sha256(r[2].encode()).hexdigest() for r in rows)
+    import base64
+
+    block = b"abc"
+    head = lambda digest: b"WARC/1.0\r\nwarc-type: response\r\nWarc-Record-Id: <x>\r\nWARC-DATE: d\r\nContent-length: 3\r\nWARC-Payload-Digest: " + digest + b"\r\n\r\n" + block + b"\r\n\r\n"
+    sha1 = base64.b32encode(hashlib.sha1(block).digest())
+    for good in (b"sha1:" + sha1, b"sha1:" + hashlib.sha1(block).hexdigest().encode(), b"sha256:" + hashlib.sha256(block).hexdigest().encode(), b"new:1"):
+        assert warc.parse_record(head(good))[1] == block
+    with pytest.raises(warc.WarcError):
+        warc.parse_record(head(b"sha1:" + base64.b32encode(hashlib.sha1(b"x").digest())))
