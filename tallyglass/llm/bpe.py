@@ -32,6 +32,8 @@ from .shared import prepare, trimmed
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a worker keeps in each of its two generations, and the longest that it keeps.
 KEPT_WORDS, KEPT_LENGTH = 1 << 18, 64
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a vocabulary: printable Latin-1 as it is, the rest from U+0100 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -58,10 +60,26 @@ class _Words(dict):
         return ids
 
 
+def check_supported(model: dict) -> None:
+    """An error for what a tokenizer's JSON asks for beyond plain byte-level BPE with GPT-2's pattern: it would give other ids."""
+    core, cut = model["model"], model.get("pre_tokenizer") or {}
+    wrong = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if core.get(k)]
+    wrong += [f"added token {t['content']!r} with {k}" for t in model.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word", "normalized") if t.get(k)]
+    if core.get("type", "BPE") != "BPE":
+        wrong.append(f"model {core.get('type')}")
+    if model.get("normalizer"):
+        wrong.append("a normalizer")
+    if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        wrong.append("another pre-tokenizer than ByteLevel with its own pattern and without a prefix space")
+    if wrong:
+        raise ValueError(f"the tokenizer has what isn't supported: {', '.join(wrong)}")
+
+
 class ByteBPE:
     """A byte-level BPE model read from a tokenizer's JSON."""
 
     def __init__(self, model: dict):
+        check_supported(model)
         letters = byte_letters()
         back = {c: b for b, c in letters.items()}
         vocab: dict[str, int] = model["model"]["vocab"]

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .shared import prepare, stored
 
-#: Splits that a worker keeps; letters of a counted word at least and at most.
-MAX_KEPT, MIN_WORD, MAX_WORD = 50_000, 3, 24
+#: Splits that a worker keeps; letters of a counted word at least; letters up to which words are looked up whole.
+MAX_KEPT, MIN_WORD, SHORT = 50_000, 3, 24
 #: Costs in a split: of a listed word at most, of an unknown letter, of an unknown part of a label. They don't depend on the table's size.
 LISTED, LETTER, PART = 6.0, 2.5, 4.0
 
@@ -75,7 +75,7 @@ class Unigrams:
     def __init__(self, counts: dict[str, float], total: float, listed: set[str]):
         self.cost = {w: math.log(2 * total / n) for w, n in counts.items()}
         self.cost |= {w: min(LISTED, self.cost.get(w, LISTED)) for w in listed}
-        self.longest = max(map(len, self.cost), default=0)
+        self.lengths = sorted({len(w) for w in self.cost})
         self.kept: dict[str, list[str]] = {}
 
     def split(self, label: str) -> list[str]:
@@ -85,7 +85,7 @@ class Unigrams:
         # cost and start of the last word, or of the last unknown part, that ends at a place
         words, parts = [(0.0, 0)], [(math.inf, 0)]
         for end in range(1, len(label) + 1):
-            known = [(min(words[s][0], parts[s][0]) + self.cost[label[s:end]], s) for s in range(max(0, end - self.longest), end) if label[s:end] in self.cost]
+            known = [(min(words[end - n][0], parts[end - n][0]) + self.cost[label[end - n : end]], end - n) for n in self.lengths if n <= end and label[end - n : end] in self.cost]
             words.append(min(known, default=(math.inf, 0)))
             parts.append(min((parts[-1][0] + LETTER, parts[-1][1]), (words[end - 1][0] + PART + LETTER, end - 1)))
         out, end, unknown = [], len(label), parts[-1][0] < words[-1][0]
@@ -120,22 +120,35 @@ def examples(text: str) -> list[list[str]]:
     return [x.split() for line in text.strip().splitlines() for x in line.split("|")]
 
 
-def tokens(host: str, path: str, model: Unigrams) -> list[str]:
-    return [w for label in re.findall(r"[a-z]+", f"{host} {path.lower()}") for w in model.split(label)]
+def readable(host: Column, path: Column) -> Column:
+    """Host and path in lower case, percent-encoded characters of the path read where all of them are valid UTF-8."""
+    return F.lower(F.concat_ws(" ", host, F.coalesce(F.try_url_decode(path), path)))
 
 
-def train_unigrams(hosts: DataFrame, host_col: str = "host", path_col: str = "path") -> Unigrams:
-    """Counts of the words (runs of a-z) of all hosts and paths, each once for each host, as far as a split of a label with a listed word can use them."""
+def tokens(text: str, model: Unigrams) -> list[str]:
+    """Runs of letters of any script, split into words, and runs of digits."""
+    return [w for label in re.findall(r"[^\W\d_]+|\d+", text) for w in model.split(label)]
+
+
+def train_unigrams(hosts: DataFrame, host_col: str = "host", text_col: str = "text") -> Unigrams:
+    """Counts of the words (runs of letters) of all hosts and paths, each once for each host, as far as a split of a label with a listed word can use them.
+
+    Which words those are is looked up by the substrings of such labels up to SHORT letters;
+    longer words by their first SHORT letters, and then compared whole.
+    """
     listed = {w for x in examples(BLOCKED_EXAMPLES) + examples(ALLOWED_EXAMPLES) for w in x}
     within = {n: "|".join(sorted(w for w in listed if len(w) >= n)) for n in (1, MIN_WORD)}
-    runs = F.explode(F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", host_col, F.lower(path_col)), F.lit("([a-z]+)"), F.lit(1))))
+    runs = F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(r"(\p{L}+)"), F.lit(1))))
     labels = hosts.select(host_col, runs.alias("w")).distinct().groupBy("w").agg(F.count("*").alias("n"))
     labels = stored(labels, "labels")
-    words = labels.where((~F.col("w").rlike(within[MIN_WORD]) | F.col("w").isin(*listed)) & F.length("w").between(MIN_WORD, MAX_WORD))
+    words = labels.where((~F.col("w").rlike(within[MIN_WORD]) | F.col("w").isin(*listed)) & (F.length("w") >= MIN_WORD))
     starts = labels.where(F.col("w").rlike(within[1]) & (F.length("w") >= MIN_WORD)).select("w", F.explode(F.expr(f"sequence(1, length(w) - {MIN_WORD} + 1)")).alias("s"))
-    inner = starts.select(F.explode(F.expr(f"transform(sequence({MIN_WORD}, least({MAX_WORD}, length(w) - s + 1)), k -> substring(w, s, k))")).alias("w")).distinct()
+    inner = starts.select(F.explode(F.expr(f"transform(sequence({MIN_WORD}, least({SHORT}, length(w) - s + 1)), k -> substring(w, s, k))")).alias("w")).distinct()
+    head = starts.where(F.expr(f"length(w) - s + 1 > {SHORT}")).select(F.col("w").alias("label"), "s", F.expr(f"substring(w, s, {SHORT})").alias("head"))
+    long = words.where(F.length("w") > SHORT).select("w", F.substring("w", 1, SHORT).alias("head")).join(head, "head").where("substring(label, s, length(w)) = w").select("w").distinct()
     total = words.agg(F.sum("n")).first()[0] or 1
-    return Unigrams({r.w: r.n for r in words.join(inner, "w", "left_semi").collect()}, total, listed)
+    used = words.where(F.length("w") <= SHORT).join(inner, "w", "left_semi").unionByName(words.join(long, "w", "left_semi"))
+    return Unigrams({r.w: r.n for r in used.collect()}, total, listed)
 
 
 def filter_urls(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
@@ -151,14 +164,16 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFram
     names = [c for c in pages.columns if c not in outputs]
     host, path = parts_of_url(F.col(url_col))
     x = pages.select(*names, host.alias("host"), path.alias("path"))
-    sent = spark.sparkContext.broadcast((train_unigrams(x), NaiveBayes(examples(BLOCKED_EXAMPLES), examples(ALLOWED_EXAMPLES))))
+    text = readable(F.col("host"), F.col("path"))
+    model = train_unigrams(x.select("host", text.alias("text")))
+    sent = spark.sparkContext.broadcast((model, NaiveBayes(examples(BLOCKED_EXAMPLES), examples(ALLOWED_EXAMPLES))))
 
     @F.pandas_udf("double")
-    def odds(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def odds(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         unigrams, bayes = sent.value
-        for h, p in parts:
-            yield pd.Series([bayes.score(tokens(a, b, unigrams)) for a, b in zip(h, p, strict=True)], dtype="float64")
+        for texts in parts:
+            yield pd.Series([bayes.score(tokens(t, unigrams)) for t in texts], dtype="float64")
 
-    x = x.withColumn("__rule", matched_rule(F.col("host"), F.col("path"), rules)).withColumn("__score", odds("host", "path"))
+    x = x.withColumn("__rule", matched_rule(F.col("host"), F.col("path"), rules)).withColumn("__score", odds(text))
     verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("__score") > 0, "block").otherwise("allow"))
     return x.select(*names, "host", "path", F.col("__rule.rule").alias("rule"), verdict.alias("verdict"), F.when(F.col("__rule").isNull(), F.col("__score")).alias("score"))

@@ -53,6 +53,21 @@ def test_bpe(spark, docs):
     assert [r.decoded for r in x] == [t.decode([220, 64]), None]
 
 
+def test_bpe_decode_round_trip_and_refusals(spark, docs):
+    """Decoding gives the texts back; what a tokenizer's JSON asks for beyond this model is an error."""
+    import json
+
+    x = bpe.bpe_decode(bpe.bpe_encode(docs, PATH, outputs=("ids",)).withColumn("decoded", F.lit("clash")), PATH).collect()
+    assert len(x) == docs.count() and all(r.decoded == (r.text or "") for r in x)
+    with open(PATH, encoding="utf-8") as f:
+        model = json.load(f)
+    bpe.check_supported(model)
+    token = model["added_tokens"][0]
+    for bad in (model | {"normalizer": {"type": "NFC"}}, model | {"added_tokens": [token | {"lstrip": True}]}, model | {"model": {"type": "BPE", "ignore_merges": True}}, model | {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}):
+        with pytest.raises(ValueError, match="supported"):
+            bpe.check_supported(bad)
+
+
 def test_token_counts(docs):
     model = bpe.load(PATH)
     n = [len(model.encode(r.text or "")) for r in docs.collect()]
@@ -60,8 +75,10 @@ def test_token_counts(docs):
     for r in limits.collect():
         assert r.docs_over == sum(x > r.length for x in n) and r.tokens_truncated == sum(min(x, r.length) for x in n)
         assert r.tokens_within == sum(x for x in n if x <= r.length) and r.tokens_total == sum(n)
-    assert token_counts.length_quantile(limits, 0.5) == sorted(n)[(len(n) + 1) // 2 - 1]
-    assert token_counts.truncated_total(limits, 11) == sum(min(x, 11) for x in n)
+    for q in (0.01, 0.25, 0.5, 0.9, 1.0):
+        assert token_counts.length_quantile(limits, q) == min(x for x in n if sum(y <= x for y in n) >= q * len(n))
+    for limit in (0, 1, 11, max(n) - 1, max(n), max(n) + 9):
+        assert token_counts.truncated_total(limits, limit) == sum(min(x, limit) for x in n)
     assert token_counts.context_limits(token_counts.length_histogram(docs.limit(0), PATH)).count() == 0
 
 
@@ -155,6 +172,102 @@ def test_mixing(spark, docs):
     assert over > 0
 
 
+def test_route_is_optimal():
+    """As much flow as any routing has, and of those the least cost, against all routings of small cases."""
+    from itertools import product
+
+    g = random.Random(9)
+    shapes = [("a",), ("b",), ("a", "b"), ("b", "c"), ("a", "c")]
+    for _ in range(40):
+        patterns = {p: g.randrange(0, 4) for p in g.sample(shapes, 3)}
+        quotas = {s: g.randrange(0, 9) for p in patterns for s in p}
+        flow = mixing.route(patterns, quotas)
+        got = {s: sum(f.get(s, 0) for f in flow.values()) for s in quotas}
+        used = {p: sum(f.values()) for p, f in flow.items()}
+        assert all(got[s] <= quotas[s] for s in quotas) and all(used[p] <= 2 * n for p, n in patterns.items()) and all(x >= 0 for f in flow.values() for x in f.values())
+        ways = []
+        for p, n in patterns.items():
+            ways.append([w for w in product(*(range(min(quotas[s], 2 * n) + 1) for s in p)) if sum(w) <= 2 * n])
+        best = (0, 0)
+        for choice in product(*ways):
+            total = Counter()
+            for p, w in zip(patterns, choice):
+                total.update(dict(zip(p, w)))
+            if all(total[s] <= quotas[s] for s in quotas):
+                best = max(best, (sum(map(sum, choice)), -sum(max(0, sum(w) - n) for n, w in zip(patterns.values(), choice))))
+        assert (sum(used.values()), -sum(max(0, used[p] - n) for p, n in patterns.items())) == best
+
+
+def test_pipeline(spark, tmp_path):
+    """Each stage against a plain version, on its own input, with nulls, empty texts and copies."""
+    import corpus_pipeline as pipeline
+
+    g = random.Random(11)
+    plain = [f"{a}{b}{c}" for a in "bdfgk" for b in ("ar", "el", "on", "ut") for c in "mnst"]
+    text = lambda n: " ".join(g.choice(plain) for _ in range(n))
+    rows, labels = [], []
+    for i in range(240):
+        t, bad = text(g.randrange(60, 160)), i % 4 == 0
+        if bad:
+            w = t.split()
+            w[3] = "vile"
+            t = " ".join(w)
+        rows.append((i, t, "en", f"s{i % 4}", len(t)))
+        labels.append((i, 1, int(bad)))
+    shared = text(70)
+    for i in range(240, 250):
+        t = f"{text(90)} {shared} {text(90)}" if i < 245 else rows[1][1] + (" more" if i > 247 else "")
+        rows.append((i, t, "en", "s1", len(t)))
+    rows += [(300, None, "de", None, None), (301, "", "de", "s1", 0), (302, " \n", None, "s1", 2), (None, text(80), "en", "s2", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    docs, tables = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        if name != "encode":
+            assert docs.columns == pipeline.COLUMNS
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        tables.append(docs.collect())
+    clean, single, cut, mixed, encoded = tables
+    # toxicity: the planted word goes, all else stays
+    assert sorted(str(r.doc_id) for r in clean) == sorted(str(r[0]) for r in rows if "vile" not in (r[1] or "").split())
+    # near copies: the smallest id of each group by all pairs
+    sets = {r.doc_id: {tuple(w[i : i + 5]) for w in [words(r.text)] for i in range(max(1, len(w) - 4)) if w} for r in clean if r.doc_id is not None}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] & sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = {x: a if y == b else y for x, y in root.items()}
+    assert sorted(str(r.doc_id) for r in single) == sorted([str(i) for i in sets if root[i] == i] + ["None"])
+    # passages: of each window of 50 words the first stays
+    seen, want = {}, {}
+    for r in sorted(single, key=lambda r: (r.doc_id is None, r.doc_id)):
+        w, gone = words(r.text), set()
+        for p in range(len(w) - 49):
+            if seen.setdefault(tuple(w[p : p + 50]), (r.doc_id, p)) != (r.doc_id, p):
+                gone |= set(range(p, p + 50))
+        want[r.doc_id] = " ".join(x for p, x in enumerate(w) if p not in gone) if gone else r.text
+    assert {r.doc_id: r.text for r in cut} == want and sum(len(words(a.text)) for a in single) > sum(len(words(a.text)) for a in cut)
+    # mix: words of each source near its target, no document more than twice, each pass the text or its beginning
+    size, taken, per = Counter(), Counter(), Counter()
+    for r in cut:
+        size[r.source] += len(words(r.text))
+    for r in mixed:
+        taken[r.source] += len(words(r.text))
+        per[r.doc_id] += 1
+        assert words(want[r.doc_id])[: len(words(r.text))] == words(r.text)
+    target = mixing.target_words(dict(size), mixing.cycled_weights(list(size)))
+    assert max(per.values()) <= 2 and all(abs(taken[s] - target[s]) <= 1 for s in size)
+    # encode: the tokenizers library's ids
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    ids = Counter((r.doc_id, tuple(t.encode(r.text, add_special_tokens=False).ids)) for r in mixed)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in encoded) == ids and all(r.round_trip and r.n_tokens == len(r.ids) for r in encoded)
+
+
 def test_urls(spark):
     cases = [("http://A.Example.NET/en/1?q", "a.example.net", "/en/1", "example.net/en/", "allow"), ("https://x.net/b#c", "x.net", "/b", "net/", "block"), ("http://example.com/de/", "example.com", "/de/", "example.com/de/", "block"), ("http://q.org/fr/x", "q.org", "/fr/x", "org/fr/", "allow"), ("http://freebets.example.com/en/", "freebets.example.com", "/en/", None, "block"), ("http://www.casinowin.org", "www.casinowin.org", "", None, "block"), ("nothing", "", "", None, "allow"), (None, "", "", None, "allow"), ("http://internet/", "internet", "/", None, "allow"), ("x://y.net", "y.net", "", None, "allow"), ("http://quiet.example.com/fr/9", "quiet.example.com", "/fr/9", None, "allow")]
     d = spark.createDataFrame([(i, c[0], "old") for i, c in enumerate(cases)], "page_id long, url string, host string")
@@ -175,6 +288,55 @@ def test_urls_split_labels_of_the_table(spark):
         assert got == {i: want[i] for i in got}
 
 
+def test_urls_split_is_the_cheapest():
+    """Against all splits of short labels into known words and unknown parts, and the score against the sum of each word's odds."""
+    from functools import cache
+    from math import exp, log
+
+    g = random.Random(5)
+    listed = {"bet", "win", "free", "art", "car"}
+    for _ in range(60):
+        counts = {"".join(g.choice("abetrwincf") for _ in range(g.randrange(3, 6))): g.randrange(1, 90) for _ in range(12)}
+        model = url_filter.Unigrams(counts, sum(counts.values()), listed)
+        label = "".join(g.choice([*listed, *counts, "x", "bt", "qq"]) for _ in range(3))
+
+        @cache
+        def least(end, unknown, model=model, label=label):
+            """The least cost of the first letters, the last part being unknown or a word."""
+            if end == 0:
+                return 0.0 if not unknown else float("inf")
+            if unknown:
+                return min(least(s, False) + url_filter.PART + url_filter.LETTER * (end - s) for s in range(end))
+            return min((min(least(s, False), least(s, True)) + model.cost[label[s:end]] for s in range(end) if label[s:end] in model.cost), default=float("inf"))
+
+        parts = model.split(label)
+        assert "".join(parts) == label
+        cost = sum(model.cost[p] if p in model.cost else url_filter.PART + url_filter.LETTER * len(p) for p in parts)
+        want = min(least(len(label), False), least(len(label), True))
+        whole = want >= url_filter.LETTER * len(label) and label not in model.cost
+        assert parts == [label] if whole else abs(cost - want) < 1e-9
+    blocked, allowed = url_filter.examples(url_filter.BLOCKED_EXAMPLES), url_filter.examples(url_filter.ALLOWED_EXAMPLES)
+    bayes = url_filter.NaiveBayes(blocked, allowed, smooth=1.0)
+    words_ = {w for x in blocked + allowed for w in x}
+    share = lambda x, w: (sum(y.count(w) for y in x) + 1) / (sum(map(len, x)) + len(words_))
+    got = bayes.score(["casino", "library", "nothing", "casino"])
+    assert abs(exp(got - bayes.prior) - (share(blocked, "casino") / share(allowed, "casino")) ** 2 * share(blocked, "library") / share(allowed, "library")) < 1e-9
+    assert abs(bayes.prior - log(1 / 3)) < 1e-12
+
+
+def test_urls_of_any_script(spark):
+    """Percent-encoded paths and other scripts are read; words beyond 24 letters count; a clashing column, nulls and a very long URL."""
+    long = "quxblorfnimplezantrogifukdwimplo"
+    urls = ["http://a.example.com/%63asino/%77in", "http://b.example.com/%zz/casino", "http://каз.example.com/да", f"http://{long}.example.com/", f"http://{long}casinowin.example.com/", "http://c.example.com/" + "ab/" * 60_000 + "casino-win-bonus", None, ""]
+    d = spark.createDataFrame([(i, u, 9.0) for i, u in enumerate(urls)], "page_id long, url string, score double")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(d).collect()}
+    assert got == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "block", 5: "block", 6: "allow", 7: "allow"}
+    x = d.select(*(c.alias(n) for c, n in zip(url_filter.parts_of_url(F.col("url")), ("host", "path"))))
+    model = url_filter.train_unigrams(x.select("host", url_filter.readable(F.col("host"), F.col("path")).alias("text")))
+    assert long in model.cost and model.split(f"{long}casinowin") == [long, "casino", "win"]
+    assert url_filter.tokens("каз ab12_x", url_filter.Unigrams({}, 1, set())) == ["каз", "ab", "12", "x"]
+
+
 def test_urls_split_long_runs():
     model = url_filter.Unigrams({}, 1, {"casino", "viagra"})
     assert model.split("zq" * 200 + "casinoviagra" + "zq" * 200) == ["zq" * 200, "casino", "viagra", "zq" * 200]
