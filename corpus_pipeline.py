@@ -19,26 +19,45 @@ def _as_documents(df: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network rejects go."""
+    """Documents that the network rejects (0.5 or more) go.
+
+    Null and empty texts have the score of no evidence, and so stay where labels are
+    mostly clean. Repeated rows are judged alike; without labels none goes. Columns other
+    than those of documents are dropped; an empty table stays empty.
+    """
     net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score_toxicity(docs.select(*COLUMNS), net, score_col="__score").where("__score < 0.5").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with alike sets of five words, that with the smallest id stays; documents without an id stay."""
+    """Of each group of documents with alike sets of five words, that with the smallest id stays; documents without an id stay.
+
+    Null and empty texts are alike to nothing and stay. Rows that repeat an id stay or go
+    together. Columns other than those of documents are dropped; an empty table stays empty.
+    """
     groups = jaccard_join.jaccard_groups(docs.select("doc_id", "text"), k=5, similarity=(4, 5))
     gone = stored(groups.where("component != id").select(F.col("id").alias("doc_id")), "copies")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return named.unionByName(docs.where("doc_id is null"))  # null keys would all go to one task of the join
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in passages that also start earlier go; texts without any stay as they are."""
+    """Words in passages of PASSAGE words that also start earlier go; texts without any stay as they are.
+
+    Null and empty texts stay; no row goes. Rows without an id come after all others.
+    Columns other than those of documents are dropped; an empty table stays empty.
+    """
     x = substring_dedup.dedup_substrings(docs.select(*COLUMNS), window=PASSAGE)
     return _as_documents(x.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each pass that the mix takes of a document; a pass in part has the document's first words."""
+    """A row for each pass that the mix takes of a document; a pass in part has the document's first words.
+
+    Null and empty texts hold no words, so nothing is taken of them. A null source is a
+    source of its own. Columns other than those of documents are dropped; an empty table stays empty.
+    """
     x = mixing.mix_sources(docs.select(*COLUMNS)).where("taken > 0")
     passes = F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1))
     left = (F.col("taken") - F.col("__pass") * F.col("size")).cast("int")
@@ -47,7 +66,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row, and whether they decode to its text."""
+    """Token ids of each row, and whether they decode to its text. A null text is an empty one; repeated rows stay; an empty table stays empty."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     x = bpe.bpe_encode(docs.select(*COLUMNS), path, outputs=("n_tokens", "ids", "decoded_sha256"))
     same = F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("decoded_sha256")
