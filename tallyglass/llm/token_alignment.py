@@ -38,6 +38,8 @@ KEPT_SPANS, KEPT_SPAN = 1 << 16, 64
 
 _LABELS = np.frombuffer(b".ab|", np.uint8)  # none, A ends, B ends, both
 _SPAN = re.compile(rb"[^|]*\|")
+#: White space that is too long for the compiled encoder's pattern.
+_WIDE = re.compile(r"\s{1000}")
 
 
 class _Numbers(dict):
@@ -69,9 +71,15 @@ class Aligner:
 
     def __init__(self, byte_bpe: str, pieces: str):
         import sentencepiece
+        import tiktoken
         from sentencepiece import sentencepiece_model_pb2
 
         self.a, self.b = bpe.load(byte_bpe), sentencepiece.SentencePieceProcessor(model_file=pieces)
+        merged = list(self.a.ranks.values())  # last rank first: rank in the upper bits, id in the lower
+        ids = [v & 0xFFFFF for v in reversed(merged)]
+        plain_tokens = {b: i for i, b in self.a.strings.items() if i not in set(self.a.special.values())}
+        # ids in the order of ranks are themselves ranks, which is what the compiled encoder takes
+        self.fast = tiktoken.Encoding("a", pat_str=bpe.PATTERN, mergeable_ranks=plain_tokens, special_tokens={}) if ids == sorted(ids) and set(plain_tokens.values()) == {*self.a.first, *ids} else None
         self.a_bytes = [self.a.strings[i] for i in range(max(self.a.strings) + 1)]
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
@@ -100,13 +108,17 @@ class Aligner:
         for text, x in zip(texts, parts, strict=True):
             b = [i for _ in x for i in next(ids)]
             data = b" " + text.encode()
-            a = np.frombuffer(self.a._plain(" " + text), "<u4").astype(np.int64)
-            if not text or b"".join(map(self.b_bytes.__getitem__, b)) != data or b"".join(map(self.a_bytes.__getitem__, a.tolist())) != data:
+            if not text or b"".join(map(self.b_bytes.__getitem__, b)) != data or b"".join(map(self.a_bytes.__getitem__, a := self._ids_of_a(" " + text))) != data:
                 out.append((np.zeros(0, np.int64), np.zeros(0, np.int64), 0))
             else:
-                out.append((a, np.array(b, np.int64), len(data)))
+                out.append((np.array(a, np.int64), np.array(b, np.int64), len(data)))
         return out
 
+    def _ids_of_a(self, text: str) -> list[int]:
+        if self.fast is None or _WIDE.search(text):
+            return np.frombuffer(self.a._plain(text), "<u4").tolist()
+        return self.fast.encode_ordinary(text)
+
     def groups(self, a: np.ndarray, b: np.ndarray, n_bytes: int) -> tuple[np.ndarray, np.ndarray]:
         return group_sizes(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), n_bytes, self.numbers)
 

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -148,6 +149,18 @@ def test_long_texts_are_cut_for_the_pieces_without_a_trace(monkeypatch):
     assert len(parts) > 50 and [i for p in parts for i in model.b.encode(p)] == whole
 
 
+def test_both_encoders_of_a_agree():
+    model = token_alignment.Aligner(TOKENIZER, PIECES)
+    assert model.fast is not None
+    rng = random.Random(4)
+    tokens = [b.decode() for b in model.a.strings.values() if b.isascii()]
+    for _ in range(2000):
+        text = "".join(t[: rng.randint(1, len(t))] for t in rng.choices(tokens, k=rng.randint(1, 8)))
+        assert model.fast.encode_ordinary(text) == np.frombuffer(model.a._plain(text), "<u4").tolist()
+    wide = "a" + " " * 1_000_000 + "b"
+    assert b"".join(model.a_bytes[i] for i in model._ids_of_a(wide)) == wide.encode()
+
+
 def test_alignment_of_nothing(spark):
     assert token_alignment.aligned_documents(_docs(spark).limit(0), TOKENIZER, PIECES).collect() == []
     r = token_alignment.align_tokens(_docs(spark, ["tie tie"]).where("doc_id = 0"), TOKENIZER, PIECES).first()
