@@ -96,8 +96,19 @@ def b64(data: bytes) -> str:
     return base64.b64encode(data).decode()
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, if they are so few bytes that a scan would not use them all; larger or streamed rows as they are."""
+    if rows.isStreaming:
+        return rows
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    each = int(str(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes").lower())))
+    return rows.repartition(cores) if cores > 1 and size < cores * each else rows
+
+
 def fingerprints(rows: DataFrame, policy: Policy, salt: bytes) -> DataFrame:
-    """rows with id_hash, content_hash and fp; a map without an exchange. Columns that are neither hashed nor kept are pruned at the scan.
+    """rows with id_hash, content_hash and fp; a map, without an exchange unless the rows are too few for all cores. Columns that are neither hashed nor kept are pruned at the scan.
 
     Columns whose names start with pos are carried: they order equal identities.
     """
@@ -107,7 +118,7 @@ def fingerprints(rows: DataFrame, policy: Policy, salt: bytes) -> DataFrame:
     carried = [c for c in rows.columns if c.startswith("pos")]
     content = sorted(policy.effective, key=str.encode)
     names = list(dict.fromkeys([*policy.identity, *content]))
-    x = encoded_fields(rows, names, policy.canon, carried)
+    x = encoded_fields(spread(rows.select(*(f"`{c}`" for c in dict.fromkeys([*carried, *names]) if c in rows.columns))), names, policy.canon, carried)
     joined = lambda fields: F.concat(*(F.col(f"__e{names.index(f)}") for f in fields)) if fields else F.lit(b"")
     x = x.select(*(F.col(f"`{c}`") for c in carried), id_hash(salt, joined(policy.identity), a).alias("id_hash"), content_hash(salt, joined(content), a).alias("content_hash"))
     return x.withColumn("fp", fingerprint_hash(F.col("id_hash"), F.col("content_hash"), a))

@@ -7,13 +7,15 @@ global: leaves are dealt by their first bytes, and the sizes of these parts (at
 most 65,536 rows) give each leaf its place. Blocks of 2^BITS places are then folded
 each in one expression, and their roots again until one is left. How many times
 follows from the number of rows, which is counted first (from the files' metadata,
-without hashing); only that number and the root reach the driver.
+without hashing); only that number and the root reach the driver. Leaves are hashed once
+and kept (on disk where memory is short) until spark.catalog.clearCache().
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.canon import binary
 from ..functions.hashing import COMMUTATIVE, hash_of, merkle_climb, merkle_fold, merkle_leaf, merkle_levels, merkle_node
@@ -33,7 +35,7 @@ def indexed_leaves(fps: DataFrame, fp: str = "fp", algorithm: str = "sha256", we
     """
     copies = F.count("*") if weight is None else F.sum(weight)
     x = fps.select(F.col(fp).alias("__fp"), *([weight] if weight else [])).groupBy("__fp").agg(copies.cast("long").alias("copies"))
-    x = x.select(merkle_leaf(F.col("__fp"), algorithm).alias("leaf"), "copies")
+    x = x.select(merkle_leaf(F.col("__fp"), algorithm).alias("leaf"), "copies").persist(StorageLevel.MEMORY_AND_DISK)  # both the parts' sizes and the places need them
     # hashes are even, so no part is hot, and the order of parts is the order of leaves
     x = x.withColumn("part", F.conv(F.hex(F.substring("leaf", 1, 2)), 16, 10).cast("int"))
     parts = x.groupBy("part").agg(F.sum("copies").alias("m"))
@@ -88,7 +90,7 @@ def inclusion_proofs(fps: DataFrame, wanted: DataFrame, fp: str = "fp", algorith
 
     A block is folded once for all places that are wanted of it.
     """
-    leaves = indexed_leaves(fps, fp, algorithm, weight)
+    leaves = indexed_leaves(fps, fp, algorithm, weight).persist(StorageLevel.MEMORY_AND_DISK)  # each stage reads them
     ask = wanted.select(F.col(fp).alias("__fp")).distinct().select(merkle_leaf(F.col("__fp"), algorithm).alias("leaf"))
     found = ask.join(leaves.select("leaf", "idx"), "leaf", "left")
     found = found.withColumn("idx", F.coalesce("idx", F.raise_error(F.lit("merkle leaf not found")).cast("long")))

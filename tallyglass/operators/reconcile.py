@@ -5,26 +5,29 @@ the order of positions (mutated), and unpaired source rows are missing. An ident
 with more sink than source rows is duplicated; one without a source row at all is a
 phantom among them.
 
-Scale: copies are counted by (identity, content) before the exchange, so a hot
-record is a row with two counts, and nearly all of a result follows from counts,
-which are kept (on disk where memory is short) until release(). Rows are read again
-only for what needs positions: groups with other numbers on both sides. Where these
-are at most SMALL groups they are broadcast, else joined by exchange. Their rows are
-ranked; a group of over RANGE rows is ranked by ranges of its positions and the
-sizes of the ranges before, so no group is one task.
+Scale: each side is read and hashed once; its hashes and positions are kept (on disk
+where memory is short) until release(). Copies are counted by (identity, content) in a
+hash aggregate before the exchange, so a hot record is a row with two counts, and nearly
+all of a result follows from counts. Positions are read only for groups with other
+numbers on both sides. Where these are at most SMALL groups they are broadcast, else
+joined by exchange. Their rows are ranked; groups of over RANGE rows are dealt by sampled
+quantiles of their order, whatever the positions' type, and a row's rank is its place in
+its part and the sizes of the parts before, so no group is one task.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
+from ..functions.hashing import fingerprint_hash
 from ..functions.model import DuplicatePolicy, Tolerances
+from ..sources.stores import dropped, stored
 
 SOURCE, SINK = "source", "sink"
 #: Rows of a group that one task ranks.
@@ -34,59 +37,60 @@ SMALL = 200_000
 _GROUP = ["id_hash", "content_hash"]
 
 
-def range_of(pos: Column, lo: Column, hi: Column, kind: T.DataType, parts: Column) -> Column:
-    """A number from 0 to parts - 1 that never falls as pos rises, by equal steps from lo to hi; 0 for types that have no steps, nulls of a whole pos last."""
-    if isinstance(kind, T.StructType):
-        out = F.lit(0).cast("long")
-        for f in reversed(kind.fields):
-            a, b = lo.getField(f.name), hi.getField(f.name)
-            out = F.when(a.eqNullSafe(b), out).otherwise(F.coalesce(range_of(pos.getField(f.name), a, b, f.dataType, parts), F.lit(0).cast("long")))
-    elif isinstance(kind, T.NumericType):
-        x, a, b = (c.cast("double") for c in (pos, lo, hi))
-        out = F.least(parts - 1, F.greatest(F.lit(0), F.floor((x - a) / F.nullif(b - a, F.lit(0.0)) * parts))).cast("long")
-    else:
-        out = F.lit(0).cast("long")
-    return out
-
-
-def ranked(rows: DataFrame, keys: list[str], groups: DataFrame | None, rank: str) -> DataFrame:
+def ranked(rows: DataFrame, keys: list[str], groups: DataFrame | None, rank: str, tables: list[DataFrame] | None = None) -> DataFrame:
     """rows with rank, from 1, within keys by pos (nulls last), then content_hash.
 
-    groups has keys, size, lo and hi (of pos) of each group; those of over RANGE rows
-    are at most one for every RANGE rows, and so are their ranges: they are broadcast.
-    Without groups none is larger.
+    groups has keys and size of each group; those of over RANGE rows are at most one for
+    every RANGE rows: they are broadcast. Their rows are written once, dealt by ranges of
+    keys and order; rows that are equal in both are interchangeable and are dealt anyhow.
+    Without groups none is larger. The table that is written is added to tables.
     """
     order = [F.col("pos").asc_nulls_last(), F.col("content_hash")]
+    within = lambda *more: F.row_number().over(Window.partitionBy(*keys, *more).orderBy(*order))
     if groups is None:
-        return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    kind = rows.schema["pos"].dataType
-    big = groups.where(F.col("size") > RANGE).select(*keys, "lo", "hi", F.ceil(F.col("size") / RANGE).cast("long").alias("parts"))
-    at = F.when(F.col("pos").isNull(), F.col("parts") - 1).otherwise(F.coalesce(range_of(F.col("pos"), F.col("lo"), F.col("hi"), kind, F.col("parts")), F.lit(0))).cast("long")
-    sizes = rows.join(F.broadcast(big), keys).withColumn("part", at).groupBy(*keys, "part").agg(F.count("*").alias("m"))
-    before = F.coalesce(F.sum("m").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(*keys, "part", before.alias("before"))
-    x = rows.join(F.broadcast(big), keys, "left").withColumn("part", F.coalesce(F.when(F.col("parts").isNotNull(), at), F.lit(0))).drop("lo", "hi", "parts")
-    x = x.join(F.broadcast(sizes), [*keys, "part"], "left")
-    return x.withColumn(rank, F.row_number().over(Window.partitionBy(*keys, "part").orderBy(*order)) + F.coalesce("before", F.lit(0))).drop("part", "before")
+        return rows.withColumn(rank, within())
+    big = groups.where(F.col("size") > RANGE)
+    total = big.agg(F.sum("size")).first()[0]
+    if not total:
+        return rows.withColumn(rank, within())
+    x = rows.join(F.broadcast(big.select(*keys, F.lit(True).alias("__big"))), keys, "left")
+    small = x.where("__big is null").drop("__big").withColumn(rank, within())
+    x = x.where("__big").drop("__big").withColumn("__tie", F.xxhash64(F.monotonically_increasing_id()))
+    x = stored(x.repartitionByRange(math.ceil(total / RANGE) + 1, *keys, *order, "__tie").withColumn("__part", F.spark_partition_id()).drop("__tie"), "ranges")
+    if tables is not None:
+        tables.append(x)
+    sizes = x.groupBy(*keys, "__part").agg(F.count("*").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = x.join(F.broadcast(sizes.select(*keys, "__part", before.alias("before"))), [*keys, "__part"])
+    return small.unionByName(x.withColumn(rank, (within("__part") + F.col("before")).cast("long")).drop("__part", "before"))
 
 
 @dataclass(frozen=True)
 class Reconciliation:
-    """Frames of a comparison. source and sink have id_hash, content_hash, fp and pos."""
+    """Frames of a comparison. source and sink have id_hash, content_hash and pos; algorithm makes a fingerprint of both hashes."""
 
     source: DataFrame
     sink: DataFrame
+    algorithm: str = "sha256"
+    tables: list[DataFrame] = field(default_factory=list)
 
     @cached_property
     def counts(self) -> DataFrame:
-        """(id_hash, content_hash, fp, s, k, lo, hi): copies on both sides, and the ends of their positions."""
-        both = self.source.withColumn("side", F.lit(0)).unionByName(self.sink.withColumn("side", F.lit(1)))
-        n = both.groupBy(*_GROUP).agg(F.min("fp").alias("fp"), F.count_if(F.col("side") == 0).alias("s"), F.count_if(F.col("side") == 1).alias("k"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+        """(id_hash, content_hash, s, k): copies on both sides."""
+        both = self.source.select(*_GROUP, F.lit(0).alias("side")).unionByName(self.sink.select(*_GROUP, F.lit(1).alias("side")))
+        n = both.groupBy(*_GROUP).agg(F.count_if(F.col("side") == 0).alias("s"), F.count_if(F.col("side") == 1).alias("k"))
         return n.persist(StorageLevel.MEMORY_AND_DISK)
 
     def release(self) -> None:
-        """Drops the kept counts; later uses count again."""
-        self.counts.unpersist()
+        """Drops what is kept; later uses read the sides again."""
+        for df in (self.counts, self.source, self.sink):
+            df.unpersist()
+        dropped(*self.tables)
+        self.tables.clear()
+
+    def _with_fp(self, df: DataFrame) -> DataFrame:
+        columns = [*_GROUP, "fp", *(c for c in df.columns if c not in _GROUP)]
+        return df.withColumn("fp", fingerprint_hash(F.col("id_hash"), F.col("content_hash"), self.algorithm)).select(*columns)
 
     @cached_property
     def _uneven(self) -> tuple[int, int]:
@@ -95,45 +99,48 @@ class Reconciliation:
         return r.n, max(r.m or 0, r.rest or 0)
 
     def _ranked(self, rows: DataFrame, keys: list[str], groups: DataFrame) -> DataFrame:
-        return ranked(rows, keys, groups if self._uneven[1] > RANGE else None, "rank")
+        return ranked(rows, keys, groups if self._uneven[1] > RANGE else None, "rank", self.tables)
 
     @cached_property
     def identities(self) -> DataFrame:
-        """(id_hash, s, k, left_s, left_k, lo, hi): copies, and copies without an equal one, of each identity."""
+        """(id_hash, s, k, left_s, left_k): copies, and copies without an equal one, of each identity."""
         over = lambda a, b: F.sum(F.greatest(F.col(a) - F.col(b), F.lit(0)))
-        return self.counts.groupBy("id_hash").agg(F.sum("s").alias("s"), F.sum("k").alias("k"), over("s", "k").alias("left_s"), over("k", "s").alias("left_k"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        return self.counts.groupBy("id_hash").agg(F.sum("s").alias("s"), F.sum("k").alias("k"), over("s", "k").alias("left_s"), over("k", "s").alias("left_k"))
+
+    def _small(self, groups: DataFrame) -> DataFrame:
+        return F.broadcast(groups) if self._uneven[0] <= SMALL else groups
 
     def _rows(self, side: str, groups: DataFrame) -> DataFrame:
         """The side's rows of some groups, with what the groups have."""
-        rows = (self.source if side == SOURCE else self.sink).select("id_hash", "content_hash", "pos")
+        rows = self.source if side == SOURCE else self.sink
         if not self._uneven[0]:
             return rows.limit(0).join(groups.limit(0), _GROUP)
-        return rows.join(F.broadcast(groups) if self._uneven[0] <= SMALL else groups, _GROUP)
+        return rows.join(self._small(groups), _GROUP)
 
     def _left_over(self, side: str, ids: DataFrame) -> DataFrame:
-        """(id_hash, content_hash, fp, pos): the side's copies without an equal one, of some identities."""
+        """(id_hash, content_hash, pos): the side's copies without an equal one, of some identities."""
         own, other = ("s", "k") if side == SOURCE else ("k", "s")
-        groups = self.counts.where(F.col(own) > F.col(other)).join(ids.select("id_hash"), "id_hash", "left_semi").select(*_GROUP, "fp", F.col(own).alias("own"), F.col(other).alias("other"), "lo", "hi")
-        alone = self._rows(side, groups.where("other = 0").select(*_GROUP, "fp"))
+        groups = self.counts.where(F.col(own) > F.col(other)).join(ids.select("id_hash"), "id_hash", "left_semi").select(*_GROUP, F.col(own).alias("own"), F.col(other).alias("other"))
+        alone = self._rows(side, groups.where("other = 0").select(*_GROUP))
         some = groups.where("other > 0")
-        partly = self._ranked(self._rows(side, some.select(*_GROUP, "fp", "other")), _GROUP, some.select(*_GROUP, F.col("own").alias("size"), "lo", "hi")).where("rank > other")
-        columns = [*_GROUP, "fp", "pos"]
+        partly = self._ranked(self._rows(side, some.select(*_GROUP, "other")), _GROUP, some.select(*_GROUP, F.col("own").alias("size"))).where("rank > other")
+        columns = [*_GROUP, "pos"]
         return alone.select(*columns).unionByName(partly.select(*columns))
 
     @property
     def matched(self) -> DataFrame:
-        """Source rows that have an equal sink row."""
-        columns = [*_GROUP, "fp", "pos"]
-        all_of = self.counts.where("k > 0 and s > 0 and s <= k").select(*_GROUP, "fp")
-        sure = self.source.select(*_GROUP, "pos").join(all_of, _GROUP)
-        some = self.counts.where("k > 0 and s > k")
-        partly = self._ranked(self._rows(SOURCE, some.select(*_GROUP, "fp", "k")), _GROUP, some.select(*_GROUP, F.col("s").alias("size"), "lo", "hi")).where("rank <= k")
-        return sure.select(*columns).unionByName(partly.select(*columns))
+        """Source rows that have an equal sink row: all but those of groups with more source rows, which are ranked."""
+        columns = [*_GROUP, "pos"]
+        over = self.counts.where("s > k")
+        sure = self.source.join(self._small(over.select(*_GROUP)), _GROUP, "left_anti") if self._uneven[0] else self.source
+        some = over.where("k > 0")
+        partly = self._ranked(self._rows(SOURCE, some.select(*_GROUP, "k")), _GROUP, some.select(*_GROUP, F.col("s").alias("size"))).where("rank <= k")
+        return self._with_fp(sure.select(*columns).unionByName(partly.select(*columns)))
 
     @property
     def matched_fingerprints(self) -> DataFrame:
         """(fp, copies) of what matched, from the counts alone."""
-        return self.counts.select("fp", F.least("s", "k").alias("copies")).where("copies > 0")
+        return self._with_fp(self.counts.where("s > 0 and k > 0")).select("fp", F.least("s", "k").alias("copies"))
 
     @cached_property
     def _contested(self) -> DataFrame:
@@ -143,15 +150,15 @@ class Reconciliation:
         """The side's left-over copies of identities with such on both sides, with rank in the identity."""
         ids = self._contested
         rows = self._left_over(side, ids)
-        return self._ranked(rows, ["id_hash"], ids.select("id_hash", F.col("left_s" if side == SOURCE else "left_k").alias("size"), "lo", "hi"))
+        return self._ranked(rows, ["id_hash"], ids.select("id_hash", F.col("left_s" if side == SOURCE else "left_k").alias("size")))
 
     @property
     def missing(self) -> DataFrame:
-        columns = [*_GROUP, "fp", "pos"]
+        columns = [*_GROUP, "pos"]
         sure = self._left_over(SOURCE, self.identities.where("left_s > 0 and left_k = 0"))
         ids = self._contested.where("left_s > left_k")
         late = self._paired(SOURCE).join(ids.select("id_hash", "left_k"), "id_hash").where("rank > left_k")
-        return sure.select(*columns).unionByName(late.select(*columns))
+        return self._with_fp(sure.select(*columns).unionByName(late.select(*columns)))
 
     @property
     def mutated_copies(self) -> DataFrame:
@@ -184,17 +191,19 @@ class Reconciliation:
         return n.join(F.broadcast(pairs)).select("source_count", "sink_count", "matched", "missing", "mutated_copies", "mutated", "duplicated", "duplicate_excess", "phantoms")  # one row each
 
 
-def reconcile(source: DataFrame, sink: DataFrame) -> Reconciliation:
+def reconcile(source: DataFrame, sink: DataFrame, algorithm: str = "sha256", keep: bool = True) -> Reconciliation:
     """source and sink: fingerprints with a pos column (any orderable type, the same on both sides; without one, rows are ordered by content).
 
+    algorithm is the fingerprints'. With keep, both sides' hashes are kept until release().
     Equal positions within a record are interchangeable; null positions come last. Empty sides give counts of 0.
     """
 
     def side(df: DataFrame) -> DataFrame:
         pos = F.col("pos") if "pos" in df.columns else F.lit(None).cast("long")
-        return df.select("id_hash", "content_hash", "fp", pos.alias("pos"))
+        x = df.select("id_hash", "content_hash", pos.alias("pos"))
+        return x.persist(StorageLevel.MEMORY_AND_DISK) if keep else x
 
-    return Reconciliation(side(source), side(sink))
+    return Reconciliation(side(source), side(sink), algorithm)
 
 
 def multiset_intersect(a: DataFrame, b: DataFrame) -> DataFrame:

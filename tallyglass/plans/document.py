@@ -38,7 +38,7 @@ def build_document(source: DataFrame, sink: DataFrame, policy: Policy, salt: byt
         raise ReconError("a salt has 32 bytes")
     a = known_algorithm(policy.hash_algorithm)
     source, sink = source.persist(), sink.persist()
-    r = reconcile(source, sink)
+    r = reconcile(source, sink, a, keep=False)
     try:
         s = r.summary()
         row = s.withColumn("verdict", verdict_of(s, policy.tolerances, reason)).first()

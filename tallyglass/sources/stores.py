@@ -25,6 +25,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, which cuts its lineage and outlives executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later plan reads."""
+    for t in tables:
+        spark = t.sparkSession
+        for f in {x.rsplit("/", 1)[0] for x in t.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Files:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.jvm = spark, spark.sparkContext._jvm

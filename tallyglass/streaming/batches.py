@@ -25,7 +25,7 @@ def reconcile_stream(stream: DataFrame, sink_of: Callable[[int], DataFrame], pol
     """Each micro-batch of the source is reconciled with sink_of(batch); done gets the result. A batch that runs again gives the same result."""
 
     def each(batch: DataFrame, number: int) -> None:
-        done(number, reconcile(fingerprints(batch, policy, salt), fingerprints(sink_of(number), policy, salt)))
+        done(number, reconcile(fingerprints(batch, policy, salt), fingerprints(sink_of(number), policy, salt), policy.hash_algorithm))
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
