@@ -14,7 +14,10 @@ from ..functions.proof import Ed25519, verify_document, verify_documents
 from ..functions.model import Boundary, CanonSpec, DuplicatePolicy, Policy, Tolerances, check_schema_drift
 from ..operators import faults
 from ..operators.merkle import commutative_root, inclusion_proofs, merkle_root, verified_inclusion
+from ..operators.hops import hop_faults, hop_summary
+from ..operators.prefilter import prefilter
 from ..operators.reconcile import Reconciliation, balanced, honest, multiset_except, multiset_intersect, reconcile, verdict_of
+from ..operators.transform import Transform, reconcile_transformed
 from .document import build_document
 from ..sources.boundary import offset_range, snapshot_range, time_window
 from ..sources.connectors import KafkaLog, SnapshotTable, row_hash
@@ -215,6 +218,121 @@ def commitment_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("verdict", verdict_of(s)).select(balanced().alias("balanced"), honest().alias("honest"))
 
 
+# --- digests of ranges, several hops, declared transforms ----------------------------------------
+
+#: A few faults of each kind.
+_FEW = (
+    lambda d: faults.duplicate(faults.mutate(faults.drop(d, K() % 1009 == 5), K() % 1013 == 7, "o_totalprice", F.col("o_totalprice") + 1), K() % 1019 == 11),
+    """(WITH m AS (SELECT * REPLACE (CASE WHEN o_orderkey % 1013 = 7 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice) FROM orders WHERE o_orderkey % 1009 <> 5)
+  SELECT * FROM m UNION ALL SELECT * FROM m WHERE o_orderkey % 1019 = 11)""",
+)
+_FEW_SQL = classes_sql("orders", _FEW[1], ORDERS, "o_orderkey")
+
+
+def _prefiltered(spark: SparkSession, sf_dir: str, fault: Callable[[DataFrame], DataFrame]):
+    d = table(spark, sf_dir, "orders").withColumn("pos", K())
+    return prefilter(fingerprints(d, ORDERS, SALT), fingerprints(fault(d), ORDERS, SALT))
+
+
+for _name, _fault, _sql in (("prefilter_few", _FEW[0], _FEW_SQL), ("prefilter_mixed", FAULTS["mixed"][0], _MIXED_SQL), ("prefilter_clean", FAULTS["clean"][0], classes_sql("orders", FAULTS["clean"][1], ORDERS, "o_orderkey"))):
+    QUERIES[_name] = lambda spark, sf, f=_fault: (s := _prefiltered(spark, sf, f).summary()).withColumn("verdict", verdict_of(s))
+    ORACLE_SQL[_name] = f"{_sql}, y AS ({SUMMARY_SQL}) SELECT *, {_verdict_sql('y', Tolerances())} AS verdict FROM y"
+
+
+@query(f"{_FEW_SQL} SELECT lower(hex(id_hash)) AS id_hash, lower(hex(content_hash)) AS content_hash, CAST(pos AS BIGINT) AS pos FROM z WHERE side = 'source' AND class = 'missing'")
+def prefilter_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prefiltered(spark, sf_dir, _FEW[0]).missing.select(*hexa("id_hash", "content_hash"), "pos")
+
+
+def _level_sql(level: int, bits: int, rows: str) -> str:
+    return f"""SELECT {level} AS level, count(*) AS ranges, count(*) FILTER (WHERE differs) AS differing, CAST(coalesce(sum(s) FILTER (WHERE differs), 0) AS BIGINT) AS source_rows, CAST(coalesce(sum(k) FILTER (WHERE differs), 0) AS BIGINT) AS sink_rows
+  FROM (SELECT r, sum(s) AS s, sum(k) AS k, bool_or(s <> k) AS differs FROM (SELECT CAST('0x' || substr(hex(id_hash), 1, 8) AS BIGINT) >> {32 - bits} AS r, count(*) FILTER (WHERE side = 'source') AS s, count(*) FILTER (WHERE side = 'sink') AS k FROM {rows} GROUP BY id_hash, content_hash) GROUP BY r)"""
+
+
+@query(f"""{_FEW_SQL}, bad AS (SELECT DISTINCT CAST('0x' || substr(hex(id_hash), 1, 8) AS BIGINT) >> 22 AS r FROM (SELECT id_hash FROM b GROUP BY id_hash, content_hash HAVING count(*) FILTER (WHERE side = 'source') <> count(*) FILTER (WHERE side = 'sink')))
+{_level_sql(1, 10, "b")} UNION ALL {_level_sql(2, 18, "(SELECT * FROM b WHERE CAST('0x' || substr(hex(id_hash), 1, 8) AS BIGINT) >> 22 IN (SELECT r FROM bad))")}""")
+def prefilter_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many ranges differ on each level, and the rows in them."""
+    return _prefiltered(spark, sf_dir, _FEW[0]).levels
+
+
+_HOP_SQL = ["orders", FAULTS["drop"][1], "(SELECT * REPLACE (CASE WHEN o_orderkey % 83 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice) FROM orders WHERE o_orderkey % 97 <> 0)"]
+_HOP_SQL.append(f"(SELECT * FROM {_HOP_SQL[2]} UNION ALL SELECT * FROM {_HOP_SQL[2]} WHERE o_orderkey % 89 = 0 UNION ALL SELECT {_ALL_ORDERS} FROM orders WHERE o_orderkey % 970 = 0)")
+
+
+def _hops(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Orders lose some on the first hop and change some on the second; on the third some come twice, and some of the lost come back."""
+    d = table(spark, sf_dir, "orders")
+    one = faults.drop(d, K() % 97 == 0)
+    two = faults.mutate(one, K() % 83 == 0, "o_totalprice", F.col("o_totalprice") + 1)
+    three = faults.duplicate(two, K() % 89 == 0).unionByName(d.where(K() % 970 == 0))
+    return [fingerprints(x, ORDERS, SALT) for x in (d, one, two, three)]
+
+
+_HOPS_SQL = "WITH h AS (" + " UNION ALL ".join(f"SELECT {i} AS hop, id_hash, content_hash FROM {fp_sql(x, ORDERS)}" for i, x in enumerate(_HOP_SQL)) + """),
+c AS (SELECT id_hash, content_hash, count(*) FILTER (WHERE hop = 0) AS n0, count(*) FILTER (WHERE hop = 1) AS n1, count(*) FILTER (WHERE hop = 2) AS n2, count(*) FILTER (WHERE hop = 3) AS n3 FROM h GROUP BY id_hash, content_hash),
+i AS (""" + " UNION ALL ".join(f"SELECT id_hash, {j} AS hop, sum(greatest(n{j - 1} - n{j}, 0)) AS gone, sum(greatest(n{j} - n{j - 1}, 0)) AS new FROM c GROUP BY id_hash" for j in (1, 2, 3)) + """),
+u AS (SELECT id_hash, hop, CAST(greatest(gone - new, 0) AS BIGINT) AS lost, CAST(least(gone, new) AS BIGINT) AS changed, CAST(greatest(new - gone, 0) AS BIGINT) AS added FROM i WHERE gone + new > 0),
+f AS (SELECT *, hop = min(hop) OVER (PARTITION BY id_hash) AS first FROM u)
+"""
+
+
+@query(f"{_HOPS_SQL} SELECT lower(hex(id_hash)) AS id_hash, hop, lost, changed, added, first FROM f")
+def hop_faults_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hop_faults(_hops(spark, sf_dir)).select(*hexa("id_hash"), "hop", "lost", "changed", "added", "first")
+
+
+@query(f"""{_HOPS_SQL}, r AS (SELECT hop, count(*) AS n FROM h GROUP BY hop)
+SELECT b.hop, a.n AS rows_before, b.n AS rows_after, CAST(coalesce(sum(lost), 0) AS BIGINT) AS lost, CAST(coalesce(sum(changed), 0) AS BIGINT) AS changed, CAST(coalesce(sum(added), 0) AS BIGINT) AS added, count(*) FILTER (WHERE first) AS identities
+FROM r b JOIN r a ON a.hop = b.hop - 1 LEFT JOIN f ON f.hop = b.hop GROUP BY b.hop, a.n, b.n""")
+def hop_summary_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hop_summary(_hops(spark, sf_dir))
+
+
+#: Lines as one record for each order.
+ORDER_TOTALS = Transform({"order_key": "l_orderkey"}, "l_linenumber > 0", ("order_key",), {"line_count": ("count", "l_linenumber"), "quantity": ("sum", "l_quantity"), "price": ("sum", "l_extendedprice * (1 - l_discount)"), "last_ship": ("max", "l_shipdate")})
+TOTALS = Policy("field:order_key", ("order_key", "line_count", "quantity", "price", "last_ship"))
+
+
+def _totals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Reconciliation]:
+    """A job's table of sums that has lost some orders, left a line out of some, and written some twice."""
+    d = table(spark, sf_dir, "lineitem")
+    kept = d.where("not (l_orderkey % 83 = 0 and l_linenumber = 1)")
+    sums = kept.groupBy(F.col("l_orderkey").alias("order_key")).agg(F.count("*").alias("line_count"), F.sum(F.col("l_quantity").cast("decimal(28,6)")).alias("quantity"), F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(28,6)")).alias("price"), F.max("l_shipdate").alias("last_ship"))
+    key = F.col("order_key")
+    return d, reconcile_transformed(d, faults.duplicate(faults.drop(sums, key % 97 == 0), key % 89 == 0), ORDER_TOTALS, TOTALS, SALT)
+
+
+def _money(x: str) -> str:
+    return f"sum(CAST({x} AS DECIMAL(28, 6)))"
+
+
+def _totals_sql(rows: str) -> str:
+    return f"(SELECT l_orderkey AS order_key, count(*) AS line_count, {_money('l_quantity')} AS quantity, {_money('l_extendedprice * (1 - l_discount)')} AS price, max(l_shipdate) AS last_ship FROM {rows} GROUP BY l_orderkey)"
+
+
+_TOTALS_SINK = _totals_sql("(SELECT * FROM lineitem WHERE NOT (l_orderkey % 83 = 0 AND l_linenumber = 1))")
+_TOTALS_SINK = f"(SELECT * FROM {_TOTALS_SINK} WHERE order_key % 97 <> 0 UNION ALL SELECT * FROM {_TOTALS_SINK} WHERE order_key % 97 <> 0 AND order_key % 89 = 0)"
+KINDS |= {"price": "decimal", "quantity": "decimal", "last_ship": "timestamp"}
+KIND_SQL["decimal"] = lambda c: text_sql("A3", f"CAST({c} AS VARCHAR)")
+_TOTALS_CTE = classes_sql(_totals_sql("lineitem"), _TOTALS_SINK, TOTALS, "order_key")
+
+
+@query(f"{_TOTALS_CTE}, y AS ({SUMMARY_SQL}) SELECT *, {_verdict_sql('y', Tolerances())} AS verdict FROM y")
+def transform_order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _totals(spark, sf_dir)[1].summary()
+    return s.withColumn("verdict", verdict_of(s))
+
+
+@query("""WITH o AS (SELECT l_orderkey, CASE WHEN l_orderkey % 97 = 0 OR (l_orderkey % 83 = 0 AND bool_and(l_linenumber = 1)) THEN 'missing' WHEN l_orderkey % 83 = 0 AND bool_or(l_linenumber = 1) THEN 'mutated' END AS kind FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, l_linenumber, kind FROM lineitem JOIN o USING (l_orderkey) WHERE kind IS NOT NULL""")
+def transform_contributors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines behind each order's sum that is missing or has changed."""
+    d, r = _totals(spark, sf_dir)
+    of = lambda records, kind: ORDER_TOTALS.contributors(d, records, TOTALS, SALT).select("l_orderkey", "l_linenumber", F.lit(kind).alias("kind"))
+    return of(r.missing, "missing").unionByName(of(r.mutated, "mutated"))
+
+
 # --- commitments --------------------------------------------------------------------------------
 
 
