@@ -35,8 +35,8 @@ class Transform:
 
     With group_by, names among fields, rows of equal values become one: its other fields
     are in aggregates, name to (sum, count, min or max, expression); sums are of decimals
-    with scale fraction digits, counts of rows where the expression isn't null. Null keys
-    are equal to each other.
+    with scale fraction digits, counts of rows where the expression isn't null, or of all
+    where it is *. Null keys are equal to each other.
     """
 
     fields: dict[str, str]
@@ -64,7 +64,7 @@ class Transform:
         if not self.group_by:
             return self._mapped(rows)
         wide = T.DecimalType(28, self.scale)
-        inner = {n: F.expr(e).cast(wide) if f == "sum" else F.expr(e) for n, (f, e) in self.aggregates.items()}
+        inner = {n: F.expr(e).cast(wide) if f == "sum" else F.lit(1) if (f, e) == ("count", "*") else F.expr(e) for n, (f, e) in self.aggregates.items()}
         taken = rows.where(self.where) if self.where else rows
         x = taken.select(*(F.expr(e).alias(n) for n, e in self.fields.items()), *(c.alias(f"__a{i}") for i, c in enumerate(inner.values())))
         return x.groupBy(*self.group_by).agg(*(_AGGREGATES[f](f"__a{i}").alias(n) for i, (n, (f, _)) in enumerate(self.aggregates.items())))

@@ -14,14 +14,17 @@ from ..functions.proof import Ed25519, verify_document, verify_documents
 from ..functions.model import Boundary, CanonSpec, DuplicatePolicy, Policy, Tolerances, check_schema_drift
 from ..operators import faults
 from ..operators.merkle import commutative_root, inclusion_proofs, merkle_root, verified_inclusion
+from ..operators.chain import chain_links
 from ..operators.hops import hop_faults, hop_summary
 from ..operators.prefilter import prefilter
 from ..operators.reconcile import Reconciliation, balanced, honest, multiset_except, multiset_intersect, reconcile, verdict_of
 from ..operators.transform import Transform, reconcile_transformed
 from .document import build_document
 from ..sources.boundary import offset_range, snapshot_range, time_window
+from ..sources.completeness import completeness, offset_gaps
 from ..sources.connectors import KafkaLog, SnapshotTable, row_hash
 from ..sources.stores import scratch
+from ..streaming.continuous import continuous, run_continuous
 
 SALT = bytes([0xAB]) * 32
 ORDERS = Policy("field:o_orderkey", ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
@@ -333,6 +336,72 @@ def transform_contributors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of(r.missing, "missing").unionByName(of(r.mutated, "mutated"))
 
 
+# --- streams, gaps, chains ------------------------------------------------------------------------
+
+_EVENT_SINK = """(WITH m AS (SELECT * REPLACE (CASE WHEN event_id % 83 = 0 THEN value + 1 ELSE value END AS value) FROM events WHERE event_id % 97 <> 0)
+  SELECT * FROM m UNION ALL SELECT * FROM m WHERE event_id % 89 = 0)"""
+
+
+@query(f"""WITH h AS (SELECT id_hash, content_hash, 1 AS s, 0 AS k, epoch_us(ts) // 1000 AS ms FROM {fp_sql('events', EVENTS, 'ts')} UNION ALL SELECT id_hash, content_hash, 0, 1, epoch_us(ts) // 1000 FROM {fp_sql(_EVENT_SINK, EVENTS, 'ts')}),
+c AS (SELECT id_hash, content_hash, sum(s) AS s, sum(k) AS k, max(ms) AS ms FROM h GROUP BY id_hash, content_hash),
+i AS (SELECT id_hash, sum(s) AS s, sum(k) AS k, sum(least(s, k)) AS m, max(ms) + 900000 AS closes FROM c GROUP BY id_hash)
+SELECT lower(hex(id_hash)) AS id_hash, CAST(s AS BIGINT) AS source_multiplicity, CAST(k AS BIGINT) AS sink_multiplicity, CAST(m AS BIGINT) AS matched, CAST(least(s, k) - m AS BIGINT) AS mutated_copies, CAST(greatest(s - k, 0) AS BIGINT) AS missing, CAST(closes AS BIGINT) AS closed_ms
+FROM i WHERE closes < (SELECT least(max(ms) FILTER (WHERE s = 1), max(ms) FILTER (WHERE k = 1)) FROM h)""")
+def continuous_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream against a sink's stream: what is known of each identity whose window has closed when both streams end."""
+    kind = table(spark, sf_dir, "events").schema
+    stream = lambda: spark.readStream.schema(kind).parquet(f"{sf_dir}/[e]vents.parquet")
+    at = F.col("event_id")
+    sink = faults.mutate(faults.drop(stream(), at % 97 == 0), at % 83 == 0, "value", F.col("value") + 1)
+    sink = sink.withColumn("twice", F.explode(F.when(at % 89 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("twice")
+    out = scratch(spark, "continuous")
+    run_continuous(continuous(stream(), sink, EVENTS, SALT), out, scratch(spark, "continuous-checkpoint")).awaitTermination()
+    from ..streaming.continuous import RESULT
+
+    return spark.read.schema(RESULT).parquet(out).withColumn("id_hash", F.lower(F.hex("id_hash")))
+
+
+_GAP_BOUNDARY = Boundary.of("OFFSET_RANGE", {"partitions": [{"id": 0, "start": 0, "end": 60000}, {"id": 1, "start": 10, "end": 2000}, {"id": 2, "start": 0, "end": 20}, {"id": 7, "start": 5, "end": 9}]})
+_GAP_WANT = "(VALUES (0, 0, 60000), (1, 10, 2000), (2, 0, 20), (7, 5, 9)) w(p, a, z)"
+_GAP_SQL = f"""WITH w AS (SELECT * FROM {_GAP_WANT}), x AS (SELECT DISTINCT event_id % 4 AS p, event_id // 4 AS o FROM events WHERE (event_id // 4) % 500 NOT BETWEEN 100 AND 103 AND (event_id // 4) % 711 <> 7),
+s AS (SELECT w.p, o FROM x JOIN w ON x.p = w.p AND o BETWEEN a AND z UNION ALL SELECT p, a - 1 FROM w UNION ALL SELECT p, z + 1 FROM w),
+g AS (SELECT p, o + 1 AS f, lead(o) OVER (PARTITION BY p ORDER BY o) - 1 AS l FROM s)"""
+
+
+def _gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a log of four partitions that has lost some offsets."""
+    e = table(spark, sf_dir, "events").select((F.col("event_id") % 4).alias("partition"), F.floor(F.col("event_id") / 4).alias("offset"))
+    return e.where("offset % 500 not between 100 and 103 and offset % 711 != 7")
+
+
+@query(f"{_GAP_SQL} SELECT CAST(p AS BIGINT) AS partition, CAST(f AS BIGINT) AS first, CAST(l AS BIGINT) AS last FROM g WHERE f <= l")
+def boundary_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return offset_gaps(_gapped(spark, sf_dir), _GAP_BOUNDARY)
+
+
+@query(f"""{_GAP_SQL}, n AS (SELECT p, sum(l - f + 1) AS m, count(*) AS c FROM g WHERE f <= l GROUP BY p)
+SELECT CAST(w.p AS BIGINT) AS partition, CAST(a AS BIGINT) AS start, CAST(z AS BIGINT) AS "end", CAST(coalesce(m, 0) AS BIGINT) AS missing, coalesce(c, 0) AS gaps, CASE WHEN c > 0 THEN 'UNVERIFIED' END AS verdict FROM w LEFT JOIN n USING (p)""")
+def boundary_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return completeness(_gapped(spark, sf_dir), _GAP_BOUNDARY)
+
+
+_LINK_SQL = """SELECT DISTINCT 'p' || o_orderkey AS id, CASE WHEN o_orderkey % 200 = 0 THEN NULL WHEN o_orderkey % 331 = 0 THEN 'lost' || o_orderkey WHEN o_orderkey % 200 = 77 THEN 'p' || (o_orderkey - 2) ELSE 'p' || (o_orderkey - 1) END AS prev FROM orders"""
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A link for each order: chains of 200, some with a fork or without the link before."""
+    k = lambda d: F.concat(F.lit("p"), (K() - d).cast("string"))
+    prev = F.when(K() % 200 == 0, None).when(K() % 331 == 0, F.concat(F.lit("lost"), K().cast("string"))).when(K() % 200 == 77, k(2)).otherwise(k(1))
+    return table(spark, sf_dir, "orders").select(k(0).alias("proof_id"), prev.alias("prev_proof_hash"))
+
+
+@query(f"""WITH RECURSIVE l AS ({_LINK_SQL}), b AS (SELECT l.*, CASE WHEN l.prev IS NULL THEN 'start' WHEN EXISTS (SELECT 1 FROM l o WHERE o.id = l.prev) THEN 'linked' ELSE 'gap' END AS state, (SELECT count(*) FROM l o WHERE o.prev = l.id) AS successors FROM l),
+t(id, root, depth) AS (SELECT id, id, CAST(0 AS BIGINT) FROM b WHERE state <> 'linked' UNION ALL SELECT b.id, t.root, t.depth + 1 FROM b JOIN t ON b.prev = t.id)
+SELECT b.id, prev, root, depth, CASE WHEN root IS NULL THEN 'cycle' ELSE state END AS state, successors, root IS NOT NULL AND successors = 0 AS head FROM b LEFT JOIN t USING (id)""")
+def supersede_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain_links(_links(spark, sf_dir))
+
+
 # --- commitments --------------------------------------------------------------------------------
 
 
