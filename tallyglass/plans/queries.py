@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.canon import encode_fields
@@ -13,6 +14,7 @@ from ..functions.hashing import fingerprints
 from ..functions.proof import Ed25519, verify_document, verify_documents
 from ..functions.model import Boundary, CanonSpec, DuplicatePolicy, Policy, Tolerances, check_schema_drift
 from ..operators import faults
+from ..operators.log import consistency_proofs, log_levels
 from ..operators.merkle import commutative_root, inclusion_proofs, merkle_root, verified_inclusion
 from ..operators.chain import chain_links
 from ..operators.hops import hop_faults, hop_summary
@@ -467,6 +469,34 @@ def commutative_root_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commutative_root(fingerprints(table(spark, sf_dir, "orders"), ORDERS, SALT)).select(*hexa("commutative_root"))
 
 
+_LOG_FP = f"(SELECT fp, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM {fp_sql('orders', ORDERS, 'o_orderkey')})"
+
+
+@query(f"""WITH RECURSIVE t(level, i, h) AS (SELECT 0, i, unhex(sha256(unhex('00') || fp)) FROM {_LOG_FP}
+  UNION ALL SELECT any_value(level) + 1, i // 2, unhex(sha256(unhex('10') || arg_min(h, i) || arg_max(h, i))) FROM t GROUP BY i // 2 HAVING count(*) = 2),
+n AS (SELECT count(*) AS n FROM orders), z AS (SELECT n // 3 AS a, 2 * n // 3 AS b FROM n UNION ALL SELECT 2 * n // 3, n FROM n),
+w AS (SELECT a, b, 'old' AS part, 0 AS lo, a AS hi FROM z UNION ALL SELECT a, b, 'new', a, b FROM z),
+k AS (SELECT *, CAST(2 ** level AS BIGINT) AS width FROM t)
+SELECT CAST(a AS BIGINT) AS old_size, CAST(b AS BIGINT) AS new_size, part, level, CAST(i AS BIGINT) AS idx, lower(hex(h)) AS hash FROM w JOIN k ON i * width >= lo AND (i + 1) * width <= hi
+WHERE NOT ((i // 2) * 2 * width >= lo AND (i // 2 + 1) * 2 * width <= hi)""")
+def log_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a log in the order of their keys: proofs between its first third, two thirds and all of it."""
+    d = table(spark, sf_dir, "orders").withColumn("pos_key", K())
+    fp = fingerprints(d, ORDERS, SALT).select("fp", "pos_key")
+    idx = _places(fp, "pos_key")
+    n = d.count()
+    return consistency_proofs(log_levels(idx, n), [n // 3, 2 * n // 3, n]).withColumn("hash", F.lower(F.hex("hash")))
+
+
+def _places(rows: DataFrame, key: str) -> DataFrame:
+    """rows with idx, their place by a distinct key, counted by stretches of 65,536 keys."""
+    part = F.shiftright(key, 16)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each stretch
+    x = rows.withColumn("part", part).join(sizes.select("part", before.alias("before")), "part")
+    return x.withColumn("idx", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1).drop("part", "before")
+
+
 # --- canonical form -----------------------------------------------------------------------------
 
 
@@ -623,7 +653,9 @@ def vector_documents(spark: SparkSession, algorithm: str = "sha256", only: list[
     boundary = Boundary.of("OFFSET_RANGE", {"partitions": [{"id": 0, "start": 0, "end": 4}]})
     out = {n: build_document(fingerprints(d, policy, SALT), fingerprints(x, policy, SALT), policy, SALT, boundary, SeedSigner(spark), TEST_PUBLIC, created_at="2000-01-01T00:00:00Z") for n, x in sinks.items() if only is None or n in only}
     if "valid" in out:
-        out["tampered"] = out["valid"] | {"signature": out["valid"]["signature"] | {"sig": "/" * 85 + "w=="}}
+        damaged = bytearray(base64.b64decode(out["valid"]["signature"]["sig"]))
+        damaged[20] ^= 1
+        out["tampered"] = out["valid"] | {"signature": out["valid"]["signature"] | {"sig": base64.b64encode(damaged).decode()}}
     return out
 
 

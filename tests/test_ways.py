@@ -5,12 +5,14 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tallyglass.functions.hashing import fingerprints
 from tallyglass.functions.model import Boundary, InvalidBoundary, Policy, ReconError
 from tallyglass.operators.chain import chain_links
 from tallyglass.operators.hops import hop_faults, hop_summary
+from tallyglass.operators.log import consistency_proofs, log_levels, proven_roots
 from tallyglass.operators.prefilter import prefilter
 from tallyglass.operators.reconcile import reconcile
 from tallyglass.operators.transform import Transform, reconcile_transformed
@@ -203,6 +205,32 @@ def test_continuous_equals_the_batch_and_goes_on_after_a_stop(spark, tmp_path):
         continuous(stream("source"), stream("sink"), Policy("field:id", ("id", "v"), late_arrival_window="soon"), SALT)
 
 
+@pytest.mark.parametrize(("sizes", "bits"), [([0, 1, 7, 8, 21, 70], 2), ([5, 70], 12), ([64, 70], 3)])
+def test_log(spark, sizes, bits):
+    sha = lambda b: hashlib.sha256(b).digest()
+    fps = [sha(bytes([i])) for i in range(70)]
+
+    def root(leaves):
+        if len(leaves) <= 1:
+            return leaves[0] if leaves else sha(b"\0" + bytes(32))
+        k = 1 << (len(leaves) - 1).bit_length() - 1
+        return sha(b"\x10" + root(leaves[:k]) + root(leaves[k:]))
+
+    leaves = [sha(b"\0" + f) for f in fps]
+    levels = log_levels(spark.createDataFrame(list(enumerate(fps)), "idx long, fp binary").repartition(3), 70, bits)
+    by = defaultdict(list)
+    for r in consistency_proofs(levels, sizes, bits).collect():
+        by[r.old_size, r.new_size].append(r)
+    assert set(by) == set(zip(sizes, sizes[1:]))
+    for (a, b), rows in by.items():
+        assert proven_roots(rows) == (root(leaves[:a]), root(leaves[:b])) and len(rows) <= 2 * b.bit_length()
+        with pytest.raises(ValueError):
+            proven_roots([*rows[1:], Row(**rows[0].asDict() | {"level": 60})])
+    assert consistency_proofs(levels, [70], bits).collect() == []
+    with pytest.raises(ValueError):
+        consistency_proofs(levels, [3, 3], bits)
+
+
 def test_generated_code_gives_the_same(spark):
     """Production runs generated code; the other tests don't."""
     before = {k: spark.conf.get(k) for k in ("spark.sql.codegen.wholeStage", "spark.sql.codegen.factoryMode")}
