@@ -25,6 +25,7 @@ from .document import build_document
 from ..sources.boundary import offset_range, snapshot_range, time_window
 from ..sources.completeness import completeness, offset_gaps
 from ..sources.connectors import KafkaLog, SnapshotTable, row_hash
+from ..sources.delta import DeltaTable
 from ..sources.stores import scratch
 from ..streaming.continuous import continuous, run_continuous
 
@@ -612,6 +613,50 @@ def snapshot_manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.rows(Boundary.of("BATCH_ID", {"snapshot_from": 2, "snapshot_to": 3})).select("o_orderkey", "o_orderstatus", F.col("pos.a").alias("snapshot_id"))
 
 
+# --- tables with a log --------------------------------------------------------------------------
+
+
+def _delta_orders(spark: SparkSession, sf_dir: str) -> DeltaTable:
+    """Orders as five versions: two are added, the first one's files are rewritten without some rows, a checkpoint, a third is added, a partition's files go."""
+    t = DeltaTable(spark, scratch(spark, "delta"))
+    d = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    # ranges of keys, so that statistics can tell files apart
+    part = lambda i, and_=F.lit(True): d.where((K() % 4 == i) & and_).repartitionByRange(4, "o_orderkey")
+    t.commit(part(0), partition_by=("o_orderstatus",))
+    t.commit(part(1))
+    t.commit(part(0, F.col("o_totalprice") < 200000), remove=t.files(0))
+    t.checkpoint()
+    t.commit(part(2))
+    t.commit(remove=t.files(3, {"o_orderstatus": ("P", "P")}))
+    return t
+
+
+_DELTA_SQL = {
+    0: "o_orderkey % 4 = 0",
+    1: "o_orderkey % 4 IN (0, 1)",
+    2: "(o_orderkey % 4 = 1 OR o_orderkey % 4 = 0 AND o_totalprice < 200000)",
+    3: "(o_orderkey % 4 IN (1, 2) OR o_orderkey % 4 = 0 AND o_totalprice < 200000)",
+    4: "(o_orderkey % 4 IN (1, 2) OR o_orderkey % 4 = 0 AND o_totalprice < 200000) AND o_orderstatus <> 'P'",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT CAST({v} AS INTEGER) AS version, o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE {c}" for v, c in _DELTA_SQL.items()))
+def delta_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of every version, before and after a checkpoint."""
+    t = _delta_orders(spark, sf_dir)
+    parts = [t.read(v).select(F.lit(v).alias("version"), "o_orderkey", "o_orderstatus", "o_totalprice") for v in _DELTA_SQL]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+@query(f"SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE {_DELTA_SQL[4]} AND o_orderkey BETWEEN 1000 AND 3000 AND o_orderstatus = 'F'")
+def delta_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last version in a range of keys and one partition; only files that can hold them are read."""
+    return _delta_orders(spark, sf_dir).read(ranges={"o_orderkey": (1000, 3000), "o_orderstatus": ("F", "F")}).select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
 # --- documents ----------------------------------------------------------------------------------
 
 #: A key for tests only.

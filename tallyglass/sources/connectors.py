@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from ..functions.hashing import fingerprints
 from ..functions.model import Boundary, BoundaryMode, ConnectorError, InvalidBoundary, Policy
 from .boundary import bounded, offset_range, snapshot_range
+from .delta import DeltaTable
 from .stores import Files
 
 
@@ -243,6 +244,14 @@ def _snapshots(spark: SparkSession, c: dict) -> SnapshotTable:
     return SnapshotTable(spark, root.replace("s3://", "s3a://", 1), c["table"])
 
 
+def _delta(spark: SparkSession, c: dict) -> DeltaTable:
+    root = c.get("warehouse_uri") or c.get("warehouse")
+    if not root:
+        raise ConnectorError(f"{c['type']} needs a warehouse")
+    root = root if "://" in root else "file://" + os.path.abspath(root)
+    return DeltaTable(spark, f"{root.replace('s3://', 's3a://', 1).rstrip('/')}/{c['table']}")
+
+
 def _catalog(spark: SparkSession, c: dict) -> TableRows:
     name = ".".join(x for x in (c.get("catalog"), c.get("schema"), c["table"]) if x)
     df = spark.table(name)
@@ -255,7 +264,7 @@ def _warehouse(spark: SparkSession, c: dict) -> TableRows:
 
 #: What a configuration can name: source makers take its section, the boundary and the payload's schema, sink makers its section.
 SOURCES = {"memory_kafka": _memory, "kafka": _kafka, "msk": _kafka, "eventhubs": _kafka, "pubsub": _pubsub}
-SINKS = {"iceberg": _snapshots, "iceberg_s3": _snapshots, "iceberg-s3": _snapshots, "delta_adls": _snapshots, "bigquery": _warehouse, "databricks": _catalog, "databricks_delta": _catalog, "table": _catalog}
+SINKS = {"iceberg": _snapshots, "iceberg_s3": _snapshots, "iceberg-s3": _snapshots, "delta_adls": _snapshots, "delta": _delta, "bigquery": _warehouse, "databricks": _catalog, "databricks_delta": _catalog, "table": _catalog}
 
 
 def build_source(spark: SparkSession, section: dict, boundary: Boundary, schema: str) -> Connector:

@@ -74,6 +74,23 @@ class Files:
         context.rename(part, self.path(name), options)
         return f"{self.root}/{name}"
 
+    def create(self, name: str, data: bytes) -> str:
+        """Writes a new file as one step; one that is there already is an error."""
+        part, at = self.path(f"{name}.{uuid.uuid4().hex}.tmp"), self.path(name)
+        self.fs.mkdirs(at.getParent())
+        out = self.fs.create(part, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(part, at, self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Exception as e:
+            self.fs.delete(part, False)
+            raise ConnectorError(f"not written: {name} may be there already: {e}") from e
+        return f"{self.root}/{name}"
+
     def newest(self, suffix: str) -> str | None:
         """The name of the file changed last, ties to the last name."""
         if not self.exists(""):
