@@ -2,9 +2,10 @@
 
 Median and upper quantile of every measure are taken per group from mergeable quantile
 sketches over all documents; a cutoff lies beyond the upper quantile by a multiple of
-its distance from the median. Groups of few rows take the cutoffs of their
-language, and languages of few rows those of all. Documents are then joined
-with their group's cutoffs. All of it is DataFrame functions.
+its distance from the median. A group's figures are drawn towards its language's, and
+a language's towards those of all, by the number of its rows against PRIOR_ROWS, so
+that every group counts and none switches at a size. Documents are then joined with
+their group's cutoffs. All of it is DataFrame functions.
 
 Scale: measures are a small table without the texts. Sketches of each level are
 merged from each task's, so a group with a third of all rows costs one sketch a
@@ -24,12 +25,12 @@ SYMBOLS = "#*$%&|<>"
 ACCURACY = 10_000
 #: Groups up to which the cutoffs are broadcast, and salts beyond.
 SMALL, SALTS = 10_000, 32
-#: Rows of a group from which it has cutoffs of its own.
-LEAST_ROWS = 200
+#: Rows of the parent that count beside a group's own: a group of so many rows has figures halfway between.
+PRIOR_ROWS = 200
 #: The sketch's quantiles that a cutoff is made of, and how many of their distances it lies beyond the upper one.
 QUANTILES, FENCE = (0.5, 0.9), 4
-#: Measures in thousandths, and the least distance of the quantiles (fixed values): where nearly all documents have 0, they have no distance.
-LEAST_SPREAD = {"symbols_pm": 40, "dup_lines_pm": 100, "repeats_pm": 50, "word_length_pm": 250}
+#: Measures in thousandths, and what counts as the quantiles' distance where they are equal (fixed values), as where nearly all documents have 0.
+SPREAD = {"symbols_pm": 40, "dup_lines_pm": 100, "repeats_pm": 50, "word_length_pm": 250}
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
 
 
@@ -71,20 +72,21 @@ def _thousandths() -> dict[str, Column]:
 
 
 def _cutoffs(x: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and max_* of each group, from the sketches of the smallest level with LEAST_ROWS rows."""
-    some = x.where("not base_failed").rollup(*keys).agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *(F.percentile_approx(m, list(QUANTILES), ACCURACY).alias(m) for m in LEAST_SPREAD))
-
-    def fence(m: str) -> Column:
+    """keys and max_* of each group: upper quantile and distance from the sketches, in millionths, drawn towards the parents' level by level."""
+    some = x.where("not base_failed").rollup(*keys).agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *(F.percentile_approx(m, list(QUANTILES), ACCURACY).alias(m) for m in SPREAD))
+    own = []
+    for m, spread in SPREAD.items():
         mid, high = F.get(m, F.lit(0)), F.get(m, F.lit(1))
-        return (high + FENCE * F.greatest(high - mid, F.lit(LEAST_SPREAD[m]))).cast("long")
-
-    some = stored(some.select(*keys, "level", "n", F.struct(*(fence(m).alias(f"max_{m}") for m in LEAST_SPREAD)).alias("cut")), "cutoffs")
-    out = some.where("level = 0").select(*keys, F.when(F.col("n") >= LEAST_ROWS, F.col("cut")).alias("cut"))
-    for i in range(len(keys) - 1, -1, -1):  # from the nearest parent to all rows, which have no row limit
+        own += [(1000 * high).alias(f"high_{m}"), (1000 * F.when(high > mid, high - mid).otherwise(F.lit(spread))).alias(f"distance_{m}")]
+    some = stored(some.select(*keys, "level", "n", *own), "sketches")
+    figures = [f"{c}_{m}" for m in SPREAD for c in ("high", "distance")]
+    out = some.where(F.col("level") == (1 << len(keys)) - 1).select(*figures)  # all rows: one row, without a parent
+    for i in range(1, len(keys) + 1):
+        parent = out.withColumnsRenamed({c: f"__{c}" for c in figures})
         level = some.where(F.col("level") == (1 << len(keys) - i) - 1)
-        level = level.select(*keys[:i], (F.when(F.col("n") >= LEAST_ROWS, F.col("cut")) if i else F.col("cut")).alias("parent"))
-        out = (out.join(level, keys[:i], "left") if i else out.join(F.broadcast(level))).select(*keys, F.coalesce("cut", "parent").alias("cut"))  # all rows: one row
-    return stored(out.select(*keys, "cut.*"), "cutoffs")
+        both = level.join(parent, keys[: i - 1]) if i > 1 else level.join(F.broadcast(parent))
+        out = both.select(*keys[:i], *(F.expr(f"(n * {c} + {PRIOR_ROWS} * __{c}) div (n + {PRIOR_ROWS})").alias(c) for c in figures))
+    return stored(out.select(*keys, *(F.expr(f"(high_{m} + {FENCE} * distance_{m}) div 1000").alias(f"max_{m}") for m in SPREAD)), "cutoffs")
 
 
 def apply_quality_rules(docs: DataFrame, texts: bool = True, text_col: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -94,11 +96,11 @@ def apply_quality_rules(docs: DataFrame, texts: bool = True, text_col: str = "te
     3-word windows. Others are kept unless a measure (symbols for each character
     of words, repeated lines, words in repeated windows, mean word length; in
     thousandths) is above its group's cutoff: the 0.9 quantile and FENCE times its
-    distance from the median, which counts as LEAST_SPREAD at least; what spoils
-    less than a tenth of a group can't move it. The quantiles come from all rows of
-    the group that passed the base rules; a group of under LEAST_ROWS such rows has
-    the cutoffs of the first column's value, and that of all rows if it has too few
-    as well. Nulls in a group column are a group of their own. Null and empty texts
+    distance from the median, which is SPREAD where both are equal; what spoils
+    less than a tenth of a large group can't move it. Both figures come from all rows of
+    the group that passed the base rules, and are averaged with those of the first
+    column's value, themselves averaged with those of all rows: the group's with the
+    weight of its rows, the parent's with PRIOR_ROWS. Nulls in a group column are a group of their own. Null and empty texts
     fail the base rules. Repeated rows count each. Input columns named like an output
     are replaced; an empty table stays empty.
     """
@@ -124,6 +126,6 @@ def apply_quality_rules(docs: DataFrame, texts: bool = True, text_col: str = "te
         salted = x.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names[:1]], "n_words", "word_chars"), F.lit(SALTS)))
         j = salted.join(cut.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*keys, "__salt"], "left")
     good = ~F.col("base_failed")
-    for m in LEAST_SPREAD:
+    for m in SPREAD:
         good = good & F.coalesce(F.col(m) <= F.col(f"max_{m}"), F.lit(True))
     return j.select(*(F.col(f"`{c}`") for c in names), *MEASURES, "base_failed", good.alias("kept"))

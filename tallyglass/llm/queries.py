@@ -132,10 +132,11 @@ m AS (SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(len
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   CASE WHEN word_chars > 0 THEN n_symbols * 1000 // word_chars ELSE 0 END AS a1, CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS a2,
   CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS a3, CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words ELSE 0 END AS a4 FROM m),
-l AS (SELECT grouping_id(lang0, source0) AS level, lang0, source0, count(*) AS n, {", ".join(f"quantile_disc(a{i}, 0.9) + {quality_rules.FENCE} * greatest(quantile_disc(a{i}, 0.9) - quantile_disc(a{i}, 0.5), {spread}) AS c{i}" for i, spread in enumerate(quality_rules.LEAST_SPREAD.values(), 1))}
+l AS (SELECT grouping_id(lang0, source0) AS level, lang0, source0, count(*) AS n, {", ".join(f"1000 * quantile_disc(a{i}, 0.9) AS h{i}, 1000 * CASE WHEN quantile_disc(a{i}, 0.9) > quantile_disc(a{i}, 0.5) THEN quantile_disc(a{i}, 0.9) - quantile_disc(a{i}, 0.5) ELSE {spread} END AS d{i}" for i, spread in enumerate(quality_rules.SPREAD.values(), 1))}
   FROM (SELECT *, coalesce(lang, chr(1)) AS lang0, coalesce(source, chr(1)) AS source0 FROM b) WHERE NOT base_failed GROUP BY ROLLUP (lang0, source0)),
-q AS (SELECT g.lang0, g.source0, {", ".join(f"CASE WHEN g.n >= {quality_rules.LEAST_ROWS} THEN g.c{i} WHEN p.n >= {quality_rules.LEAST_ROWS} THEN p.c{i} ELSE a.c{i} END AS c{i}" for i in (1, 2, 3, 4))}
-  FROM l g JOIN l p ON p.level = 1 AND p.lang0 = g.lang0 JOIN l a ON a.level = 3 WHERE g.level = 0)
+p1 AS (SELECT g.lang0, {", ".join(f"(g.n * g.{c} + {quality_rules.PRIOR_ROWS} * a.{c}) // (g.n + {quality_rules.PRIOR_ROWS}) AS {c}" for i in (1, 2, 3, 4) for c in (f"h{i}", f"d{i}"))} FROM l g JOIN l a ON a.level = 3 WHERE g.level = 1),
+p0 AS (SELECT g.lang0, g.source0, {", ".join(f"(g.n * g.{c} + {quality_rules.PRIOR_ROWS} * a.{c}) // (g.n + {quality_rules.PRIOR_ROWS}) AS {c}" for i in (1, 2, 3, 4) for c in (f"h{i}", f"d{i}"))} FROM l g JOIN p1 a ON a.lang0 = g.lang0 WHERE g.level = 0),
+q AS (SELECT lang0, source0, {", ".join(f"(h{i} + {quality_rules.FENCE} * d{i}) // 1000 AS c{i}" for i in (1, 2, 3, 4))} FROM p0)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND a1 <= c1 AND a2 <= c2 AND a3 <= c3 AND a4 <= c4 AS kept
 FROM b LEFT JOIN q ON coalesce(b.lang, chr(1)) = q.lang0 AND coalesce(b.source, chr(1)) = q.source0""",

@@ -479,22 +479,59 @@ def test_quality(spark, docs):
     assert "text" not in small.columns and sorted(map(str, small.drop("n_words").collect())) == sorted(map(str, quality_rules.apply_quality_rules(docs).drop("text", "n_words").collect()))
 
 
-def test_quality_cutoffs_follow_the_groups(spark, monkeypatch):
-    """Two sources with other upper tails have other cutoffs; small groups have their language's."""
+def plain_quality(rows, prior):
+    """kept by id, and the cutoffs of each group and language, in plain Python."""
+    figures = {}
+    for i, text, lang, source in rows:
+        w = words(text)
+        c = Counter(zip(w, w[1:], w[2:]))
+        cover = len({p + k for p in range(len(w) - 2) if c[tuple(w[p : p + 3])] > 1 for k in range(3)})
+        lines = [x for x in (text or "").split("\n") if words(x)]
+        chars = sum(map(len, w))
+        per = lambda x, y: 1000 * x // y if y else 0
+        m = (per(sum((text or "").count(x) for x in quality_rules.SYMBOLS), chars), per(len(lines) - len(set(lines)), len(lines)), per(cover, len(w)), per(chars, len(w)))
+        figures[i] = (len(w) < 50 or 100 * cover > 50 * len(w), m, lang, source)
+
+    def own(some):
+        out = []
+        for values, spread in zip(zip(*some), quality_rules.SPREAD.values()):
+            v = sorted(values)
+            mid, high = v[-(-len(v) // 2) - 1], v[-(-9 * len(v) // 10) - 1]
+            out.append((1000 * high, 1000 * (high - mid or spread)))
+        return out
+
+    def drawn(some, parent):
+        n = len(some)
+        return [tuple((n * x + prior * y) // (n + prior) for x, y in zip(a, b)) for a, b in zip(own(some), parent)]
+
+    good = [f for f in figures.values() if not f[0]]
+    top = own([f[1] for f in good])
+    langs = {k: drawn([f[1] for f in good if f[2] == k], top) for k in {f[2] for f in good}}
+    groups = {k: drawn([f[1] for f in good if f[2:] == k], langs[k[0]]) for k in {f[2:] for f in good}}
+    cut = lambda x: [(h + quality_rules.FENCE * d) // 1000 for h, d in x]
+    kept = {i: not bad and all(x <= y for x, y in zip(m, cut(groups[lang, source]))) for i, (bad, m, lang, source) in figures.items()}
+    return kept, {k: cut(x) for k, x in groups.items()}, {k: cut(x) for k, x in langs.items()}
+
+
+@pytest.mark.parametrize("prior", [4, 200])
+def test_quality_cutoffs_follow_the_groups(spark, monkeypatch, prior):
+    """Every group's rows count, the more the more they are; the same by a broadcast and by salt."""
     g = random.Random(8)
-    text = lambda share: " ".join(f"q{g.randrange(10**6)}" + "#" * (g.random() < share) for _ in range(80))
-    rows = [(i, text(0.02), "en", "plain") for i in range(60)] + [(100 + i, text(g.choice([0.1, 0.4, 0.8])), "en", "code") for i in range(60)]
-    rows += [(200, text(1.0), "en", "plain"), (201, text(1.0), "en", "code"), (202, text(1.0), "en", "few"), (203, text(1.0), "xx", None)]
+    text = lambda share, twice: "\n".join(" ".join(f"q{g.randrange(10**6)}" + "#" * (g.random() < share) for _ in range(10)) for _ in range(8)) + "\nagain and again and again\nsome more words" * twice
+    kinds = [(lang, f"s{j}", 0.01 * 2**j) for lang in ("en", "de", None) for j in range(5)]
+    rows = [(lang, source, g.uniform(0, 2 * share)) for lang, source, share in kinds for _ in range(40)] + [(lang, source, min(1, 9 * share)) for lang, source, share in kinds for _ in range(2)] + [("xx", None, 1.0)]
+    rows = [(i, text(share, g.choice([0, 0, 0, 1, 2])), lang, source) for i, (lang, source, share) in enumerate(rows)] + [(9000, None, "en", "s0"), (9001, "", None, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    monkeypatch.setattr(quality_rules, "LEAST_SPREAD", dict.fromkeys(quality_rules.LEAST_SPREAD, 5))
-    monkeypatch.setattr(quality_rules, "LEAST_ROWS", 50)
-    want = None
-    for small in (10_000, 0):  # broadcast, and by salt
+    monkeypatch.setattr(quality_rules, "PRIOR_ROWS", prior)
+    want, groups, langs = plain_quality(rows, prior)
+    for small in (10_000, 0):
         monkeypatch.setattr(quality_rules, "SMALL", small)
-        kept = {r.doc_id: r.kept for r in quality_rules.apply_quality_rules(d, texts=False).collect()}
-        assert not kept[200] and kept[201] and kept[202] and kept[203]
-        assert want is None or kept == want
-        want = kept
+        assert {r.doc_id: r.kept for r in quality_rules.apply_quality_rules(d, texts=False).collect()} == want
+    assert 0 < sum(want.values()) < len(want)
+    if prior == 4:  # groups whose own rows decide: their language's cutoffs would judge some of their rows otherwise
+        as_languages, *_ = plain_quality([(i, t, lang, "all") for i, t, lang, _ in rows], prior)
+        assert sum(groups[k] != langs[k[0]] for k in groups) >= 10
+        assert len({(r[2], r[3]) for r in rows if want[r[0]] != as_languages[r[0]]}) >= 5
 
 
 def test_warc(spark):
