@@ -14,6 +14,7 @@ from ..functions.hashing import fingerprints
 from ..functions.proof import Ed25519, verify_document, verify_documents
 from ..functions.model import Boundary, CanonSpec, DuplicatePolicy, Policy, Tolerances, check_schema_drift
 from ..operators import faults
+from ..operators.leaks import leaked_values
 from ..operators.log import consistency_proofs, log_levels
 from ..operators.merkle import commutative_root, inclusion_proofs, merkle_root, verified_inclusion
 from ..operators.chain import chain_links
@@ -686,6 +687,17 @@ def proof_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([row], "source_count long, sink_count long, matched long, missing long, mutated long, duplicated long, verdict string, verified string")
 
 
+@query("""SELECT 'doc-' || (c_custkey // 100) AS document, 'c_name' AS field, c_name AS value, CASE c_custkey % 250 WHEN 7 THEN 'plain' ELSE 'hex' END AS form FROM customer WHERE c_custkey % 250 IN (7, 9)""")
+def evidence_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of customers in documents of their digests: some raw, some in hexadecimal; others only look like names."""
+    c = table(spark, sf_dir, "customer")
+    i = F.col("c_custkey") % 250
+    note = F.when(i == 7, F.col("c_name")).when(i == 9, F.lower(F.hex("c_name"))).when(i == 11, F.concat("c_name", F.lit("0"))).when(i == 12, F.concat(F.lit("x"), "c_name"))
+    rows = c.select(F.floor(F.col("c_custkey") / 100).alias("d"), F.to_json(F.struct(F.sha2("c_name", 256).alias("id_hash"), note.alias("note"))).alias("row"))
+    docs = rows.groupBy("d").agg(F.concat_ws(",", F.sort_array(F.collect_list("row"))).alias("document")).select(F.concat(F.lit("doc-"), F.col("d").cast("string")).alias("path"), "document")
+    return leaked_values(docs, c, ["c_name", "c_mktsegment"])
+
+
 VECTORS = {"valid": "PASS", "tampered": "FAIL", "drop": "FAIL", "dup": "FAIL", "mutated": "FAIL"}
 
 
