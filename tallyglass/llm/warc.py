@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.fs as fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -156,11 +157,16 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block
 
 
-def _local(folder: str) -> str:
-    parts = urlsplit(folder)
-    if parts.scheme not in ("", "file"):
-        raise ValueError(f"archives are written through a mounted folder, not {parts.scheme}://")
-    return parts.path
+#: What Spark's names of file systems are in pyarrow (fixed values).
+_SCHEMES = {"s3a": "s3", "gs": "gs", "hdfs": "hdfs", "abfs": "abfss", "abfss": "abfss"}
+
+
+def _opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """The folder's file system and its path there: local, s3, gs, hdfs or abfss, whichever of them pyarrow has here."""
+    at = urlsplit(folder)
+    if at.scheme in ("", "file"):
+        return fs.LocalFileSystem(), os.path.abspath(at.path)
+    return fs.FileSystem.from_uri(folder.replace(at.scheme, _SCHEMES.get(at.scheme, at.scheme), 1))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", per_archive: int = ARCHIVE_PAGES) -> tuple[str, int]:
@@ -172,12 +178,13 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     empty table writes no archive; other columns, whatever their names, are not read.
     An archive is streamed: its task holds no more than the dictionary's first
     records and one batch. The
-    folder must be shared by all workers; by default it is new, in the checkpoint folder.
+    folder is on any file system that the workers' pyarrow reaches, with its own
+    credentials there; by default it is new, in the checkpoint folder.
     """
     spark = pages.sparkSession
     prepare(spark)
     folder = folder or new_path(spark, "warc")
-    path = _local(folder)
+    _opened(folder)  # a file system that isn't there is an error now, not in the tasks
     payload = F.coalesce(F.col(payload_col).cast("string").cast("binary"), F.lit(b""))
     keys = stored(pages.select(F.col(id_col).cast("long").alias("id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("bytes")), "digests")
     first = stored(keys.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
@@ -203,16 +210,17 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
                         ref = refers.get((i, digest))
                         yield record_bytes(i, url, data, digest, "response" if ref is None else "revisit", ref)
 
-        os.makedirs(path, exist_ok=True)
+        files, path = _opened(folder)
+        files.create_dir(path, recursive=True)
         part = f"{path}/{uuid.uuid4().hex}.tmp"
-        with open(part, "wb") as f:
+        with files.open_output_stream(part) as f:
             for piece in archive_parts(records()):
                 f.write(piece)
         if numbers:
-            os.replace(part, f"{path}/part-{numbers[0]:08d}.warc.zst")
+            files.move(part, f"{path}/part-{numbers[0]:08d}.warc.zst")
             yield pa.record_batch([pa.array([len(numbers)], pa.int64())], names=["n"])
         else:
-            os.remove(part)
+            files.delete_file(part)
 
     written = dealt.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
     return folder, int(written)

@@ -534,6 +534,17 @@ def test_quality_cutoffs_follow_the_groups(spark, monkeypatch, prior):
         assert len({(r[2], r[3]) for r in rows if want[r[0]] != as_languages[r[0]]}) >= 5
 
 
+def test_warc_folders(tmp_path):
+    """Local folders by any spelling; other file systems by the name that pyarrow gives them."""
+    for name in (str(tmp_path / "a b%20c"), f"file:{tmp_path}/a b%20c", f"file://{tmp_path}/a b%20c"):
+        files, path = warc._opened(name)
+        assert path == str(tmp_path / "a b%20c") and files.type_name == "local"
+    files, path = warc._opened("mock:///x/y")
+    assert files.type_name == "mock" and path == "x/y"
+    with pytest.raises(Exception, match="nosuch"):
+        warc._opened("nosuch://x/y")
+
+
 def test_warc(spark):
     big = "<p>ä</p>" * 30
     rows = [(3, "http://a/\r\nx", big), (1, None, big), (2, "http://b/", "short"), (5, "u", "short"), (4, "u", None), (6, "u", ""), (1, None, big), (9, "u", big + "x")]
