@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ..sources.stores import dropped, stored
 
-#: Letters of an n-gram, the shortest value that is looked for, and letters of a piece at least.
-GRAM, LEAST, PIECE = 6, 8, 1 << 14
+#: Letters of an n-gram, the shortest value that is looked for, and letters of a piece at least: n-grams are cut in time quadratic in a piece.
+GRAM, LEAST, PIECE = 6, 8, 1 << 10
 #: Parts that the pieces of one n-gram are dealt to.
 SALTS = 16
 
