@@ -288,7 +288,7 @@ def test_urls_split_labels_of_the_table(spark):
         assert got == {i: want[i] for i in got}
 
 
-def test_urls_split_is_the_cheapest():
+def test_urls_split_is_the_cheapest(spark):
     """Against all splits of short labels into known words and unknown parts, and the score against the sum of each word's odds."""
     from functools import cache
     from math import exp, log
@@ -297,31 +297,32 @@ def test_urls_split_is_the_cheapest():
     listed = {"bet", "win", "free", "art", "car"}
     for _ in range(60):
         counts = {"".join(g.choice("abetrwincf") for _ in range(g.randrange(3, 6))): g.randrange(1, 90) for _ in range(12)}
-        model = url_filter.Unigrams(counts, sum(counts.values()), listed)
+        total = sum(counts.values())
+        known = {w: log(2 * total / n) for w, n in counts.items()}
+        known |= {w: min(url_filter.LISTED, known.get(w, url_filter.LISTED)) for w in listed}
         label = "".join(g.choice([*listed, *counts, "x", "bt", "qq"]) for _ in range(3))
 
         @cache
-        def least(end, unknown, model=model, label=label):
+        def least(end, unknown, known=known, label=label):
             """The least cost of the first letters, the last part being unknown or a word."""
             if end == 0:
                 return 0.0 if not unknown else float("inf")
             if unknown:
                 return min(least(s, False) + url_filter.PART + url_filter.LETTER * (end - s) for s in range(end))
-            return min((min(least(s, False), least(s, True)) + model.cost[label[s:end]] for s in range(end) if label[s:end] in model.cost), default=float("inf"))
+            return min((min(least(s, False), least(s, True)) + known[label[s:end]] for s in range(end) if label[s:end] in known), default=float("inf"))
 
-        parts = model.split(label)
+        parts = url_filter.cheapest_split(label, known)
         assert "".join(parts) == label
-        cost = sum(model.cost[p] if p in model.cost else url_filter.PART + url_filter.LETTER * len(p) for p in parts)
+        cost = sum(known[p] if p in known else url_filter.PART + url_filter.LETTER * len(p) for p in parts)
         want = min(least(len(label), False), least(len(label), True))
-        whole = want >= url_filter.LETTER * len(label) and label not in model.cost
+        whole = want >= url_filter.LETTER * len(label) and label not in known
         assert parts == [label] if whole else abs(cost - want) < 1e-9
     blocked, allowed = url_filter.examples(url_filter.BLOCKED_EXAMPLES), url_filter.examples(url_filter.ALLOWED_EXAMPLES)
-    bayes = url_filter.NaiveBayes(blocked, allowed, smooth=1.0)
+    odds = {r.w: r.odds for r in url_filter.word_odds(spark, smooth=1.0).collect()}
     words_ = {w for x in blocked + allowed for w in x}
     share = lambda x, w: (sum(y.count(w) for y in x) + 1) / (sum(map(len, x)) + len(words_))
-    got = bayes.score(["casino", "library", "nothing", "casino"])
-    assert abs(exp(got - bayes.prior) - (share(blocked, "casino") / share(allowed, "casino")) ** 2 * share(blocked, "library") / share(allowed, "library")) < 1e-9
-    assert abs(bayes.prior - log(1 / 3)) < 1e-12
+    assert abs(exp(2 * odds["casino"] + odds["library"]) - (share(blocked, "casino") / share(allowed, "casino")) ** 2 * share(blocked, "library") / share(allowed, "library")) < 1e-9
+    assert abs(url_filter.PRIOR - log(1 / 3)) < 1e-12
 
 
 def test_urls_of_any_script(spark):
@@ -331,15 +332,15 @@ def test_urls_of_any_script(spark):
     d = spark.createDataFrame([(i, u, 9.0) for i, u in enumerate(urls)], "page_id long, url string, score double")
     got = {r.page_id: r.verdict for r in url_filter.filter_urls(d).collect()}
     assert got == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "block", 5: "block", 6: "allow", 7: "allow"}
-    x = d.select(*(c.alias(n) for c, n in zip(url_filter.parts_of_url(F.col("url")), ("host", "path"))))
-    model = url_filter.train_unigrams(x.select("host", url_filter.readable(F.col("host"), F.col("path")).alias("text")))
-    assert long in model.cost and model.split(f"{long}casinowin") == [long, "casino", "win"]
-    assert url_filter.tokens("каз ab12_x", url_filter.Unigrams({}, 1, set())) == ["каз", "ab", "12", "x"]
+    x = d.select(*(c.alias(n) for c, n in zip(url_filter.parts_of_url(F.col("url")), ("host", "path"))), F.lit(None).cast("string").alias("verdict"))
+    counts = url_filter.count_labels(x)
+    words = {r.w: r.words for r in url_filter.split_labels(counts, url_filter.word_costs(counts)).collect()}
+    assert words[long] == [long] and words[f"{long}casinowin"] == [long, "casino", "win"] and {"каз", "да"} <= set(words)
 
 
 def test_urls_split_long_runs():
-    model = url_filter.Unigrams({}, 1, {"casino", "viagra"})
-    assert model.split("zq" * 200 + "casinoviagra" + "zq" * 200) == ["zq" * 200, "casino", "viagra", "zq" * 200]
+    known = {"casino": url_filter.LISTED, "viagra": url_filter.LISTED}
+    assert url_filter.cheapest_split("zq" * 200 + "casinoviagra" + "zq" * 200, known) == ["zq" * 200, "casino", "viagra", "zq" * 200]
 
 
 def test_topk(spark):
@@ -584,3 +585,24 @@ def test_warc_of_large_pages_and_other_digests(spark, monkeypatch):
         assert warc.parse_record(head(good))[1] == block
     with pytest.raises(warc.WarcError):
         warc.parse_record(head(b"sha1:" + base64.b32encode(hashlib.sha1(b"x").digest())))
+
+
+def test_urls_learn_from_the_rules(spark):
+    """A word met on hosts that a rule blocks blocks other hosts, one met on both sides or on few hosts does not; against a plain count."""
+    rows = [f"http://zorbal{'abcdefgh'[i]}.example.net/de/{i}" for i in range(8)]
+    rows += [f"http://zorba.{'abcdefgh'[i]}x.net/{i}" for i in range(8)] + [f"http://quib.{'abcdefgh'[i]}y.net/fr/quib" for i in range(4)]
+    rows += [f"http://both.{'abcdefgh'[i]}z.net/" for i in range(6)] + [f"http://both.{'abcdefgh'[i]}v.org/fr/" for i in range(6)]
+    rows += [f"http://calm.{'abcdefgh'[i]}u.org/fr/calm{i}" for i in range(8)]
+    asked = ["http://zorba.com/", "http://quib.com/", "http://both.com/", "http://calm.com/de/", "http://zorbacalm.com/", "http://zorbacasino.com/", "http://essexhistory.com/"]
+    rows += [f"http://essex.{'abcdefgh'[i]}t.com/" for i in range(6)] + ["http://es.com/"] + rows[:3]
+    d = spark.createDataFrame(list(enumerate(asked + rows)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.filter_urls(d).collect()}
+    assert [got[i].verdict for i in range(len(asked))] == ["block", "allow", "allow", "allow", "allow", "block", "allow"]
+    assert abs(got[4].score - (got[0].score + got[3].score - url_filter.PRIOR)) < 1e-6  # its split has both words
+    urls = url_filter.judged(d, [], "url", url_filter.RULES).select("host", "path", F.col("__rule.verdict").alias("verdict")).distinct()
+    counts = {r.w: (r.n, r.block, r.allow) for r in url_filter.count_labels(urls).collect()}
+    assert counts["zorba"] == (9, 8, 0) and counts["both"] == (13, 6, 6) and counts["calm"] == (9, 0, 8)
+    assert counts["net"][1:] == counts["org"][1:] == counts["fr"][1:] == counts["example"][1:] == (0, 0)
+    r = url_filter.held_out(d).first()
+    assert r.n > 0 and r.block <= r.n and r.right <= r.n
+    assert url_filter.held_out(d.limit(0)).first().asDict() == {"n": 0, "block": 0, "right": 0}
