@@ -27,6 +27,7 @@ from ..sources.boundary import offset_range, snapshot_range, time_window
 from ..sources.completeness import completeness, offset_gaps
 from ..sources.connectors import KafkaLog, SnapshotTable, row_hash
 from ..sources.delta import DeltaTable
+from ..sources.segments import read_segments, write_segments
 from ..sources.stores import scratch
 from ..streaming.continuous import continuous, run_continuous
 
@@ -389,6 +390,34 @@ def boundary_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return completeness(_gapped(spark, sf_dir), _GAP_BOUNDARY)
 
 
+_LOG_SQL = "SELECT event_id % 4 AS p, event_id // 4 AS o, event_type AS v FROM events WHERE (event_id // 4) % 500 NOT BETWEEN 100 AND 103 AND (event_id // 4) % 711 <> 7"
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> str:
+    """The log of _gapped, with the kinds of its events as values, in segments of 1,000 offsets."""
+    e = table(spark, sf_dir, "events").select((F.col("event_id") % 4).alias("partition"), F.floor(F.col("event_id") / 4).alias("offset"), F.col("event_type").alias("value"))
+    path = scratch(spark, "segments")
+    write_segments(e.where("offset % 500 not between 100 and 103 and offset % 711 != 7"), path, segment=1000)
+    return path
+
+
+@query(f"SELECT CAST(x.p AS BIGINT) AS partition, CAST(o AS BIGINT) AS \"offset\", v AS value FROM ({_LOG_SQL}) x JOIN {_GAP_WANT} ON x.p = w.p AND o BETWEEN a AND z WHERE o >= 15 AND x.p <> 2")
+def segments_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a boundary, read by ranges of offsets; conditions on partition and offset decide the ranges as well."""
+    log = read_segments(spark, _segments(spark, sf_dir), _GAP_BOUNDARY, segment=1000)
+    return log.where("offset >= 15 and partition in (0, 1, 3, 7)").select("partition", "offset", F.col("value").cast("string").alias("value"))
+
+
+@query(f"SELECT CAST(p AS BIGINT) AS partition, v AS value, count(*) AS n, CAST(min(o) AS BIGINT) AS first, CAST(max(o) AS BIGINT) AS last FROM ({_LOG_SQL}) GROUP BY p, v")
+def segments_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log as a stream, with its offsets as the position, written as a table and counted."""
+    out = scratch(spark, "segments-out")
+    log = read_segments(spark, _segments(spark, sf_dir), segment=1000, stream=True)
+    log.writeStream.format("parquet").option("checkpointLocation", scratch(spark, "segments-checkpoint")).trigger(availableNow=True).start(out).awaitTermination()
+    rows = spark.read.schema("partition long, offset long, value binary").parquet(out)
+    return rows.groupBy("partition", F.col("value").cast("string").alias("value")).agg(F.count("*").alias("n"), F.min("offset").alias("first"), F.max("offset").alias("last"))
+
+
 _LINK_SQL = """SELECT DISTINCT 'p' || o_orderkey AS id, CASE WHEN o_orderkey % 200 = 0 THEN NULL WHEN o_orderkey % 331 = 0 THEN 'lost' || o_orderkey WHEN o_orderkey % 200 = 77 THEN 'p' || (o_orderkey - 2) ELSE 'p' || (o_orderkey - 1) END AS prev FROM orders"""
 
 
