@@ -255,8 +255,8 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFram
     urls = judged(pages, [], url_col, rules).select("host", "path", F.col("__rule.verdict").alias("verdict")).distinct()
     odds = label_odds(urls, rules)
     scored = text_odds(urls.where("verdict is null").select(_key().alias("key"), labels_of(F.col("host"), F.col("path")).alias("labels")), odds)
-    # sums in another order differ in their last digits
-    x = judged(pages, names, url_col, rules).withColumn("__key", F.when(F.col("__rule").isNull(), _key()))
+    # every row has its URL's key, so that those that a rule decides aren't one key; sums in another order differ in their last digits
+    x = judged(pages, names, url_col, rules).withColumn("__key", _key())
     x = x.join(scored.select(F.col("key").alias("__key"), F.round("odds", 9).alias("__odds")), "__key", "left")
     score = F.when(F.col("__rule").isNull(), PRIOR + F.coalesce(F.col("__odds"), F.lit(0.0)))
     verdict = F.coalesce(F.col("__rule.verdict"), F.when(score > 0, "block").otherwise("allow"))
