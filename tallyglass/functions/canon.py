@@ -26,8 +26,13 @@ def binary(hexa: str) -> Column:
     return F.unhex(F.lit(hexa))
 
 
+#: The 32-bit forms of the lengths that nearly all values have, one after another.
+_SHORT = b"".join(i.to_bytes(4, "big") for i in range(256))
+
+
 def u32(n: Column) -> Column:
-    return F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0"))
+    n = n.cast("long")
+    return F.when(n < 256, F.substring(F.lit(_SHORT), (4 * n + 1).cast("int"), F.lit(4))).otherwise(F.unhex(F.lpad(F.hex(n), 8, "0")))
 
 
 def framed(tag: str, data: Column) -> Column:

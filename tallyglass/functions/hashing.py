@@ -97,13 +97,13 @@ def b64(data: bytes) -> str:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """rows over all cores, if they are so few bytes that a scan would not use them all; larger or streamed rows as they are."""
+    """rows over all cores, if they are fewer bytes than a core's least part of a scan (spark.sql.files.openCostInBytes) for each core; a scan deals out larger ones itself. Streamed rows as they are."""
     if rows.isStreaming:
         return rows
     spark = rows.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    each = int(str(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes").lower())))
+    each = int(str(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.openCostInBytes").lower())))
     return rows.repartition(cores) if cores > 1 and size < cores * each else rows
 
 

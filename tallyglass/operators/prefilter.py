@@ -1,15 +1,15 @@
 """Digests of hash ranges, so that only ranges which differ are compared row by row.
 
 The rows of both sides fall into ranges by the first bits of id_hash, so an identity is
-in one range. A range's digest is its numbers of rows and the sums of its fingerprints'
-words (120 bits), source minus sink: it is all zero where both sides hold the same
+in one range. A range's digest is its numbers of rows and the sums of words (126 bits)
+that two seeded 64-bit hashes make of a row's own hashes, source minus sink: it is all zero where both sides hold the same
 multiset. Ranges that differ are cut into smaller ones on the next level, and what
 differs on the last is reconciled; the others matched, copy by copy.
 
 Scale: digests are summed before the exchange, so a level exchanges at most one row for
 each range and task, whatever the number of rows: with the first level's 1,024 ranges
 and a million rows a task, a thousandth. Ranges that differ are broadcast: 2^18 at most.
-Two different multisets have equal digests by accident once in 2^120; whoever can choose
+Two different multisets have equal digests by accident once in 2^126; whoever can choose
 contents may find such sums, so a proof's commitments stay the Merkle roots.
 """
 
@@ -19,15 +19,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
-from ..functions.hashing import fingerprint_hash
 from ..sources.stores import dropped, stored
 from .reconcile import Reconciliation, reconcile
 
 #: Bits by which each level cuts its ranges.
 FAN = (10, 8)
-_WORDS = 5
+_WORDS = 6
 
 
 def range_of(bits: int) -> Column:
@@ -35,11 +33,11 @@ def range_of(bits: int) -> Column:
     return F.shiftright(F.conv(F.hex(F.substring("id_hash", 1, 4)), 16, 10).cast("long"), 32 - bits)
 
 
-def digests(rows: DataFrame, bits: int, algorithm: str = "sha256") -> DataFrame:
+def digests(rows: DataFrame, bits: int) -> DataFrame:
     """(range, source_rows, sink_rows, differs) of rows (id_hash, content_hash, sign), sign 1 for the source's and -1 for the sink's."""
-    h = F.hex(fingerprint_hash(F.col("id_hash"), F.col("content_hash"), algorithm))
-    x = rows.select(range_of(bits).alias("range"), "sign", h.alias("h"))
-    words = [F.sum(F.col("sign") * F.conv(F.substring("h", 6 * i + 1, 6), 16, 10).cast("long")).alias(f"w{i}") for i in range(_WORDS)]
+    x = rows.select(range_of(bits).alias("range"), "sign", *(F.xxhash64(F.lit(i), "id_hash", "content_hash").alias(f"h{i}") for i in range(_WORDS // 3)))
+    word = lambda i: F.shiftright(f"h{i // 3}", 21 * (i % 3)).bitwiseAND(F.lit((1 << 21) - 1))
+    words = [F.sum(F.col("sign") * word(i)).alias(f"w{i}") for i in range(_WORDS)]
     d = x.groupBy("range").agg(F.count_if(F.col("sign") == 1).alias("source_rows"), F.count_if(F.col("sign") == -1).alias("sink_rows"), *words)
     differs = F.col("source_rows") != F.col("sink_rows")
     for i in range(_WORDS):
@@ -95,7 +93,6 @@ class Prefiltered:
     def release(self) -> None:
         """Drops what is kept and the levels' tables."""
         self.differing.release()
-        self.source.unpersist()
         dropped(*self.tables)
 
 
@@ -106,7 +103,7 @@ def prefilter(source: DataFrame, sink: DataFrame, algorithm: str = "sha256", fan
     sides are equal; a side of null hashes isn't possible. Other columns than the
     fingerprints' are dropped.
     """
-    whole = reconcile(source, sink, algorithm)  # keeps both sides' hashes
+    whole = reconcile(source, sink, algorithm)
     sides = {1: whole.source, -1: whole.sink}
     tables: list[DataFrame] = []
     bits: list[int] = []
@@ -122,9 +119,8 @@ def prefilter(source: DataFrame, sink: DataFrame, algorithm: str = "sha256", fan
         for sign, df in sides.items():
             x = left(df).select("id_hash", "content_hash", F.lit(sign).alias("sign"))
             both = x if both is None else both.unionByName(x)
-        tables.append(stored(digests(both, (bits[-1] if bits else 0) + step, algorithm), f"digests-{len(tables)}"))
+        tables.append(stored(digests(both, (bits[-1] if bits else 0) + step), f"digests-{len(tables)}"))
         bits.append((bits[-1] if bits else 0) + step)
     total = tables[0].agg(F.sum("source_rows")).first()[0] or 0
     differing = tables[-1].where("differs").agg(F.sum("source_rows")).first()[0] or 0
-    kept = [left(df).persist(StorageLevel.MEMORY_AND_DISK) for df in sides.values()]
-    return Prefiltered(Reconciliation(kept[0], kept[1], algorithm), whole.source, total - differing, tables, tuple(bits))
+    return Prefiltered(reconcile(*map(left, sides.values()), algorithm), whole.source, total - differing, tables, tuple(bits))

@@ -5,14 +5,22 @@ the order of positions (mutated), and unpaired source rows are missing. An ident
 with more sink than source rows is duplicated; one without a source row at all is a
 phantom among them.
 
-Scale: each side is read and hashed once; its hashes and positions are kept (on disk
-where memory is short) until release(). Copies are counted by (identity, content) in a
-hash aggregate before the exchange, so a hot record is a row with two counts, and nearly
-all of a result follows from counts. Positions are read only for groups with other
-numbers on both sides. Where these are at most SMALL groups they are broadcast, else
-joined by exchange. Their rows are ranked; groups of over RANGE rows are dealt by sampled
-quantiles of their order, whatever the positions' type, and a row's rank is its place in
-its part and the sizes of the parts before, so no group is one task.
+Scale: a first pass counts records by a 64-bit hash of the identity and the first 16 bytes
+of the content's hash, in a hash aggregate before the exchange, so a hot record is a row
+with two counts, and a record costs an exchange of 24 bytes and not of its whole hashes
+and position. Identities whose counts are equal on both sides matched, copy by copy; two
+contents of one identity are taken for equal by accident once in 2^128. What is known of
+the others is their number and a set of bits, about 16 for each, that is broadcast up to
+FEW of them. A second pass hashes both sides again and keeps (on disk where memory is
+short, until release()) the rows whose bit is set, with all their hashes and positions:
+all rows of each uneven identity, and one in 16 or fewer of the others, which change no
+result. Neither side is kept whole.
+
+Of the kept rows nearly all of a result follows from counts. Positions are read only for
+groups with other numbers on both sides. Where these are at most SMALL groups they are
+broadcast, else joined by exchange. Their rows are ranked; groups of over RANGE rows are
+dealt by sampled quantiles of their order, whatever the positions' type, and a row's rank
+is its place in its part and the sizes of the parts before, so no group is one task.
 """
 
 from __future__ import annotations
@@ -21,7 +29,7 @@ import math
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -34,6 +42,8 @@ SOURCE, SINK = "source", "sink"
 RANGE = 1 << 20
 #: Groups with other numbers on both sides (under 200 bytes each) that are broadcast.
 SMALL = 200_000
+#: Uneven records whose bits (some 12 bytes for each) are broadcast.
+FEW = 1 << 24
 _GROUP = ["id_hash", "content_hash"]
 
 
@@ -67,26 +77,70 @@ def ranked(rows: DataFrame, keys: list[str], groups: DataFrame | None, rank: str
 
 @dataclass(frozen=True)
 class Reconciliation:
-    """Frames of a comparison. source and sink have id_hash, content_hash and pos; algorithm makes a fingerprint of both hashes."""
+    """Frames of a comparison. source and sink have id_hash, content_hash and pos; algorithm makes a fingerprint of both hashes.
+
+    counts, identities and what is made of them are of the kept rows only; all others matched.
+    """
 
     source: DataFrame
     sink: DataFrame
     algorithm: str = "sha256"
     tables: list[DataFrame] = field(default_factory=list)
 
+    @cached_property
+    def _first(self) -> tuple[int, int, int, DataFrame]:
+        """Rows of both sides, records with other numbers on both, and a hash of each of these records' identities; one job."""
+        key = [_spot().alias("spot"), F.substring("content_hash", 1, 16).alias("content")]
+        side = lambda df, s, k: df.select(*key, F.lit(s).cast("long").alias("s"), F.lit(k).cast("long").alias("k"))
+        n = side(self.source, 1, 0).unionByName(side(self.sink, 0, 1)).groupBy("spot", "content").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
+        seen = Observation()
+        uneven = F.col("s") != F.col("k")
+        n = n.observe(seen, F.sum("s").alias("s"), F.sum("k").alias("k"), F.count_if(uneven).alias("n"))
+        found = stored(n.where(uneven).select("spot"), "uneven")
+        self.tables.append(found)
+        got = seen.get
+        return got["s"] or 0, got["k"] or 0, got["n"], found
+
+    def _marked(self, df: DataFrame, kept: bool) -> DataFrame:
+        """The rows whose identity's bit is set, or the others."""
+        n, found = self._first[2:]
+        if not n:
+            return df.limit(0) if kept else df
+        bits = max(6, (16 * n - 1).bit_length())
+        place = lambda c: F.shiftrightunsigned(c, 64 - bits)
+        one = F.expr("shiftleft(1L, cast(place & 63 as int))")
+        words = found.select(place("spot").alias("place")).groupBy(F.shiftright("place", 6).alias("__word")).agg(F.bit_or(one).alias("__bits"))
+        x = df.withColumn("place", place(_spot())).withColumn("__word", F.shiftright("place", 6))
+        x = x.join(F.broadcast(words) if n <= FEW else words, "__word", "inner" if kept else "left")
+        unset = F.col("__bits").bitwiseAND(one) == 0
+        return x.where(~unset if kept else F.col("__bits").isNull() | unset).select(*df.columns)
+
+    @cached_property
+    def _kept(self) -> dict[str, DataFrame]:
+        return {name: self._marked(df, True).persist(StorageLevel.MEMORY_AND_DISK) for name, df in ((SOURCE, self.source), (SINK, self.sink))}
+
+    @property
+    def even(self) -> DataFrame:
+        """The source rows that aren't kept: as often in the sink."""
+        return self._marked(self.source, False)
+
     @cached_property
     def counts(self) -> DataFrame:
-        """(id_hash, content_hash, s, k): copies on both sides."""
-        both = self.source.select(*_GROUP, F.lit(0).alias("side")).unionByName(self.sink.select(*_GROUP, F.lit(1).alias("side")))
+        """(id_hash, content_hash, s, k): copies on both sides, of the kept rows."""
+        both = self._kept[SOURCE].select(*_GROUP, F.lit(0).alias("side")).unionByName(self._kept[SINK].select(*_GROUP, F.lit(1).alias("side")))
         n = both.groupBy(*_GROUP).agg(F.count_if(F.col("side") == 0).alias("s"), F.count_if(F.col("side") == 1).alias("k"))
         return n.persist(StorageLevel.MEMORY_AND_DISK)
 
     def release(self) -> None:
-        """Drops what is kept; later uses read the sides again."""
-        for df in (self.counts, self.source, self.sink):
+        """Drops what is kept; what was made of it before isn't to be read any more."""
+        if "counts" in self.__dict__:
+            self.counts.unpersist()
+        for df in self.__dict__.get("_kept", {}).values():
             df.unpersist()
         dropped(*self.tables)
         self.tables.clear()
+        for made in ("_first", "_kept", "counts", "_uneven", "identities", "_contested"):
+            self.__dict__.pop(made, None)
 
     def _with_fp(self, df: DataFrame) -> DataFrame:
         columns = [*_GROUP, "fp", *(c for c in df.columns if c not in _GROUP)]
@@ -112,7 +166,7 @@ class Reconciliation:
 
     def _rows(self, side: str, groups: DataFrame) -> DataFrame:
         """The side's rows of some groups, with what the groups have."""
-        rows = self.source if side == SOURCE else self.sink
+        rows = self._kept[side]
         if not self._uneven[0]:
             return rows.limit(0).join(groups.limit(0), _GROUP)
         return rows.join(self._small(groups), _GROUP)
@@ -132,15 +186,17 @@ class Reconciliation:
         """Source rows that have an equal sink row: all but those of groups with more source rows, which are ranked."""
         columns = [*_GROUP, "pos"]
         over = self.counts.where("s > k")
-        sure = self.source.join(self._small(over.select(*_GROUP)), _GROUP, "left_anti") if self._uneven[0] else self.source
+        kept = self._kept[SOURCE]
+        sure = kept.join(self._small(over.select(*_GROUP)), _GROUP, "left_anti") if self._uneven[0] else kept
         some = over.where("k > 0")
         partly = self._ranked(self._rows(SOURCE, some.select(*_GROUP, "k")), _GROUP, some.select(*_GROUP, F.col("s").alias("size"))).where("rank <= k")
-        return self._with_fp(sure.select(*columns).unionByName(partly.select(*columns)))
+        return self._with_fp(self.even.select(*columns).unionByName(sure.select(*columns)).unionByName(partly.select(*columns)))
 
     @property
     def matched_fingerprints(self) -> DataFrame:
-        """(fp, copies) of what matched, from the counts alone."""
-        return self._with_fp(self.counts.where("s > 0 and k > 0")).select("fp", F.least("s", "k").alias("copies"))
+        """(fp, copies) of what matched, without positions; a fingerprint may be several rows."""
+        some = self.counts.where("s > 0 and k > 0").select(*_GROUP, F.least("s", "k").alias("copies"))
+        return self._with_fp(self.even.select(*_GROUP, F.lit(1).cast("long").alias("copies")).unionByName(some)).select("fp", "copies")
 
     @cached_property
     def _contested(self) -> DataFrame:
@@ -187,21 +243,27 @@ class Reconciliation:
             none(F.sum(F.greatest(a - b, F.lit(0)))).alias("missing"), none(F.sum(F.least(a, b))).alias("mutated_copies"),
             F.count_if(k > s).alias("duplicated"), none(F.sum(F.greatest(k - s, F.lit(0)))).alias("duplicate_excess"), F.count_if(s == 0).alias("phantoms"),
         )
+        sides = self._first[:2]
+        n = n.select(*(x.alias(c) for c, x in ((c, F.lit(sides[0]).cast("long") - F.col("source_count") + F.col("matched") if c == "matched" else F.lit(sides[c == "sink_count"]).cast("long") if c in ("source_count", "sink_count") else F.col(c)) for c in n.columns)))
         pairs = self.mutated_copies.agg(F.count("*").alias("mutated"))
         return n.join(F.broadcast(pairs)).select("source_count", "sink_count", "matched", "missing", "mutated_copies", "mutated", "duplicated", "duplicate_excess", "phantoms")  # one row each
 
 
-def reconcile(source: DataFrame, sink: DataFrame, algorithm: str = "sha256", keep: bool = True) -> Reconciliation:
+def _spot() -> Column:
+    """A number for the identity, whose first bits are its place among the bits of uneven ones."""
+    return F.xxhash64("id_hash")
+
+
+def reconcile(source: DataFrame, sink: DataFrame, algorithm: str = "sha256") -> Reconciliation:
     """source and sink: fingerprints with a pos column (any orderable type, the same on both sides; without one, rows are ordered by content).
 
-    algorithm is the fingerprints'. With keep, both sides' hashes are kept until release().
+    algorithm is the fingerprints'. Both sides are read twice, or more often for what matched; they have to be the same each time.
     Equal positions within a record are interchangeable; null positions come last. Empty sides give counts of 0.
     """
 
     def side(df: DataFrame) -> DataFrame:
         pos = F.col("pos") if "pos" in df.columns else F.lit(None).cast("long")
-        x = df.select("id_hash", "content_hash", pos.alias("pos"))
-        return x.persist(StorageLevel.MEMORY_AND_DISK) if keep else x
+        return df.select("id_hash", "content_hash", pos.alias("pos"))
 
     return Reconciliation(side(source), side(sink), algorithm)
 

@@ -37,8 +37,7 @@ def build_document(source: DataFrame, sink: DataFrame, policy: Policy, salt: byt
     if len(salt) != 32:
         raise ReconError("a salt has 32 bytes")
     a = known_algorithm(policy.hash_algorithm)
-    source, sink = source.persist(), sink.persist()
-    r = reconcile(source, sink, a, keep=False)
+    r = reconcile(source, sink, a)
     try:
         s = r.summary()
         row = s.withColumn("verdict", verdict_of(s, policy.tolerances, reason)).first()
@@ -71,5 +70,3 @@ def build_document(source: DataFrame, sink: DataFrame, policy: Policy, salt: byt
         return sign_document(doc, signer, public)
     finally:
         r.release()
-        source.unpersist()
-        sink.unpersist()

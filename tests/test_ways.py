@@ -62,6 +62,21 @@ def test_prefilter_of_equal_and_empty_sides(spark):
     assert prefilter(source.limit(0), source.limit(0)).summary().first().source_count == 0
 
 
+def test_neither_side_is_kept_whole(spark):
+    """Only identities with other numbers on both sides, and a few others, are kept with all their hashes."""
+    frame = lambda d: fingerprints(d.withColumn("pos", F.col("id")), POLICY, SALT)
+    rows = spark.range(2000).withColumn("v", F.lit(1).cast("long"))
+    r = reconcile(frame(rows), frame(rows.where("id != 7").withColumn("v", F.when(F.col("id") % 500 == 3, 2).otherwise(1).cast("long"))))
+    s = r.summary().first()
+    assert (s.source_count, s.sink_count, s.matched, s.missing, s.mutated, s.duplicated) == (2000, 1999, 1995, 1, 4, 0)
+    assert not r.source.storageLevel.useMemory and not r.sink.storageLevel.useMemory
+    assert 5 <= r.counts.agg(F.sum("s")).first()[0] < 400 and r.even.count() == 2000 - r.counts.agg(F.sum("s")).first()[0]
+    assert r.matched.count() == 1995 and r.matched_fingerprints.agg(F.sum("copies")).first()[0] == 1995
+    r.release()
+    assert r.summary().first() == s
+    r.release()
+
+
 def test_swapped_contents_are_found(spark):
     """Two records that exchange their contents leave each content's sum as it is."""
     frame = lambda x: fingerprints(spark.createDataFrame(x, "id long, v long, pos long"), POLICY, SALT)
