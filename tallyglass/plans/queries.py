@@ -29,7 +29,7 @@ from ..sources.connectors import KafkaLog, SnapshotTable, row_hash
 from ..sources.delta import DeltaTable
 from ..sources.segments import read_segments, write_segments
 from ..sources.stores import scratch
-from ..streaming.continuous import continuous, run_continuous
+from ..streaming.continuous import buckets_for, continuous, run_continuous
 
 SALT = bytes([0xAB]) * 32
 ORDERS = Policy("field:o_orderkey", ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
@@ -354,13 +354,14 @@ SELECT lower(hex(id_hash)) AS id_hash, CAST(s AS BIGINT) AS source_multiplicity,
 FROM i WHERE closes < (SELECT least(max(ms) FILTER (WHERE s = 1), max(ms) FILTER (WHERE k = 1)) FROM h)""")
 def continuous_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream against a sink's stream: what is known of each identity whose window has closed when both streams end."""
-    kind = table(spark, sf_dir, "events").schema
+    events = table(spark, sf_dir, "events")
+    kind, buckets = events.schema, buckets_for(events.count())
     stream = lambda: spark.readStream.schema(kind).parquet(f"{sf_dir}/[e]vents.parquet")
     at = F.col("event_id")
     sink = faults.mutate(faults.drop(stream(), at % 97 == 0), at % 83 == 0, "value", F.col("value") + 1)
     sink = sink.withColumn("twice", F.explode(F.when(at % 89 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("twice")
     out = scratch(spark, "continuous")
-    run_continuous(continuous(stream(), sink, EVENTS, SALT), out, scratch(spark, "continuous-checkpoint")).awaitTermination()
+    run_continuous(continuous(stream(), sink, EVENTS, SALT, buckets=buckets), out, scratch(spark, "continuous-checkpoint")).awaitTermination()
     from ..streaming.continuous import RESULT
 
     return spark.read.schema(RESULT).parquet(out).withColumn("id_hash", F.lower(F.hex("id_hash")))

@@ -17,7 +17,7 @@ from tallyglass.operators.prefilter import prefilter
 from tallyglass.operators.reconcile import reconcile
 from tallyglass.operators.transform import Transform, reconcile_transformed
 from tallyglass.sources.completeness import completeness, offset_gaps
-from tallyglass.streaming.continuous import RESULT, continuous, run_continuous
+from tallyglass.streaming.continuous import BUCKETS, EACH, RESULT, buckets_for, continuous, run_continuous
 
 SALT = bytes(32)
 POLICY = Policy("field:id", ("id", "v"))
@@ -262,3 +262,18 @@ def test_generated_code_gives_the_same(spark):
     finally:
         for k, x in before.items():
             spark.conf.set(k, x)
+
+
+def test_buckets_grow_with_the_records(spark, tmp_path, monkeypatch):
+    """A worker holds one bucket at a time, so their number follows the records, and the query asks for it."""
+    from tallyglass.plans import queries
+
+    assert buckets_for(0) == buckets_for(EACH * BUCKETS) == BUCKETS
+    assert all(n / buckets_for(n) <= EACH for n in (10**5, 10**7, 10**10))
+    asked = []
+    monkeypatch.setattr("tallyglass.streaming.continuous.EACH", 1)
+    monkeypatch.setattr(queries, "continuous", lambda *a, buckets, **k: asked.append(buckets) or continuous(*a, buckets=buckets, **k))
+    monkeypatch.setattr(queries, "run_continuous", lambda results, path, checkpoint: spark.createDataFrame([], RESULT).write.parquet(path) or type("Q", (), {"awaitTermination": lambda self: None})())
+    spark.range(BUCKETS + 5).selectExpr("id event_id", "timestamp_seconds(id) ts", "id user_id", "'a' event_type", "1d value", "'' props").write.parquet(f"{tmp_path}/events.parquet")
+    queries.continuous_events(spark, str(tmp_path))
+    assert asked == [BUCKETS + 5]
