@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canon import encode_fields
 from ..functions.hashing import fingerprints
-from ..functions.proof import Ed25519, verify_document, verify_documents
+from ..functions.proof import Ed25519, evidence_counts, verify_documents
 from ..functions.model import Boundary, CanonSpec, DuplicatePolicy, Policy, Tolerances, check_schema_drift
 from ..operators import faults
 from ..operators.leaks import leaked_values
@@ -22,7 +22,7 @@ from ..operators.hops import hop_faults, hop_summary
 from ..operators.prefilter import prefilter
 from ..operators.reconcile import Reconciliation, balanced, honest, multiset_except, multiset_intersect, reconcile, verdict_of
 from ..operators.transform import Transform, reconcile_transformed
-from .document import build_document
+from .document import build_document, verify_with_tables
 from ..sources.boundary import offset_range, snapshot_range, time_window
 from ..sources.completeness import completeness, offset_gaps
 from ..sources.connectors import KafkaLog, SnapshotTable, row_hash
@@ -708,12 +708,13 @@ TEST_PUBLIC = bytes.fromhex("03a107bff3ce10be1d70dd18e74bc09967e4d6309ba50d5f1dd
 
 @query(f"{_MIXED_SQL}, y AS ({SUMMARY_SQL}) SELECT source_count, sink_count, matched, missing, mutated, duplicated, {_verdict_sql('y', Tolerances())} AS verdict, 'the document holds' AS verified FROM y")
 def proof_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A signed document about orders with every kind of fault, verified."""
+    """A signed document about orders with every kind of fault, verified with its evidence, which is in tables where it is too much for a document."""
     d = table(spark, sf_dir, "orders").withColumn("pos", K())
     sides = fingerprints(d, ORDERS, SALT), fingerprints(FAULTS["mixed"][0](d), ORDERS, SALT)
-    doc = build_document(*sides, ORDERS, SALT, Boundary.of("BATCH_ID", {"batch_id": 1}), SeedSigner(spark), TEST_PUBLIC, created_at="2000-01-01T00:00:00Z")
+    doc = build_document(*sides, ORDERS, SALT, Boundary.of("BATCH_ID", {"batch_id": 1}), SeedSigner(spark), TEST_PUBLIC, created_at="2000-01-01T00:00:00Z", tables=(tables := scratch(spark, "evidence")))
     r = doc["reconciliation"]
-    row = (doc["source_commitment"]["count"], doc["sink_commitment"]["count"], r["matched"]["count"], len(r["missing"]), len(r["mutated"]), len(r["duplicated"]), r["verdict"], verify_document(doc, TEST_PUBLIC, spark)[1])
+    n = evidence_counts(r)
+    row = (doc["source_commitment"]["count"], doc["sink_commitment"]["count"], r["matched"]["count"], n["missing"], n["mutated"], n["duplicated"], r["verdict"], verify_with_tables(doc, TEST_PUBLIC, spark, tables)[1])
     return spark.createDataFrame([row], "source_count long, sink_count long, matched long, missing long, mutated long, duplicated long, verdict string, verified string")
 
 

@@ -295,6 +295,31 @@ def test_equal_mutated_copies_balance(spark):
     assert verify_document(doc, TEST_PUBLIC, spark) == ("PASS", "the document holds")
 
 
+def test_evidence_in_tables(spark, tmp_path):
+    """More evidence than a document may hold goes to tables that it commits to."""
+    from tallyglass.functions.model import ReconError
+    from tallyglass.plans.document import verify_with_tables
+
+    d = faults.sample_records(spark, 9)
+    at = F.col("pos")
+    sink = faults.duplicate(faults.mutate(faults.drop(d, at.isin(4, 5)), at == 2, "amount", "dec:1"), at == 7)
+    sides = [fingerprints(x, SORTED, SALT) for x in (d, sink)]
+    build = lambda **more: build_document(*sides, SORTED, SALT, Boundary.of("BATCH_ID", {"batch_id": "x"}), SeedSigner(spark), TEST_PUBLIC, created_at="2000-01-01T00:00:00Z", **more)
+    with pytest.raises(ReconError):
+        build(limit=1)
+    doc, folder = build(limit=1, tables=f"{tmp_path}/a"), f"{tmp_path}/a"
+    e = doc["reconciliation"]["evidence"]
+    assert form_errors(doc) == [] and (e["missing"]["count"], e["mutated"]["count"], e["mutated"]["copies"], e["duplicated"]["count"], e["duplicated"]["excess"]) == (2, 1, 1, 1, 1)
+    assert verify_with_tables(doc, TEST_PUBLIC, spark, folder) == ("FAIL", "the document holds") and doc["reconciliation"]["verdict"] == "FAIL"
+    assert verify_document(doc, TEST_PUBLIC, spark)[0] == "UNVERIFIED"
+    rows = spark.read.parquet(f"{folder}/missing")
+    for n in ("duplicated", "mutated"):
+        spark.read.parquet(f"{folder}/{n}").write.parquet(f"{tmp_path}/b/{n}")
+    rows.limit(1).write.parquet(f"{tmp_path}/b/missing")
+    assert "not that of the document" in verify_with_tables(doc, TEST_PUBLIC, spark, f"{tmp_path}/b")[1]
+    assert verify_with_tables(resigned(spark, doc, source_commitment__merkle_root="1" * 64), TEST_PUBLIC, spark, folder)[1] == "a missing record is not in the source"
+
+
 def test_golden_documents(spark):
     """Documents of other producers: every *.vrp.json of the folder that GOLDEN_DOCUMENTS names ends as its *.expected.json says."""
     folder = os.environ.get("GOLDEN_DOCUMENTS")
