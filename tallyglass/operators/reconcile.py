@@ -47,6 +47,25 @@ FEW = 1 << 24
 _GROUP = ["id_hash", "content_hash"]
 
 
+def spot() -> Column:
+    """A number for the identity, whose first bits are its place among the bits of marked()."""
+    return F.xxhash64("id_hash")
+
+
+def marked(df: DataFrame, found: DataFrame, n: int, kept: bool = True) -> DataFrame:
+    """The rows of df whose identity has its bit set by one of the n rows of found (spot), or the others: all rows of found's identities, and one in 16 or fewer of the rest."""
+    if not n:
+        return df.limit(0) if kept else df
+    bits = max(6, (16 * n - 1).bit_length())
+    place = lambda c: F.shiftrightunsigned(c, 64 - bits)
+    one = F.expr("shiftleft(1L, cast(__place & 63 as int))")
+    words = found.select(place("spot").alias("__place")).groupBy(F.shiftright("__place", 6).alias("__word")).agg(F.bit_or(one).alias("__bits"))
+    x = df.withColumn("__place", place(spot())).withColumn("__word", F.shiftright("__place", 6))
+    x = x.join(F.broadcast(words) if n <= FEW else words, "__word", "inner" if kept else "left")
+    unset = F.col("__bits").bitwiseAND(one) == 0
+    return x.where(~unset if kept else F.col("__bits").isNull() | unset).select(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def ranked(rows: DataFrame, keys: list[str], groups: DataFrame | None, rank: str, tables: list[DataFrame] | None = None) -> DataFrame:
     """rows with rank, from 1, within keys by pos (nulls last), then content_hash.
 
@@ -90,7 +109,7 @@ class Reconciliation:
     @cached_property
     def _first(self) -> tuple[int, int, int, DataFrame]:
         """Rows of both sides, records with other numbers on both, and a hash of each of these records' identities; one job."""
-        key = [_spot().alias("spot"), F.substring("content_hash", 1, 16).alias("content")]
+        key = [spot().alias("spot"), F.substring("content_hash", 1, 16).alias("content")]
         side = lambda df, s, k: df.select(*key, F.lit(s).cast("long").alias("s"), F.lit(k).cast("long").alias("k"))
         n = side(self.source, 1, 0).unionByName(side(self.sink, 0, 1)).groupBy("spot", "content").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
         seen = Observation()
@@ -102,18 +121,7 @@ class Reconciliation:
         return got["s"] or 0, got["k"] or 0, got["n"], found
 
     def _marked(self, df: DataFrame, kept: bool) -> DataFrame:
-        """The rows whose identity's bit is set, or the others."""
-        n, found = self._first[2:]
-        if not n:
-            return df.limit(0) if kept else df
-        bits = max(6, (16 * n - 1).bit_length())
-        place = lambda c: F.shiftrightunsigned(c, 64 - bits)
-        one = F.expr("shiftleft(1L, cast(place & 63 as int))")
-        words = found.select(place("spot").alias("place")).groupBy(F.shiftright("place", 6).alias("__word")).agg(F.bit_or(one).alias("__bits"))
-        x = df.withColumn("place", place(_spot())).withColumn("__word", F.shiftright("place", 6))
-        x = x.join(F.broadcast(words) if n <= FEW else words, "__word", "inner" if kept else "left")
-        unset = F.col("__bits").bitwiseAND(one) == 0
-        return x.where(~unset if kept else F.col("__bits").isNull() | unset).select(*df.columns)
+        return marked(df, self._first[3], self._first[2], kept)
 
     @cached_property
     def _kept(self) -> dict[str, DataFrame]:
@@ -249,11 +257,6 @@ class Reconciliation:
         return n.join(F.broadcast(pairs)).select("source_count", "sink_count", "matched", "missing", "mutated_copies", "mutated", "duplicated", "duplicate_excess", "phantoms")  # one row each
 
 
-def _spot() -> Column:
-    """A number for the identity, whose first bits are its place among the bits of uneven ones."""
-    return F.xxhash64("id_hash")
-
-
 def reconcile(source: DataFrame, sink: DataFrame, algorithm: str = "sha256") -> Reconciliation:
     """source and sink: fingerprints with a pos column (any orderable type, the same on both sides; without one, rows are ordered by content).
 

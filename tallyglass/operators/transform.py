@@ -8,8 +8,9 @@ that is missing or changed leads back to the source rows that make it up.
 
 Scale: row-wise fields stay a map; sums are decimals, so their result doesn't depend on
 the order of rows, and are summed before the exchange: a group with a third of all
-rows is a few partial sums. Going back to source rows broadcasts the keys asked for only
-where they are at most SMALL, else joins by exchange.
+rows is a few partial sums. Going back to source rows broadcasts a set of
+bits, about 16 for each key asked for, so that few other rows go on; the keys themselves
+are broadcast only where they are at most SMALL, else joined by exchange with what is left.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import types as T
 
 from ..functions.hashing import fingerprints
 from ..functions.model import Policy, ReconError
-from .reconcile import Reconciliation, reconcile
+from ..sources.stores import stored
+from .reconcile import Reconciliation, marked, reconcile, spot
 
 #: Groups (under 200 bytes each) that are broadcast to find their source rows.
 SMALL = 200_000
@@ -76,13 +78,13 @@ class Transform:
         """
         if missing := [f for f in policy.identity if f not in self.fields]:
             raise ReconError(f"the identity isn't a field of single source rows: {missing[0]}")
-        ids = records.select("id_hash").distinct()
+        ids = stored(records.select("id_hash").distinct(), "ids")
         taken = rows.where(self.where) if self.where else rows
         columns = [c for c in rows.columns if c != "id_hash"]
         own = taken.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("pos"), *(F.expr(self.fields[f]).alias(f) for f in dict.fromkeys(policy.identity)))
         keyed = fingerprints(own, Policy(policy.identity_rule, (), canon=policy.canon, hash_algorithm=policy.hash_algorithm), salt)
-        few = ids.limit(SMALL + 1).count() <= SMALL
-        return keyed.join(F.broadcast(ids) if few else ids, "id_hash").select("id_hash", "pos.*")
+        n = ids.count()
+        return marked(keyed, ids.select(spot().alias("spot")), n).join(F.broadcast(ids) if n <= SMALL else ids, "id_hash").select("id_hash", "pos.*")
 
 
 def reconcile_transformed(source: DataFrame, sink: DataFrame, transform: Transform, policy: Policy, salt: bytes) -> Reconciliation:

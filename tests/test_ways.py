@@ -277,3 +277,18 @@ def test_buckets_grow_with_the_records(spark, tmp_path, monkeypatch):
     spark.range(BUCKETS + 5).selectExpr("id event_id", "timestamp_seconds(id) ts", "id user_id", "'a' event_type", "1d value", "'' props").write.parquet(f"{tmp_path}/events.parquet")
     queries.continuous_events(spark, str(tmp_path))
     assert asked == [BUCKETS + 5]
+
+
+def test_few_rows_are_exchanged_for_contributors(spark, monkeypatch):
+    """Where the keys asked for are too many to broadcast, their bits still keep most other rows out of the exchange."""
+    from tallyglass.operators import transform
+
+    monkeypatch.setattr(transform, "SMALL", 0)
+    kept = []
+    monkeypatch.setattr(transform, "marked", lambda *a, f=transform.marked: kept.append(f(*a)) or kept[-1])
+    rows = spark.range(3000).selectExpr("id % 1000 key", "id v")
+    form = Transform({"id": "key"}, None, ("id",), {"v": ("sum", "v")})
+    wanted = fingerprints(spark.createDataFrame([(i, 0) for i in (3, 999, 5000)], "id long, v long"), POLICY, SALT)
+    assert sorted((r.key, r.v) for r in form.contributors(rows, wanted, POLICY, SALT).collect()) == [(k, k + 1000 * i) for k in (3, 999) for i in range(3)]
+    assert 6 <= kept[0].count() < 900
+    assert form.contributors(rows, wanted.limit(0), POLICY, SALT).collect() == []
