@@ -30,9 +30,10 @@ def binary(hexa: str) -> Column:
 _SHORT = b"".join(i.to_bytes(4, "big") for i in range(256))
 
 
-def u32(n: Column) -> Column:
-    n = n.cast("long")
-    return F.when(n < 256, F.substring(F.lit(_SHORT), (4 * n + 1).cast("int"), F.lit(4))).otherwise(F.unhex(F.lpad(F.hex(n), 8, "0")))
+def u32(n: Column, short: bool = False) -> Column:
+    """n as 32 bits; short: n is under 256 whatever the row, which is less generated code."""
+    few = F.substring(F.lit(_SHORT), F.shiftleft(n.cast("int"), 2) + 1, F.lit(4))
+    return few if short else F.when(n < 256, few).otherwise(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")))
 
 
 def framed(tag: str, data: Column) -> Column:
@@ -94,7 +95,7 @@ def double_text(c: Column) -> Column:
 def double_decimal(c: Column, scale: int) -> Column:
     """canonical_decimal of double_text, by way of DECIMAL(38, 18), which keeps a double's shortest digits and is small code. An error from 1e38 on."""
     fine, coarse = c.try_cast("decimal(38,18)").cast("string"), c.try_cast("decimal(38,0)").cast("string")
-    cut = F.regexp_extract(fine, rf"^-?[0-9]+\.[0-9]{{{min(scale, 18)}}}" if scale else "^-?[0-9]+", 0)
+    cut = F.left(fine, F.length(fine) - F.lit(18 - min(scale, 18) + (scale == 0)))
     whole = F.concat(coarse, F.lit("." + "0" * scale if scale else ""))
     return F.coalesce(F.concat(cut, F.lit("0" * (scale - 18))), whole, F.when(c.isNotNull(), F.raise_error(F.lit("a double beyond 38 digits")).cast("string")))
 
@@ -137,8 +138,16 @@ def _text(c: Column, kind: T.DataType, spec: CanonSpec) -> tuple[Column, Column]
     return None
 
 
-def _framed_text(tag: Column, text: Column) -> Column:
-    return F.coalesce(F.concat(tag, u32(F.octet_length(text)), F.encode(text, "UTF-8")), binary(NULL))
+def _short(kind: T.DataType, spec: CanonSpec) -> bool:
+    """Whether all texts of that type are under 256 bytes."""
+    return not isinstance(kind, T.StringType) and spec.decimal_scale < 200
+
+
+def _framed_text(tag: Column, text: Column, short: bool = False, name: str | None = None) -> Column:
+    """Tag, length and text, after the field's name if there is one; tags of other types than strings are constants."""
+    before = _name(name) if name is not None else None
+    front = [tag] if before is None else [F.concat(before, tag)]
+    return F.coalesce(F.concat(*front, u32(F.octet_length(text), short), F.encode(text, "UTF-8")), binary(NULL) if before is None else F.concat(before, binary(NULL)))
 
 
 def encode_value(c: Column, kind: T.DataType, spec: CanonSpec) -> Column:
@@ -149,7 +158,7 @@ def encode_value(c: Column, kind: T.DataType, spec: CanonSpec) -> Column:
 def _encoded(c: Column, kind: T.DataType, spec: CanonSpec) -> Column:
     """The same of a value in normal form."""
     if (text := _text(c, kind, spec)) is not None:
-        return _framed_text(*text)
+        return _framed_text(*text, _short(kind, spec))
     if isinstance(kind, T.NullType):
         return binary(NULL)
     if isinstance(kind, T.BooleanType):
@@ -190,8 +199,8 @@ def encoded_fields(df: DataFrame, names: list[str], spec: CanonSpec, carried: li
     kept = [F.col(f"__c{i}") for i in range(len(carried))]
     texts = {i: _text(F.col(f"__v{i}"), types[n], spec) for i, n in enumerate(names)}
     x = x.select(*kept, *(F.col(f"__v{i}") for i in texts), *(t[1].alias(f"__t{i}") for i, t in texts.items() if t is not None))
-    ends = [_framed_text(t[0], F.col(f"__t{i}")) if t is not None else _encoded(F.col(f"__v{i}"), types[names[i]], spec) for i, t in texts.items()]
-    return x.select(*(c.alias(o) for c, o in zip(kept, carried, strict=True)), *(F.concat(_name(n), e).alias(f"__e{i}") for i, (n, e) in enumerate(zip(names, ends, strict=True))))
+    ends = [_framed_text(t[0], F.col(f"__t{i}"), _short(types[n], spec), n) if t is not None else F.concat(_name(n), _encoded(F.col(f"__v{i}"), types[n], spec)) for (i, t), n in zip(texts.items(), names, strict=True)]
+    return x.select(*(c.alias(o) for c, o in zip(kept, carried, strict=True)), *(e.alias(f"__e{i}") for i, e in enumerate(ends)))
 
 
 def canon_identity(df: DataFrame, identity: list[str], spec: CanonSpec) -> Column:
