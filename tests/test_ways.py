@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.functions.hashing import fingerprints
 from tallyglass.functions.model import Boundary, InvalidBoundary, Policy, ReconError
+from tallyglass.operators import chain
 from tallyglass.operators.chain import chain_links
 from tallyglass.operators.hops import hop_faults, hop_summary
 from tallyglass.operators.log import consistency_proofs, log_levels, proven_roots
@@ -183,6 +184,42 @@ def test_chains(spark):
         chain_links(spark.createDataFrame([("x", "a"), ("x", "b")], empty.schema)).collect()
 
 
+@pytest.mark.parametrize("order", ["rows", "mixed"])
+def test_chains_in_blocks(spark, monkeypatch, order):
+    """Chains over blocks of 8 rows, or in no order: the plain result; in order, rounds see only the ends of blocks."""
+    g = random.Random(5)
+    prev = {f"{i:03}": f"{i - 1:03}" if i % 150 else None for i in range(600)} | {"100": "097", "333": "lost", "500": "503", "505": "555"}
+    rows = [*prev.items(), *g.sample(sorted(prev.items()), 20)]
+    if order == "mixed":
+        g.shuffle(rows)
+    written = []
+    plain = chain.stored
+
+    def recorded(df, name):
+        t = plain(df, name)
+        written.append((name, t.count()))
+        return t
+
+    monkeypatch.setattr(chain, "stored", recorded)
+    monkeypatch.setattr(chain, "BLOCK", 3)
+    links = spark.createDataFrame(rows, "proof_id string, prev_proof_hash string").coalesce(1)
+    got = {r.id: r for r in chain_links(links).collect()}
+    assert len(got) == 600
+    for i in prev:
+        at, depth = i, 0
+        while prev.get(at) in prev and depth <= 600:
+            at, depth = prev[at], depth + 1
+        cycle = depth > 600
+        assert (got[i].root, got[i].depth, got[i].head) == ((None, None, False) if cycle else (at, depth, i not in prev.values()))
+        assert got[i].state == ("cycle" if cycle else "start" if prev[i] is None else "linked" if prev[i] in prev else "gap")
+        assert got[i].successors == sum(p == i for p in prev.values())
+    assert {r.state for r in got.values()} == {"start", "linked", "gap", "cycle"}
+    assert ("blocks" in dict(written)) == (order == "rows")
+    rounds = [n for name, n in written if name == "round"]
+    # four chains, one in 150: eight rounds and one in which none of the cycle arrives
+    assert len(rounds) <= 10 and (order == "mixed" or max(rounds) < 120)
+
+
 def test_continuous_equals_the_batch_and_goes_on_after_a_stop(spark, tmp_path):
     """The sink comes late and in pieces; a run is one file of each side, the next goes on from its checkpoint."""
     policy = Policy("field:id", ("id", "v"), late_arrival_window="60s")
