@@ -76,11 +76,13 @@ def chain_links(links: DataFrame, id_col: str = "proof_id", prev_col: str = "pre
     near, linked = base.agg(F.count_if(block("to") == block("num")), F.count("to")).first()
     inner = base.withColumns({"top": F.col("num"), "hops": F.lit(0).cast("long"), "successors": F.lit(0).cast("long"), "far": F.col("to").isNotNull()})
     ends = inner.where("to is not null and top = num").select("num", "to", F.lit(1).cast("long").alias("steps"))
+    tables = []
     if 2 * near > linked:
         inner = stored(base.groupBy(block("num").alias("block")).applyInArrow(_within, inner.schema), "blocks")
         dropped(base)
-        ends = stored(inner.where("to is not null and top = num").select("num", "to"), "ends")
-        ends = stored(ends.join(inner.select(F.col("num").alias("to"), "top", "hops"), "to").select("num", F.col("top").alias("to"), (F.col("hops") + 1).alias("steps")), "pointers")
+        leaving = stored(inner.where("to is not null and top = num").select("num", "to"), "ends")
+        ends = stored(leaving.join(inner.select(F.col("num").alias("to"), "top", "hops"), "to").select("num", F.col("top").alias("to"), (F.col("hops") + 1).alias("steps")), "pointers")
+        tables = [leaving, ends]
     roots = stored(inner.where("to is null").select("num", "id"), "roots")
     named = stored(inner.where("far").groupBy(F.col("to").alias("num")).agg(F.count("*").alias("named")), "named")
     open_, done = ends, [stored(roots.select("num", F.col("num").alias("to"), F.lit(0).cast("long").alias("steps"), F.lit(True).alias("arrived")), "round")]
@@ -99,7 +101,7 @@ def chain_links(links: DataFrame, id_col: str = "proof_id", prev_col: str = "pre
         found = found.unionByName(d.where("arrived"))
     found = found.join(roots.select(F.col("num").alias("to"), F.col("id").alias("root")), "to").select(F.col("num").alias("top"), "root", "steps")
     found = stored(found, "arrived")
-    dropped(roots, *done)
+    dropped(roots, *done, *tables)
     out = inner.join(found, "top", "left").join(named, "num", "left").withColumn("successors", F.col("successors") + F.coalesce("named", F.lit(0)))
     state = F.when(F.col("root").isNull(), "cycle").when(F.col("prev").isNull(), "start").when(F.col("to").isNull(), "gap").otherwise("linked")
     return out.select(
